@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -42,6 +42,19 @@ def fold(arr: Column, zero: Column, step, finish=None) -> Column:
     return F.aggregate(arr, zero, step, finish) if finish else F.aggregate(arr, zero, step)
 
 
+def explode_rows(df: DataFrame, array: Column, name: str, *keep) -> DataFrame:
+    """One row per element.
+
+    A plain explode makes Spark derive a filter on the array's size and push it below, which
+    evaluates the whole array expression once more per row; the outer form does not.
+    """
+    return df.select(*keep, F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())
+
+
+def posexplode_rows(df: DataFrame, array: Column, pos: str, name: str, *keep) -> DataFrame:
+    return df.select(*keep, F.posexplode_outer(array).alias(pos, name)).where(F.col(pos).isNotNull())
+
+
 def pick(arr: Column, i: Column) -> Column:
     """Zero-based element, NULL out of range."""
     return F.get(arr, i)

@@ -15,14 +15,10 @@ _BLOCK_CONTENT = r"(?s)^<<SPEAKER=[^>]+>>(.*)<</SPEAKER>>$"
 
 
 def replace_characters(text: Column | str) -> Column:
-    """Character table. No output holds a later key, so single characters go in one pass."""
+    """Character table in its order. A plain replace passes over a text without the character fast."""
     text = col(text)
-    one = [(k, v) for k, v in fixed.SPEECH_CHARACTERS if len(v) == 1]
-    gone = [k for k, v in fixed.SPEECH_CHARACTERS if not v]
-    text = F.translate(text, "".join(k for k, _ in one) + "".join(gone), "".join(v for _, v in one))
     for k, v in fixed.SPEECH_CHARACTERS:
-        if len(v) > 1:
-            text = F.replace(text, F.lit(k), F.lit(v))
+        text = F.replace(text, F.lit(k), F.lit(v))
     return text
 
 
@@ -48,46 +44,60 @@ def replace_words(text: Column | str, words: Column | str) -> Column:
     return F.coalesce(fold(F.map_entries(words), text, step), text)
 
 
-_ANY_ACRONYM = r"(?iU)\b(?:exp|mps|hps|mp/s|hp/s)\b"
+def _any_case(word: str) -> str:
+    """A pattern for a word in any case; the long s counts as an s, as in Unicode case folding."""
+    return "".join(f"[{c}{c.upper()}{'\u017f' if c == 's' else ''}]" if c.isalpha() else c for c in word)
+
+
+def _acronym_patterns() -> list[tuple[str, str]]:
+    """One pattern per spoken form. The letters come first and the word edges after them, because
+    a word edge is costly to test at every position. Forms hold no acronym, so order is free."""
+    by_form: dict[str, list[str]] = {}
+    for short, spoken in fixed.ACRONYMS:
+        by_form.setdefault(spoken, []).append(rf"{_any_case(short)}(?<=(?U:\b).{{{len(short)}}})")
+    return [(rf"(?:{'|'.join(shorts)})(?U:\b)", spoken) for spoken, shorts in by_form.items()]
 
 
 def expand_acronyms(text: Column | str, expand_at_tags: bool = False) -> Column:
     """Spell acronyms outside tags. One that touches a tag is left alone unless asked for."""
     text = col(text)
     tag = r"<<[^>]+>>"
+    maybe = "|".join(_any_case(short) for short, _ in fixed.ACRONYMS)
 
     def spell(part):
-        for short, spoken in fixed.ACRONYMS:
-            part = F.regexp_replace(part, rf"(?iU)\b{short}\b", spoken)
+        for pattern, spoken in _acronym_patterns():
+            part = F.regexp_replace(part, pattern, spoken)
         return part
 
     def guarded(part, i, last):
+        """A word character on the side of a tag takes the word edge away there."""
         if expand_at_tags:
             return spell(part)
         left = F.when(i > 0, F.lit("_")).otherwise(F.lit(""))
         right = F.when(i < last, F.lit("_")).otherwise(F.lit(""))
-        padded = spell(F.concat(left, part, right))
-        return F.substring(
-            padded, F.length(left) + 1, F.length(padded) - F.length(left) - F.length(right)
+        return let(
+            spell(F.concat(left, part, right)),
+            lambda padded: F.substring(
+                padded, F.length(left) + 1, F.length(padded) - F.length(left) - F.length(right)
+            ),
         )
 
-    def weave(parts):
-        tags = F.regexp_extract_all(text, F.lit(f"({tag})"), F.lit(1))
-        return let(
-            tags,
-            lambda ts: F.array_join(
-                F.transform(
-                    parts,
-                    lambda p, i: F.concat(
-                        F.when(p.rlike(_ANY_ACRONYM), guarded(p, i, F.size(parts) - 1)).otherwise(p),
-                        F.coalesce(pick(ts, i), F.lit("")),
-                    ),
+    def weave(both):
+        return F.array_join(
+            F.transform(
+                both["gaps"],
+                lambda p, i: F.concat(
+                    guarded(p, i, F.size(both["gaps"]) - 1), F.coalesce(pick(both["tags"], i), F.lit(""))
                 ),
-                "",
             ),
+            "",
         )
 
-    return F.when(text.rlike(_ANY_ACRONYM), let(F.split(text, tag, -1), weave)).otherwise(text)
+    both = F.struct(
+        F.split(text, tag, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(f"({tag})"), F.lit(1)).alias("tags")
+    )
+    spelled = F.when(F.contains(text, F.lit("<<")), let(both, weave)).otherwise(spell(text))
+    return F.when(text.rlike(maybe), spelled).otherwise(text)
 
 
 def unwrap_brackets(text: Column | str) -> Column:
@@ -96,14 +106,17 @@ def unwrap_brackets(text: Column | str) -> Column:
 
 def speak_ratios(text: Column | str, strict_dates: bool = False) -> Column:
     """``a/b`` to ``a out of b``. Dates are rewritten too unless ``strict_dates`` is set."""
+    text = col(text)
     guard = r"(?<![\d/])(?<!/\s)" if strict_dates else ""
     tail = r"(?!\d|\s*/\s*\d)" if strict_dates else r"(?!\s*/\s*\d)"
-    return F.regexp_replace(col(text), rf"(?U){guard}(\d+)\s*/\s*(\d+){tail}", "$1 out of $2")
+    spoken = F.regexp_replace(text, rf"(?U){guard}(\d+)\s*/\s*(\d+){tail}", "$1 out of $2")
+    return F.when(F.contains(text, F.lit("/")), spoken).otherwise(text)
 
 
 def speak_signs(text: Column | str) -> Column:
-    text = F.regexp_replace(col(text), r"(?U)(?<!\w)\+(\d)", "plus $1")
-    return F.regexp_replace(text, r"(?U)(?<!\w)-(\d)", "minus $1")
+    """``+5`` to ``plus 5`` and ``-5`` to ``minus 5`` unless a word character is in front."""
+    text = F.regexp_replace(col(text), r"\+(?U:(?<!\w\+)(\d))", "plus $1")
+    return F.regexp_replace(text, r"-(?U:(?<!\w-)(\d))", "minus $1")
 
 
 def merge_speaker_blocks(text: Column | str) -> Column:
@@ -145,7 +158,7 @@ def merge_speaker_blocks(text: Column | str) -> Column:
         ),
     )
     both = F.struct(blocks.alias("blocks"), F.split(text, BLOCK, -1).alias("gaps"))
-    return F.when(text.rlike(BLOCK), let(both, build)).otherwise(text)
+    return F.when(F.contains(text, F.lit("<<SPEAKER=")) & text.rlike(BLOCK), let(both, build)).otherwise(text)
 
 
 def _then(value: Column, step) -> Column:

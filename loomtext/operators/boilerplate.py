@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.base import col
+from ..functions.base import col, explode_rows
 from ..functions.text import clean_paragraphs, occurring
 from ..session import collect_bounded
 
-EMPTY = "array<string>"
+_GRAM = 8
 
 
 def attach_messages(
@@ -26,6 +26,7 @@ def attach_messages(
 
     A list within the stated size becomes a literal. A longer one is joined on an anchor word.
     """
+    messages = messages.where(F.col(message).rlike(r"\S"))
     small = collect_bounded(messages.orderBy(order), message, max_rows, max_bytes)
     if small is not None:
         return docs.withColumn("messages", occurring(small, F.col(text)))
@@ -34,7 +35,7 @@ def attach_messages(
         F.transform(F.array_sort(F.collect_set(F.struct(order, message))), lambda m: m[message]).alias("messages")
     )
     return docs.join(per_doc, doc_id, "left").withColumn(
-        "messages", F.coalesce("messages", F.array().cast(EMPTY))
+        "messages", F.coalesce("messages", F.array().cast("array<string>"))
     )
 
 
@@ -44,36 +45,30 @@ def anchored_matches(
     """(doc_id, order, message) for every message a document holds.
 
     A text that holds a message holds the message's inner words as whole words, so the longest inner
-    word is the join key; a message of fewer than three words is keyed on its first characters.
-    The matches are then checked with ``contains``. The array built per document afterwards is
-    bounded by the document's own text.
+    word is the join key. A message of one or two words lies with its longest word inside one word
+    of the text, and is keyed on the first characters of that word against the text's runs of as
+    many characters. Matches are then checked with ``contains``. The array built per document
+    afterwards is bounded by the document's own text.
     """
     words = F.split(col(message), r"\s+")
-    inner = F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))
-    longest = F.element_at(F.array_sort(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))), -1)["w"]
-    gram = 8
-    keyed = messages.where(F.length(message) > 0).select(
-        order, message,
-        F.when(F.size(words) >= 3, longest).alias("word"),
-        F.when(F.size(words) < 3, F.substring(message, 1, gram)).alias("start"),
+    longest = lambda ws: F.element_at(F.array_sort(F.transform(ws, lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))), -1)["w"]
+    inner = F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(1)))
+    keyed = messages.select(
+        order,
+        message,
+        F.when(F.size(words) >= 3, longest(inner)).alias("word"),
+        F.when(F.size(words) < 3, F.substring(longest(words), 1, _GRAM)).alias("start"),
     )
+    body = docs.select(doc_id, text)
     by_word = keyed.where("word is not null").select(order, message, F.col("word").alias("anchor"))
+    pairs = explode_rows(body, F.array_distinct(F.split(text, r"\s+")), "anchor", doc_id, text).join(by_word, "anchor")
     by_start = keyed.where("start is not null").select(order, message, F.col("start").alias("anchor"), F.length("start").alias("n"))
-    body = docs.select(doc_id, text)
-    doc_words = body.select(doc_id, text, F.explode(F.array_distinct(F.split(text, r"\s+"))).alias("anchor"))
-    lengths = [r[0] for r in by_start.select("n").distinct().collect()]  # at most `gram` values
-    found = doc_words.join(by_word, "anchor").where(F.contains(text, F.col(message))).select(doc_id, order, message)
-    for n in lengths:
-        grams = body.where(F.length(text) >= n).select(
-            doc_id, text,
-            F.explode(F.array_distinct(F.transform(
-                F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(F.col(text), i, F.lit(n))
-            ))).alias("anchor"),
-        )
-        found = found.unionByName(
-            grams.join(by_start.where(F.col("n") == n), "anchor").where(F.contains(text, F.col(message))).select(doc_id, order, message)
+    for (n,) in by_start.select("n").distinct().collect():  # at most _GRAM values
+        runs = F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?=(\S{{{n}}}))"), F.lit(1)))
+        pairs = pairs.unionByName(
+            explode_rows(body, runs, "anchor", doc_id, text).join(by_start.where(F.col("n") == n).drop("n"), "anchor")
         )
-    return found
+    return pairs.where(F.contains(text, F.col(message))).select(doc_id, order, message)
 
 
 def clean_documents(

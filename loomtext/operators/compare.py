@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 from ..functions.titles import decode_file_name, encode_file_name, normal_url, strip_series, title_key
 from .ranking import attach, row_number_by, successor
 
-MISSING = F.lit("")
-
 
 def listing_keys(toc: DataFrame, key: Column) -> DataFrame:
     """(series, key, url): the first listed entry of each title key."""
@@ -31,7 +29,7 @@ def resolve_urls(chapters: DataFrame, toc: DataFrame, strip_names: bool = True)
 
 def fill_urls(chapters: DataFrame, toc: DataFrame, strip_names: bool = True) -> DataFrame:
     """Fill missing or empty source addresses; others are kept."""
-    full = F.nullif(F.col("source_url"), MISSING)
+    full = F.nullif(F.col("source_url"), F.lit(""))
     rows = resolve_urls(chapters, toc, strip_names)
     return rows.withColumn("source_url", F.coalesce(full, "resolved", "source_url")).drop("resolved")
 
@@ -68,7 +66,7 @@ def compare_snapshots(old: DataFrame, new: DataFrame) -> DataFrame:
     """
     rows = old.where(F.coalesce(F.col("source_url") != "", F.lit(False))).join(new, "id")
     change = F.when(~F.col("available"), F.lit("unavailable")).when(
-        F.col("available") & ~F.coalesce("old_text", MISSING).eqNullSafe(F.col("new_text")), F.lit("changed")
+        F.col("available") & ~F.coalesce("old_text", F.lit("")).eqNullSafe(F.col("new_text")), F.lit("changed")
     )
     return rows.withColumn("change", change).where("change is not null")
 
@@ -127,8 +125,8 @@ def line_counts(changed: DataFrame, key: str = "id") -> DataFrame:
         key,
         F.explode(
             F.concat(
-                F.transform(F.split(F.coalesce("old_text", MISSING), "\n"), lambda t: F.struct(t.alias("line"), F.lit(-1).alias("n"))),
-                F.transform(F.split(F.coalesce("new_text", MISSING), "\n"), lambda t: F.struct(t.alias("line"), F.lit(1).alias("n"))),
+                F.transform(F.split(F.coalesce("old_text", F.lit("")), "\n"), lambda t: F.struct(t.alias("line"), F.lit(-1).alias("n"))),
+                F.transform(F.split(F.coalesce("new_text", F.lit("")), "\n"), lambda t: F.struct(t.alias("line"), F.lit(1).alias("n"))),
             )
         ).alias("s"),
     )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed
-from ..functions.base import col, is_blank, let, strip
+from ..functions.base import col, explode_rows, is_blank, let, posexplode_rows, strip
 from ..functions.text import parts_of
 from .ranking import row_number_by
 
@@ -86,11 +86,8 @@ def chunk_manifest(
 
     Parts and chunks come from the document's own row, so nothing is shuffled.
     """
-    part = docs.select(
-        *keep,
-        narrator.alias("__narrator"),
-        system_voice.alias("__system"),
-        F.explode(parts_of(text, keep_empty_blocks)).alias("p"),
+    part = explode_rows(
+        docs, parts_of(text, keep_empty_blocks), "p", *keep, narrator.alias("__narrator"), system_voice.alias("__system")
     )
     name = (
         F.when(F.col("p.tagged") & (F.col("p.speaker") != "default"), F.lower("p.speaker"))
@@ -98,12 +95,15 @@ def chunk_manifest(
     )
     named = part.select(*keep, F.col("p.part_pos").alias("part_pos"), "__system", name.alias("__name"), pack("p.content", limit).alias("__chunks"))
     is_system = F.col("__name") == "system"
-    chunk = named.select(
+    chunk = posexplode_rows(
+        named,
+        F.col("__chunks"),
+        "chunk_idx",
+        "__chunk",
         *keep,
         "part_pos",
         F.when(is_system, F.coalesce("__system", F.lit(fixed.DEFAULT_VOICE))).otherwise(F.col("__name")).alias("speaker"),
         F.coalesce(is_system, F.lit(False)).alias("is_system"),
-        F.posexplode("__chunks").alias("chunk_idx", "__chunk"),
     )
     return chunk.where(~is_blank(F.col("__chunk"))).select(
         *keep,

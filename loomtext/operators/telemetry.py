@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixed
-from ..functions.base import strip
+from ..functions.base import posexplode_rows, strip
 from .chains import follow_links
 from .ranking import next_after, row_number_by
 
@@ -14,7 +14,7 @@ def split_log(df: DataFrame, text: str = "line") -> DataFrame:
     """Log text to lines: colour codes off, cut at line ends and carriage returns, blanks dropped."""
     lines = F.split(F.regexp_replace(text, r"\x1b\[[0-9;]*m", ""), r"[\r\n]", -1)
     rest = [c for c in df.columns if c != text]
-    return df.select(*rest, F.posexplode(lines).alias("sub", text)).where(F.col(text).rlike(r"(?U)\S"))
+    return posexplode_rows(df, lines, "sub", text, *rest).where(F.col(text).rlike(r"(?U)\S"))
 
 
 def parse_line(line: Column) -> Column:

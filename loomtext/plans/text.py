@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import fixed
 from ..functions import text as T
 from ..functions import titles as N
+from ..functions.base import explode_rows
 from ..functions.numbers import numbers_to_words
 from ..operators.boilerplate import attach_messages, clean_documents
 from ..operators.compare import title_fixes
@@ -207,7 +208,7 @@ def _paragraph_sql(collapse: bool, dedupe: bool) -> str:
 
 def _paragraphs(fx, collapse, dedupe):
     docs = clean_documents(fx.documents, fx.V_block, collapse, dedupe)
-    rows = docs.select("doc_id", F.explode("paragraphs").alias("p"))
+    rows = explode_rows(docs, F.col("paragraphs"), "p", "doc_id")
     return rows.select("doc_id", F.col("p.pos").cast("bigint").alias("pos"), "p.line")
 
 

@@ -68,3 +68,13 @@ def collect_bounded(df: DataFrame, column: str, max_rows: int = 2_000, max_bytes
     if n > max_rows or b > max_bytes:
         return None
     return [r[0] for r in df.select(column).collect() if r[0] is not None]
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows out to all cores when a scan has fewer splits than there are cores.
+
+    A large input has more splits than cores and is left as it is; a small file with one row
+    group would otherwise keep costly per-row work on one core.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
