@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["text"]
+MODULES = ["text", "segment", "state"]
 
 
 def load_all() -> None:
