@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["text", "segment", "state"]
+MODULES = ["text", "segment", "state", "compare", "telemetry"]
 
 
 def load_all() -> None:

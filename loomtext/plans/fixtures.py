@@ -39,8 +39,8 @@ BOTH = {
           cast(case when status = 'failed' then id % 3 + 1 else 0 end as int) as retry_count,
           cast(date '2024-03-01' - cast(id % 60 as int) as timestamp) as updated_at,
           case when status = 'done' then n_chars / 15.0E0 end as duration_s,
-          text
-        from (select d.doc_id as id, cast(substr(d.source, 4) as bigint) as series_id, d.source as series, d.doc_id % 50 as n, d.n_chars, d.text,
+          lang, text
+        from (select d.doc_id as id, cast(substr(d.source, 4) as bigint) as series_id, d.source as series, d.doc_id % 50 as n, d.n_chars, d.lang, d.text,
                 cast(date '2024-01-01' + cast(d.doc_id % 365 as int) as string) as day,
                 concat(cast(date '2024-01-01' + cast(d.doc_id % 365 as int) as string), '_Chapter ', cast(d.doc_id % 50 as string), ' - ', d.source, ' p', cast(d.doc_id as string)) as base,
                 case when l.doc_id is null then 'pending' when l.toxic = 1 then 'failed' when l.quality = 1 then 'done' else 'processing' end as status

@@ -214,20 +214,20 @@ def _(fx):
 _FRESH = "select concat('src', cast(series_id as string)) as series, raw_path, length(raw_path) as seq from V_files where not contains(raw_path, '_cleaned')"
 
 
-@query("JN8_register_unseen", f"select raw_path, series from ({_FRESH}) f where raw_path not in (select raw_path from V_chapters where id % 4 <> 0)")
+@query("JN8_register_unseen", f"select raw_path, series from ({_FRESH}) f where raw_path not in (select raw_path from V_chapters where lang <> 'de')")
 def _(fx):
-    kept = fx.V_chapters.where("id % 4 <> 0")
+    kept = fx.V_chapters.where("lang <> 'de'")
     return S.register(kept, fx.sql(_FRESH)).select("raw_path", "series")
 
 
 @query(
     "MUT2_register_with_series",
     f"""with f as ({_FRESH}), known as (select * from V_series where enabled is not null)
-        select 'chapter' as added, raw_path as name from f where raw_path not in (select raw_path from V_chapters where id % 4 <> 0)
+        select 'chapter' as added, raw_path as name from f where raw_path not in (select raw_path from V_chapters where lang <> 'de')
         union all select distinct 'series', series from f where series not in (select name from known)""",
 )
 def _(fx):
-    fresh, kept = fx.sql(_FRESH), fx.V_chapters.where("id % 4 <> 0")
+    fresh, kept = fx.sql(_FRESH), fx.V_chapters.where("lang <> 'de'")
     chapters = S.register(kept, fresh).select(F.lit("chapter").alias("added"), F.col("raw_path").alias("name"))
     series = S.missing_series(fresh, fx.V_series.where("enabled is not null")).select(F.lit("series").alias("added"), "name")
     return chapters.unionByName(series)
@@ -303,7 +303,7 @@ def _(fx):
 
 
 # the five steps one after the other, each a table of its own
-_SYNC = f"""with s0 as (select id, series_id, title, raw_path, output_path, status from V_chapters where id % 10 <> 4),
+_SYNC = f"""with s0 as (select id, series_id, title, raw_path, output_path, status from V_chapters where lang <> 'de'),
     files as (select f.* from V_files f join V_series s on s.id = f.series_id where f.raw_path not like '%\\_cleaned.txt' escape '\\'),
     s1 as (select *, case when status = 'processing' then 'pending' else status end as st, status = 'processing' as reset from s0),
     s2 as (select id, series_id, raw_path, output_path, st, reset, false as registered from s1
@@ -316,7 +316,7 @@ _SYNC = f"""with s0 as (select id, series_id, title, raw_path, output_path, stat
 
 
 def _reconciled(fx):
-    state = fx.V_chapters.where("id % 10 <> 4")
+    state = fx.V_chapters.where("lang <> 'de'")
     return S.reconcile(state, fx.V_files, fx.V_outputs, fx.V_series, now())
 
 
