@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["text", "segment", "state", "compare", "telemetry"]
+MODULES = ["text", "segment", "state", "compare", "telemetry", "streams"]
 
 
 def load_all() -> None:

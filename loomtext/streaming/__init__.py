@@ -1 +1 @@
-
+"""The streaming forms of the batch plans."""
