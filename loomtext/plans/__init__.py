@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["text", "segment", "state", "compare", "telemetry", "streams"]
+MODULES = ["text", "segment", "state", "compare", "telemetry", "streams", "pages"]
 
 
 def load_all() -> None:
