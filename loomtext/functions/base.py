@@ -15,14 +15,21 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+# white space as Python's text methods know it
+SPACES = "".join(chr(c) for c in [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+
+
 def strip(c: Column | str) -> Column:
-    """Remove white space of any kind from both ends (Spark's trim removes spaces only)."""
-    return F.regexp_replace(col(c), r"(?U)^\s+|\s+$", "")
+    """Remove white space of any kind from both ends (Spark's plain trim removes spaces only)."""
+    return F.trim(col(c), F.lit(SPACES))
 
 
 def collapse(c: Column | str) -> Column:
-    """Runs of white space become one space; the ends are stripped."""
-    return strip(F.regexp_replace(col(c), r"(?U)\s+", " "))
+    """Runs of white space become one space; the ends are stripped.
+
+    Only runs that are not a single space already are rewritten, which most text has none of.
+    """
+    return strip(F.regexp_replace(col(c), r"(?U)[\s\x1c-\x1f]{2,}|[[\s\x1c-\x1f]&&[^ ]]", " "))
 
 
 def is_blank(c: Column) -> Column:

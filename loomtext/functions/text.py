@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -288,7 +290,40 @@ def clean_paragraphs(lines: Column, messages: Column, collapse_spaces: bool = Tr
     )
 
 
+def anchor_word(message: str) -> str | None:
+    """The longest inner word of a message: a text that holds the message holds it as a word."""
+    return max(re.split(r"\s+", message, flags=re.ASCII)[1:-1], key=len, default=None) or None
+
+
+def constant_list(values: list[str]) -> Column:
+    """A constant array from one literal: thousands of literals would slow down planning."""
+    if not values:
+        return F.array().cast("array<string>")
+    used = set("".join(values))
+    mark = next(c for c in map(chr, range(0xE000, 0xF8FF)) if c not in used)
+    return F.split(F.lit(mark.join(values)), mark, -1)
+
+
 def occurring(messages: list[str], text: Column) -> Column:
-    """The messages of a bounded list that occur in a text, in list order."""
-    array = F.array(*[F.lit(m) for m in messages]) if messages else F.array().cast("array<string>")
-    return F.filter(array, lambda m: F.contains(text, m))
+    """The messages of a bounded list that occur in a text, in list order.
+
+    One pass cuts the text into words and meets them with the anchor words by hash; only messages
+    whose anchor is there are looked for. Messages without an inner word are always looked for.
+    """
+    if not messages:
+        return F.array().cast("array<string>")
+    anchors = [anchor_word(m) or "" for m in messages]
+    entries = F.arrays_zip(constant_list(messages).alias("m"), constant_list(anchors).alias("a"))
+    words = constant_list(list(dict.fromkeys(filter(None, anchors))))
+
+    def look(there):
+        hits = F.filter(
+            entries, lambda e: ((e["a"] == "") | F.array_contains(there, e["a"])) & F.contains(text, e["m"])
+        )
+        return F.transform(hits, lambda e: e["m"])
+
+    loose = constant_list([m for m, a in zip(messages, anchors) if not a])
+    return let(
+        F.array_intersect(F.split(text, r"\s+"), words),
+        lambda there: F.when(F.size(there) > 0, look(there)).otherwise(F.filter(loose, lambda m: F.contains(text, m))),
+    )

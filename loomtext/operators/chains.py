@@ -21,6 +21,7 @@ def follow_links(
     key, so the joins have no hot key.
     """
     jump = links.where(F.col(nxt).isNotNull()).select(*keys, F.col(node).alias("__at"), F.col(nxt).alias("__to"))
+    jump = cut_lineage(jump)
     reached = starts.select(*keys, F.col(node).alias("__at"), F.lit(0).cast("bigint").alias("hop"))
     size = None
     for k in range(MAX_ROUNDS):

@@ -7,11 +7,13 @@ ordered joins of strings or time arithmetic differ between the two.
 from __future__ import annotations
 
 import re
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ranking import row_number_by, successor
+from ..session import spread
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -185,6 +187,13 @@ class Fixtures:
             made[name] = self._build(name)
         return made[name]
 
+    @cached_property
+    def dealt(self) -> Fixtures:
+        """The same tables with their texts dealt out to all cores, for costly work per text."""
+        other = Fixtures(self.spark, self.dir)
+        other._made.update(documents=spread(self.documents), pages=spread(self.pages))
+        return other
+
     def _build(self, name: str) -> DataFrame:
         if name in TABLES:
             return self.spark.read.parquet(f"{self.dir}/{name}.parquet")

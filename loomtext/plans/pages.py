@@ -19,7 +19,7 @@ NONE = "array<string>"
 
 
 def parsed(fx, kinds=()):
-    pages = spread(fx.pages).withColumn("kinds", F.array(*[F.lit(k) for k in kinds]).cast(NONE))
+    pages = fx.dealt.pages.withColumn("kinds", F.array(*[F.lit(k) for k in kinds]).cast(NONE))
     return extract_pages(pages, SITE, "kinds")
 
 
@@ -53,7 +53,7 @@ def _(fx):
 
 @query("EXT3_unavailable", "select page_id, not contains(html, 'chapter-content') and contains(lower(html), 'drafted or deleted') as unavailable from pages")
 def _(fx):
-    return extract_pages(spread(fx.pages)).select("page_id", F.col("gone").alias("unavailable"))
+    return extract_pages(fx.dealt.pages).select("page_id", F.col("gone").alias("unavailable"))
 
 
 @query("EXT4_voice_tags")
@@ -104,5 +104,5 @@ def _(fx):
 @query("SNK1_cleaned_files", "select source, count(*) as docs from documents group by source")
 def _(fx):
     path = work_path(fx.spark, "cleaned")
-    write_cleaned(spread(fx.documents).select("doc_id", "source", clean_for_speech("text").alias("text")), path)
+    write_cleaned(fx.dealt.documents.select("doc_id", "source", clean_for_speech("text").alias("text")), path)
     return fx.spark.read.parquet(path).groupBy("source").agg(F.count("text").alias("docs"))

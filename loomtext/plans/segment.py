@@ -9,7 +9,6 @@ from ..functions import text as T
 from ..functions.base import explode_rows, posexplode_rows
 from ..operators import segment as S
 from ..operators.boilerplate import clean_documents
-from ..session import spread
 from .registry import query
 from .text import SQL_STRIP, sql_signs
 
@@ -114,12 +113,12 @@ def sql_pack(text: str, limit: int) -> str:
         select doc_id, unnest(range(len(ss))) as pos, unnest(ss) as sentence from q""",
 )
 def _(fx):
-    rows = posexplode_rows(fx.documents, S.sentences("text"), "pos", "sentence", "doc_id")
+    rows = posexplode_rows(fx.dealt.documents, S.sentences("text"), "pos", "sentence", "doc_id")
     return rows.select("doc_id", F.col("pos").cast("bigint").alias("pos"), "sentence")
 
 
 def _packed(fx, limit):
-    rows = posexplode_rows(fx.documents, S.pack("text", limit), "idx", "chunk", "doc_id")
+    rows = posexplode_rows(fx.dealt.documents, S.pack("text", limit), "idx", "chunk", "doc_id")
     return rows.select("doc_id", F.col("idx").cast("bigint").alias("idx"), "chunk")
 
 
@@ -265,7 +264,7 @@ _PARA = f"""m as (select list(message order by item_id) as ms from V_block),
 
 def speech_chunks(fx):
     """Documents to packed speech chunks, all in the document's own row and without Python workers."""
-    docs = clean_documents(spread(fx.documents), fx.V_block)
+    docs = clean_documents(fx.dealt.documents, fx.V_block)
     text = docs.select("doc_id", "source", F.col("clean_text").alias("t"))
     for step in (T.replace_characters, T.tighten_commas, T.unwrap_brackets, T.speak_signs):
         text = text.withColumn("t", step(F.col("t")))

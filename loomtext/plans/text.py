@@ -75,12 +75,12 @@ CHARS = nested("text", fixed.SPEECH_CHARACTERS)
 
 @query("FN1_speech_characters", f"select doc_id, {CHARS} as text from documents")
 def _(fx):
-    return fx.documents.select("doc_id", T.replace_characters("text").alias("text"))
+    return fx.dealt.documents.select("doc_id", T.replace_characters("text").alias("text"))
 
 
 @query("FN2_space_before_comma", "select doc_id, regexp_replace(replace(text, '|', ' ,'), '\\s+,', ',', 'g') as text from documents")
 def _(fx):
-    return fx.documents.select("doc_id", T.tighten_commas(F.replace("text", F.lit("|"), F.lit(" ,"))).alias("text"))
+    return fx.dealt.documents.select("doc_id", T.tighten_commas(F.replace("text", F.lit("|"), F.lit(" ,"))).alias("text"))
 
 
 def with_config(fx, docs, on="source"):
@@ -101,12 +101,12 @@ def with_config(fx, docs, on="source"):
     f"select d.doc_id, case when c.has_words then {sql_words('d.text', {'the': 'THE', 'que': 'Q$1'}, False)} else d.text end as text from documents d join V_config c on c.series = d.source",
 )
 def _(fx):
-    return with_config(fx, fx.documents).select("doc_id", T.replace_words("text", "words").alias("text"))
+    return with_config(fx, fx.dealt.documents).select("doc_id", T.replace_words("text", "words").alias("text"))
 
 
 @query("FN4_acronyms", f"select doc_id, {sql_acronyms('text')} as text from V_marked")
 def _(fx):
-    return fx.V_marked.select("doc_id", T.expand_acronyms("text").alias("text"))
+    return fx.dealt.V_marked.select("doc_id", T.expand_acronyms("text").alias("text"))
 
 
 @query("FN4_acronyms_in_tagged_text", "select conv_id, regexp_replace(replace(text, '>>', '>> exp '), '>> exp ', '>> E-X-P ', 'g') as text from V_tagged")
@@ -116,22 +116,22 @@ def _(fx):
 
 @query("FN5_brackets", "select doc_id, regexp_replace(text, '\\[([^\\]\\n]*)\\]', '\\1', 'g') as text from V_marked")
 def _(fx):
-    return fx.V_marked.select("doc_id", T.unwrap_brackets("text").alias("text"))
+    return fx.dealt.V_marked.select("doc_id", T.unwrap_brackets("text").alias("text"))
 
 
 @query("FN6_ratios", "select doc_id, regexp_replace(text, '([0-9]+)\\s*/\\s*([0-9]+)', '\\1 out of \\2', 'g') as text from V_marked")
 def _(fx):
-    return fx.V_marked.select("doc_id", T.speak_ratios("text").alias("text"))
+    return fx.dealt.V_marked.select("doc_id", T.speak_ratios("text").alias("text"))
 
 
 @query("FN7_signs", f"select doc_id, {sql_signs('text')} as text from V_marked")
 def _(fx):
-    return fx.V_marked.select("doc_id", T.speak_signs("text").alias("text"))
+    return fx.dealt.V_marked.select("doc_id", T.speak_signs("text").alias("text"))
 
 
 @query("FN8_numbers_to_words", f"select doc_id, {sql_numbers('text')} as text from V_marked")
 def _(fx):
-    return fx.V_marked.select("doc_id", numbers_to_words("text").alias("text"))
+    return fx.dealt.V_marked.select("doc_id", numbers_to_words("text").alias("text"))
 
 
 _CLEAN = f"regexp_replace({CHARS}, '\\s+,', ',', 'g')"
@@ -147,7 +147,7 @@ _CLEAN = f"regexp_replace({CHARS}, '\\s+,', ',', 'g')"
         select doc_id, {sql_numbers('text')} as text from f""",
 )
 def _(fx):
-    return with_config(fx, fx.V_marked).select("doc_id", T.clean_for_speech("text", "words").alias("text"))
+    return with_config(fx, fx.dealt.V_marked).select("doc_id", T.clean_for_speech("text", "words").alias("text"))
 
 
 _TITLE = nested("title", fixed.TITLE_CHARACTERS)
@@ -207,7 +207,7 @@ def _paragraph_sql(collapse: bool, dedupe: bool) -> str:
 
 
 def _paragraphs(fx, collapse, dedupe):
-    docs = clean_documents(fx.documents, fx.V_block, collapse, dedupe)
+    docs = clean_documents(fx.dealt.documents, fx.V_block, collapse, dedupe)
     rows = explode_rows(docs, F.col("paragraphs"), "p", "doc_id")
     return rows.select("doc_id", F.col("p.pos").cast("bigint").alias("pos"), "p.line")
 
@@ -239,14 +239,14 @@ def _(fx):
 )
 def _(fx):
     block = fx.benchmark.select("item_id", F.col("text").alias("message"))
-    docs = attach_messages(fx.documents, block)
+    docs = attach_messages(fx.dealt.documents, block)
     return docs.select("doc_id", T.cut_messages(F.col("text"), F.col("messages"), collapse_spaces=False).alias("text"))
 
 
 @query("JN12_blocklist_long_list", "select d.doc_id, count(*) as hits from documents d join V_block b on contains(d.text, b.message) group by d.doc_id")
 def _(fx):
     """The same list treated as too long to broadcast: matched by a join on anchor words."""
-    docs = attach_messages(fx.documents, fx.V_block, max_rows=0)
+    docs = attach_messages(fx.dealt.documents, fx.V_block, max_rows=0)
     return docs.select("doc_id", F.size("messages").cast("bigint").alias("hits")).where("hits > 0")
 
 
