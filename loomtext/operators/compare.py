@@ -52,7 +52,7 @@ def distinct_links(links: DataFrame) -> DataFrame:
 
 def next_listed(current: DataFrame, toc: DataFrame, block: int = 65536, hot_rows: int = 1_000_000) -> DataFrame:
     """Add ``next_url``: the entry after the first listed one that matches and has a successor."""
-    ranked = row_number_by(toc, ["series"], [F.asc("pos")], [F.expr(f"pos div {block}")], "rn", hot_rows)
+    ranked = row_number_by(toc, ["series"], [F.asc("pos")], [F.expr(f"pos div {block * 4096}"), F.expr(f"pos div {block}")], "rn", hot_rows)
     linked = successor(ranked, ["series"], "rn", {"url": "next_url"}).where("next_url is not null")
     first = linked.withColumn("norm", normal_url("url")).groupBy("series", "norm").agg(F.min_by("next_url", "pos").alias("next_url"))
     return attach(current.withColumn("norm", normal_url("url")), first, ["series", "norm"], ["next_url"]).drop("norm")

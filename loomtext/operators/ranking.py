@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HOT_KEY_ROWS = 1_000_000
+_FEW = 10_000
 
 
 def same(left: DataFrame, right: DataFrame, names: list[str], suffix: str = "") -> Column:
@@ -36,29 +37,48 @@ def row_number_by(
     out: str = "rn",
     hot_rows: int = HOT_KEY_ROWS,
 ) -> DataFrame:
-    """``row_number`` per key. Only keys with more than ``hot_rows`` rows are cut into buckets.
+    """``row_number`` per key; keys with more than ``hot_rows`` rows are cut into buckets.
 
-    ``buckets`` are ascending expressions that never fall when ``order`` advances.
-    Without keys the whole table counts as one hot key.
+    ``buckets`` are ascending expressions that never fall when ``order`` advances. Keys are
+    counted first: without hot keys this is the plain window, with one shuffle. Otherwise only
+    the hot keys' rows take the bucketed way. Without keys the whole table counts as hot.
     """
-    names = [f"__b{i}" for i in range(len(buckets))]
-    if keys:
-        hot = df.groupBy(*keys).count().where(F.col("count") > hot_rows).select(*keys, F.lit(True).alias("__hot"))
-        cut = attach(df, hot, keys, ["__hot"])
-        cut = cut.withColumns({n: F.when(F.col("__hot"), b) for n, b in zip(names, buckets)})
-        counted = cut.where("__hot")
-    else:
-        cut = df.withColumns(dict(zip(names, buckets)))
-        counted = cut
-    per_bucket = counted.groupBy(*keys, *names).agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(*keys).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_bucket.select(*keys, *names, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    inner = Window.partitionBy(*keys, *names).orderBy(*order)
-    numbered = cut.withColumn(out, F.row_number().over(inner).cast("bigint"))
-    numbered = attach(numbered, offsets, keys + names, ["__before"])
-    return numbered.withColumn(out, F.col(out) + F.coalesce("__before", F.lit(0))).drop(
-        *names, "__before", *(["__hot"] if keys else [])
-    )
+    if not keys:
+        return _number_in_buckets(df, keys, order, buckets, out)
+    plain = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint")
+    hot = df.groupBy(*keys).count().where(F.col("count") > hot_rows).select(F.struct(*keys).alias("__hot"))
+    found = hot.limit(_FEW + 1).count()
+    if not found:
+        return df.withColumn(out, plain)
+    few = F.broadcast(hot) if found <= _FEW else hot  # the count bounds what is broadcast
+    key = F.struct(*keys)
+    cold = df.join(few, key == F.col("__hot"), "left_anti").withColumn(out, plain)
+    warm = df.join(few, key == F.col("__hot"), "left_semi")
+    return cold.unionByName(_number_in_buckets(warm, keys, order, buckets, out))
+
+
+def _number_in_buckets(df: DataFrame, keys: list[str], order: list[Column], buckets: list[Column], out: str) -> DataFrame:
+    """Rank inside a bucket plus the rows of the buckets before it.
+
+    Key and bucket travel in one struct, whose equality takes NULLs as equal, so the window and
+    the join on it share one shuffle. Rows before a bucket are summed level by level: before its
+    first part among all, before its second part among those with the same first, and so on. So no
+    task sees more than the distinct values of one part.
+    """
+    names = [f"b{i}" for i in range(len(buckets))]
+    cut = df.withColumn("__kb", F.struct(*keys, *[b.alias(n) for n, b in zip(names, buckets)]))
+    offsets = cut.groupBy("__kb").agg(F.count(F.lit(1)).alias("__n"))
+    offsets = offsets.select("__kb", "__n", F.lit(0).cast("bigint").alias("__before"))
+    field = lambda n: F.col("__kb")[n]
+    for i, name in enumerate(names):
+        upper = F.struct(*[field(n).alias(n) for n in keys + names[: i + 1]])
+        sums = offsets.groupBy(upper.alias("__u")).agg(F.sum("__n").alias("__s"))
+        group = [F.col("__u")[n] for n in keys + names[:i]]
+        running = Window.partitionBy(*group).orderBy(F.col("__u")[name]).rowsBetween(Window.unboundedPreceding, -1)
+        sums = sums.select("__u", F.coalesce(F.sum("__s").over(running), F.lit(0)).alias("__s"))
+        offsets = offsets.join(sums, upper == F.col("__u")).select("__kb", "__n", (F.col("__before") + F.col("__s")).alias("__before"))
+    ranked = cut.withColumn(out, F.row_number().over(Window.partitionBy("__kb").orderBy(*order)).cast("bigint"))
+    return ranked.join(offsets.drop("__n"), "__kb").withColumn(out, F.col(out) + F.col("__before")).drop("__kb", "__before")
 
 
 def successor(df: DataFrame, keys: list[str], rank: str, values: dict[str, str]) -> DataFrame:
@@ -82,20 +102,21 @@ def next_after(
         *keys, at, tie, F.lit(0).alias("__k"), F.lit(None).cast(targets.schema[target].dataType).alias(target),
         F.struct(*rest).alias("__p"),
     )
-    both = t.unionByName(p).withColumn("__b", bucket(F.col(at)))
-    back = Window.partitionBy(*keys, "__b").orderBy(F.desc(at), F.desc(tie), F.asc("__k"))
+    place = F.struct(*keys, bucket(F.col(at)).alias("b"))
+    both = t.unionByName(p).withColumn("__kb", place)
+    back = Window.partitionBy("__kb").orderBy(F.desc(at), F.desc(tie), F.asc("__k"))
     near = both.withColumn(
         "__near", F.last(target, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0))
     ).where("__k = 0")
-    firsts = targets.withColumn("__b", bucket(F.col(at))).groupBy(*keys, "__b").agg(
-        F.min_by(target, F.struct(at, tie)).alias("__first")
+    # one row per bucket; a bucket may hold probes and no targets
+    table = both.groupBy("__kb").agg(F.min_by(target, F.when(F.col("__k") == 1, F.struct(at, tie))).alias("__first"))
+    later = (
+        Window.partitionBy(*[F.col("__kb")[k] for k in keys])
+        .orderBy(F.col("__kb")["b"].desc())
+        .rowsBetween(Window.unboundedPreceding, -1)
     )
-    # a bucket may hold probes and no targets, so every probe bucket gets a row of its own
-    seen = both.select(*keys, "__b").distinct()
-    table = attach(seen, firsts, [*keys, "__b"], ["__first"])
-    later = Window.partitionBy(*keys).orderBy(F.desc("__b")).rowsBetween(Window.unboundedPreceding, -1)
-    carry = table.select(*keys, "__b", F.last("__first", ignorenulls=True).over(later).alias("__carry"))
-    out = attach(near, carry, [*keys, "__b"], ["__carry"])
+    carry = table.select("__kb", F.last("__first", ignorenulls=True).over(later).alias("__carry"))
+    out = near.join(carry, "__kb")
     return out.select(*keys, at, tie, "__p.*", F.coalesce("__near", "__carry").alias(target))
 
 

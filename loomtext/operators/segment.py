@@ -151,7 +151,7 @@ def length_batches(chunks: DataFrame, keys: list[str], size: int = fixed.BATCH_S
         chunks.withColumn("__len", F.length("text")),
         keys,
         [F.desc("__len"), F.asc("part_pos"), F.asc("chunk_idx")],
-        [-F.col("__len"), F.col("part_pos"), F.expr("chunk_idx div 4096")],
+        [-F.col("__len"), F.expr("part_pos div 65536"), F.col("part_pos"), F.expr("chunk_idx div 4096")],
         "rank",
         hot_rows,
     )

@@ -63,7 +63,7 @@ def parse_log(log: DataFrame) -> DataFrame:
 
 def number_items(items: DataFrame, block: int = 65536) -> DataFrame:
     """Dense position of each item, from counts per block of ``seq``."""
-    return row_number_by(items, [], [F.asc("seq")], [F.expr(f"seq div {block}")], "pos")
+    return row_number_by(items, [], [F.asc("seq")], [F.expr(f"seq div {block * 4096}"), F.expr(f"seq div {block}")], "pos")
 
 
 def mark_finished(items: DataFrame, block: int = 65536, lookback: int = fixed.LOG_LOOKBACK) -> DataFrame:

@@ -159,7 +159,7 @@ def _(fx):
 def _(fx):
     from ..operators.ranking import row_number_by
 
-    rows = row_number_by(_wide(tagged_chunks(fx)), ["conv_id"], [F.asc("part_pos"), F.asc("chunk_idx")], [F.col("part_pos"), F.expr("chunk_idx div 4096")], "place")
+    rows = row_number_by(_wide(tagged_chunks(fx)), ["conv_id"], [F.asc("part_pos"), F.asc("chunk_idx")], [F.expr("part_pos div 65536"), F.col("part_pos"), F.expr("chunk_idx div 4096")], "place")
     return rows.select("conv_id", "part_pos", "chunk_idx", "place").orderBy("conv_id", "part_pos", "chunk_idx")
 
 

@@ -157,7 +157,7 @@ def _page_sql(index, size):
 
 def _page(fx, index, size):
     day = -F.unix_seconds(F.col("updated_at").cast("timestamp"))
-    return R.page(fx.V_chapters.select("id", "updated_at"), [F.desc("updated_at"), F.asc("id")], [day, F.expr("id div 65536")], index, size).select("id")
+    return R.page(fx.V_chapters.select("id", "updated_at"), [F.desc("updated_at"), F.asc("id")], [F.expr("-unix_date(cast(updated_at as date))"), day, F.expr("id div 65536")], index, size).select("id")
 
 
 @query("OR5_page", _page_sql(3, 25))
