@@ -44,31 +44,30 @@ def anchored_matches(
 ) -> DataFrame:
     """(doc_id, order, message) for every message a document holds.
 
-    A text that holds a message holds the message's inner words as whole words, so the longest inner
-    word is the join key. A message of one or two words lies with its longest word inside one word
-    of the text, and is keyed on the first characters of that word against the text's runs of as
-    many characters. Matches are then checked with ``contains``. The array built per document
-    afterwards is bounded by the document's own text.
+    Everything meets on whole words. A text that holds a message holds the message's inner words as
+    words, so a message is filed under its longest inner word. A message of one or two words lies
+    with its longest word inside some word of the texts: it is filed under every word of the
+    vocabulary that contains it, found by runs of its first characters. Documents join this
+    table by their distinct words, which carry no text, and only the candidates are checked
+    against the text. The array built per document afterwards is bounded by the document itself.
     """
     words = F.split(col(message), r"\s+")
     longest = lambda ws: F.element_at(F.array_sort(F.transform(ws, lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))), -1)["w"]
     inner = F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(1)))
-    keyed = messages.select(
-        order,
-        message,
-        F.when(F.size(words) >= 3, longest(inner)).alias("word"),
-        F.when(F.size(words) < 3, F.substring(longest(words), 1, _GRAM)).alias("start"),
+    filed = messages.select(
+        order, message, (F.size(words) >= 3).alias("exact"), F.when(F.size(words) >= 3, longest(inner)).otherwise(longest(words)).alias("word")
     )
     body = docs.select(doc_id, text)
-    by_word = keyed.where("word is not null").select(order, message, F.col("word").alias("anchor"))
-    pairs = explode_rows(body, F.array_distinct(F.split(text, r"\s+")), "anchor", doc_id, text).join(by_word, "anchor")
-    by_start = keyed.where("start is not null").select(order, message, F.col("start").alias("anchor"), F.length("start").alias("n"))
-    for (n,) in by_start.select("n").distinct().collect():  # at most _GRAM values
-        runs = F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?=(\S{{{n}}}))"), F.lit(1)))
-        pairs = pairs.unionByName(
-            explode_rows(body, runs, "anchor", doc_id, text).join(by_start.where(F.col("n") == n).drop("n"), "anchor")
-        )
-    return pairs.where(F.contains(text, F.col(message))).select(doc_id, order, message)
+    doc_words = explode_rows(body, F.array_distinct(F.split(text, r"\s+")), "word", doc_id)
+    table = filed.where("exact").select("word", order, message)
+    short = filed.where("not exact").select(order, message, F.col("word").alias("part"), F.substring("word", 1, _GRAM).alias("run"))
+    vocabulary = doc_words.select("word").distinct()
+    for (n,) in short.select(F.length("run")).distinct().collect():  # at most _GRAM values
+        runs = F.array_distinct(F.regexp_extract_all("word", F.lit(rf"(?=(\S{{{n}}}))"), F.lit(1)))
+        holds = explode_rows(vocabulary, runs, "run", "word").join(short.where(F.length("run") == n), "run")
+        table = table.unionByName(holds.where(F.contains(F.col("word"), F.col("part"))).select("word", order, message))
+    pairs = doc_words.join(table, "word").select(doc_id, order, message).distinct()
+    return pairs.join(body, doc_id).where(F.contains(F.col(text), F.col(message))).select(doc_id, order, message)
 
 
 def clean_documents(

@@ -8,8 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.titles import decode_file_name, encode_file_name, normal_url, strip_series, title_key
-from .ranking import attach, row_number_by, successor
+from ..functions.titles import decode_file_name, normal_url, strip_series, title_key
+from .ranking import attach, row_number_by, successor, unless_null
 
 
 def listing_keys(toc: DataFrame, key: Column) -> DataFrame:
@@ -40,8 +40,9 @@ def dates_with_fallback(chapters: DataFrame, toc: DataFrame) -> DataFrame:
     The last listed non-empty date of an address wins.
     """
     dates = toc.where("pub_date is not null and pub_date <> ''").groupBy("url").agg(F.max_by("pub_date", "pos").alias("__date"))
-    rows = chapters.join(dates.withColumnRenamed("url", "source_url"), "source_url", "left")
-    return rows.withColumn("published_date", F.coalesce("__date", "published_date")).drop("__date")
+    key = unless_null(F.col("source_url"), F.col("id"))
+    rows = chapters.join(dates.withColumnRenamed("url", "__url"), key == F.col("__url"), "left")
+    return rows.withColumn("published_date", F.coalesce("__date", "published_date")).drop("__date", "__url")
 
 
 def distinct_links(links: DataFrame) -> DataFrame:
@@ -167,7 +168,7 @@ def apply_title_fixes(chapters: DataFrame, fixes: DataFrame, outputs: DataFrame,
     hit = fixes.select("id", F.col("raw_path").alias("__old"), F.col("new_title").alias("__title"), F.col("new_path").alias("__path"))
     rows = chapters.join(hit, (chapters["id"] == hit["id"]) & (chapters["raw_path"] == hit["__old"]), "left").drop(hit["id"])
     there = outputs.select(F.col("path").alias("__out")).distinct()
-    rows = rows.join(there, F.col("output_path") == F.col("__out"), "left")
+    rows = rows.join(there, unless_null(F.col("output_path"), F.col("raw_path")) == F.col("__out"), "left")
     done = F.col("__path").isNotNull()
     moved = F.concat(
         F.regexp_replace("output_path", r"[^/]*$", ""),

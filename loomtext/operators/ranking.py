@@ -29,6 +29,12 @@ def attach(df: DataFrame, side: DataFrame, names: list[str], values: list[str])
     return df.join(renamed, same(df, renamed, names, "__r"), "left").drop(*[n + "__r" for n in names])
 
 
+def unless_null(key: Column, other: Column) -> Column:
+    """A join key for an outer join that spreads its NULLs: in their place stands a value that can
+    match nothing, made from another column. Else all NULL keys go to one task."""
+    return F.coalesce(key, F.concat(F.lit("\u0000"), other.cast("string")))
+
+
 def row_number_by(
     df: DataFrame,
     keys: list[str],

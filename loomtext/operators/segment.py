@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import fixed
 from ..functions.base import col, explode_rows, is_blank, let, posexplode_rows, strip
 from ..functions.text import parts_of
+from ..session import collect_bounded
 from .ranking import row_number_by
 
 _STEP = 256
@@ -119,21 +120,18 @@ def chunk_manifest(
 def resolve_voice(chunks: DataFrame, voices: DataFrame, mappings: Column, name: str = "speaker") -> DataFrame:
     """Add ``voice``: a name that is no known voice goes through the mapping when it has an entry.
 
-    ``voices`` has one column ``voice_name``. The join is a left join on it; AQE broadcasts it
-    when its measured size allows.
+    ``voices`` has one column ``voice_name``. A list within the stated size becomes a constant
+    set, so a voice with very many chunks is not shuffled; a longer one is joined.
     """
-    known = voices.select(F.col("voice_name").alias("__known")).distinct()
-    return (
-        chunks.join(known, F.col(name) == F.col("__known"), "left")
-        .withColumn(
-            "voice",
-            F.when(
-                F.col("__known").isNull() & F.coalesce(F.map_contains_key(mappings, F.col(name)), F.lit(False)),
-                F.element_at(mappings, F.col(name)),
-            ).otherwise(F.col(name)),
-        )
-        .drop("__known")
-    )
+    names = collect_bounded(voices, "voice_name")
+    if names is not None:
+        marked = chunks.withColumn("__known", F.coalesce(F.col(name).isin(names), F.lit(False)))
+    else:
+        known = voices.select(F.col("voice_name").alias(name), F.lit(True).alias("__known")).distinct()
+        marked = chunks.join(known, name, "left")
+    mapped = ~F.coalesce("__known", F.lit(False)) & F.coalesce(F.map_contains_key(mappings, F.col(name)), F.lit(False))
+    voice = F.when(mapped, F.element_at(mappings, F.col(name))).otherwise(F.col(name))
+    return marked.withColumn("voice", voice).drop("__known")
 
 
 def voice_groups(chunks: DataFrame, doc: str = "doc_id", voice: str = "voice") -> DataFrame:
@@ -199,7 +197,7 @@ def overlong(chunks: DataFrame, seconds: str, chars: str, attempt: str) -> DataF
 
 
 def remaining(planned: DataFrame, produced: DataFrame, keys: list[str]) -> DataFrame:
-    return planned.join(produced.select(*keys).distinct(), keys, "left_anti")
+    return planned.join(produced.select(*keys), keys, "left_anti")
 
 
 def progress_chars(chunks: DataFrame, produced: DataFrame, keys: list[str], doc: str = "doc_id") -> DataFrame:

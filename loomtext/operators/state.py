@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions.titles import decode_file_name
+from ..session import broadcast_if_small
+from .ranking import unless_null
 
 _ERROR_CODE = r"(?i)winerror\s*(\d+)"
 
@@ -85,7 +87,7 @@ def done_stats(chapters: DataFrame, now: Column) -> DataFrame:
 def failed(chapters: DataFrame, series: DataFrame) -> DataFrame:
     """Failed chapters with the name of their series, newest first."""
     names = series.select(F.col("id").alias("series_id"), F.col("name").alias("series_name"))
-    return chapters.where("status = 'failed'").join(names, "series_id").orderBy(F.desc("updated_at"), "id")
+    return chapters.where("status = 'failed'").join(broadcast_if_small(names), "series_id").orderBy(F.desc("updated_at"), "id")
 
 
 def dashboard(series: DataFrame, chapters: DataFrame, registered: DataFrame) -> DataFrame:
@@ -283,7 +285,7 @@ def reconcile(chapters: DataFrame, files: DataFrame, outputs: DataFrame, series:
     )
     rows = rows.join(best.select(F.col("series_id").alias("b_series"), "o_base", "found"), (F.col("__base") == F.col("o_base")) & (F.col("series_id") == F.col("b_series")), "left")
     there = outputs.select(F.col("path").alias("__there")).distinct()
-    rows = rows.join(there, F.col("output_path") == F.col("__there"), "left")
+    rows = rows.join(there, unless_null(F.col("output_path"), F.col("raw_path")) == F.col("__there"), "left")
     reset = F.coalesce(F.col("status") == "processing", F.lit(False))
     was_done = F.coalesce(F.col("status") == "done", F.lit(False))
     marked = ~was_done & F.col("found").isNotNull()

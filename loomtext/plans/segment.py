@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..functions.base import explode_rows, posexplode_rows
 from ..operators import segment as S
 from ..operators.boilerplate import clean_documents
+from ..session import broadcast_if_small
 from .registry import query
 from .text import SQL_STRIP, sql_signs
 
@@ -64,7 +65,7 @@ def tagged_with_config(fx):
         F.col("id").alias("series_id"), "narrator", "system_voice",
         F.create_map(F.lit("user"), "map_user", F.lit("assistant"), "map_assistant").alias("mappings"),
     )
-    return docs.join(config, "series_id")
+    return docs.join(broadcast_if_small(config), "series_id")
 
 
 def tagged_chunks(fx):

@@ -11,6 +11,7 @@ from ..functions.base import explode_rows
 from ..functions.numbers import numbers_to_words
 from ..operators.boilerplate import attach_messages, clean_documents
 from ..operators.compare import title_fixes
+from ..session import broadcast_if_small
 from .registry import query
 
 WORD = r"\p{L}\p{M}\p{N}_"
@@ -84,7 +85,7 @@ def _(fx):
 
 
 def with_config(fx, docs, on="source"):
-    """Documents with the maps of their series; AQE broadcasts the small side when its size allows."""
+    """Documents with the maps of their series."""
     words = F.create_map(F.lit("the"), F.lit("THE"), F.lit("que"), F.lit("Q$1"))
     config = fx.V_config.select(
         F.col("series").alias(on),
@@ -93,7 +94,7 @@ def with_config(fx, docs, on="source"):
         F.when(F.col("has_words"), words).alias("words"),
         F.create_map(F.lit("user"), "map_user", F.lit("assistant"), "map_assistant").alias("mappings"),
     )
-    return docs.join(config, on, "left")
+    return docs.join(broadcast_if_small(config), on, "left")
 
 
 @query(

@@ -24,6 +24,7 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: st
         b.config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
@@ -84,3 +85,13 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = 100_000, max_bytes: int = 32 << 20) -> DataFrame:
+    """Mark a side for broadcast only when its counted rows and bytes are within the bounds.
+
+    A larger side is left to the optimizer, which shuffles and splits skewed partitions.
+    """
+    size = F.octet_length(F.to_json(F.struct(*df.columns)))
+    n, b = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(df) if n <= max_rows and b <= max_bytes else df
