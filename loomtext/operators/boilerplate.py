@@ -61,10 +61,11 @@ def anchored_matches(
     doc_words = explode_rows(body, F.array_distinct(F.split(text, r"\s+")), "word", doc_id)
     table = filed.where("exact").select("word", order, message)
     short = filed.where("not exact").select(order, message, F.col("word").alias("part"), F.substring("word", 1, _GRAM).alias("run"))
-    vocabulary = doc_words.select("word").distinct()
-    for (n,) in short.select(F.length("run")).distinct().collect():  # at most _GRAM values
-        runs = F.array_distinct(F.regexp_extract_all("word", F.lit(rf"(?=(\S{{{n}}}))"), F.lit(1)))
-        holds = explode_rows(vocabulary, runs, "run", "word").join(short.where(F.length("run") == n), "run")
+    sizes = sorted(n for (n,) in short.select(F.length("run")).distinct().collect())  # at most _GRAM values
+    if sizes:
+        all_runs = [F.regexp_extract_all("word", F.lit(rf"(?=(\S{{{n}}}))"), F.lit(1)) for n in sizes]
+        vocabulary = doc_words.select("word").distinct()
+        holds = explode_rows(vocabulary, F.array_distinct(F.concat(*all_runs)), "run", "word").join(short, "run")
         table = table.unionByName(holds.where(F.contains(F.col("word"), F.col("part"))).select("word", order, message))
     pairs = doc_words.join(table, "word").select(doc_id, order, message).distinct()
     return pairs.join(body, doc_id).where(F.contains(F.col(text), F.col(message))).select(doc_id, order, message)

@@ -20,13 +20,16 @@ def follow_links(
     doubles the jump table, so a chain of a million links takes 20 rounds. Nodes are unique per
     key, so the joins have no hot key.
     """
-    jump = links.where(F.col(nxt).isNotNull()).select(*keys, F.col(node).alias("__at"), F.col(nxt).alias("__to"))
-    jump = cut_lineage(jump)
+    jump = links.where(F.col(nxt).isNotNull())
+    # the length of a jump is data, so that the rounds share one compiled plan
+    jump = cut_lineage(
+        jump.select(*keys, F.col(node).alias("__at"), F.col(nxt).alias("__to"), F.lit(1).cast("bigint").alias("__span"))
+    )
     reached = starts.select(*keys, F.col(node).alias("__at"), F.lit(0).cast("bigint").alias("hop"))
     size = None
-    for k in range(MAX_ROUNDS):
+    for _ in range(MAX_ROUNDS):
         step = reached.join(jump, [*keys, "__at"]).select(
-            *keys, F.col("__to").alias("__at"), (F.col("hop") + F.lit(1 << k)).alias("hop")
+            *keys, F.col("__to").alias("__at"), (F.col("hop") + F.col("__span")).alias("hop")
         )
         reached = cut_lineage(reached.unionByName(step).groupBy(*keys, "__at").agg(F.min("hop").alias("hop")))
         grown = reached.count()
@@ -34,5 +37,9 @@ def follow_links(
             break
         size = grown
         ahead = jump.select(*keys, F.col("__at").alias("__to"), F.col("__to").alias("__far"))
-        jump = cut_lineage(jump.join(ahead, [*keys, "__to"]).select(*keys, "__at", F.col("__far").alias("__to")))
+        jump = cut_lineage(
+            jump.join(ahead, [*keys, "__to"]).select(
+                *keys, "__at", F.col("__far").alias("__to"), (F.col("__span") * 2).alias("__span")
+            )
+        )
     return reached.select(*keys, "hop", F.col("__at").alias(node))

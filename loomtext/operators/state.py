@@ -255,11 +255,13 @@ def reconcile(chapters: DataFrame, files: DataFrame, outputs: DataFrame, series:
     row with an output becomes done (.mp3 before .wav); a done row whose recorded output is
     gone goes back to pending; a row whose raw file is gone is deleted. The order is kept by
     deriving each step's status from the step before, so one pass does all five. ``files`` is
-    (series_id, raw_path), ``outputs`` is (series_id, path). Files of an unknown series are
-    not looked at.
+    (series_id, raw_path), ``outputs`` is (series_id, path). Files and rows of an unknown series
+    are left alone.
     """
-    known = series.select(F.col("id").alias("series_id"))
-    listed = files.join(known, "series_id", "left_semi").select(F.col("series_id").alias("f_series"), F.col("raw_path").alias("f_path"))
+    known = broadcast_if_small(series.select(F.col("id").alias("__known")).distinct())
+    # a path names one file, under whichever of the known series it is listed
+    listed = files.join(known, F.col("series_id") == F.col("__known"), "left_semi")
+    listed = listed.groupBy(F.col("raw_path").alias("f_path")).agg(F.min("series_id").alias("f_series"))
     on_disk = outputs.select("series_id", F.col("path").alias("o_path"), base_name(F.col("path")).alias("o_base"))
     best = on_disk.groupBy("series_id", "o_base").agg(
         F.coalesce(
@@ -267,7 +269,8 @@ def reconcile(chapters: DataFrame, files: DataFrame, outputs: DataFrame, series:
             F.min(F.when(F.endswith("o_path", F.lit(".wav")), F.col("o_path"))),
         ).alias("found")
     )
-    rows = chapters.join(listed, (F.col("raw_path") == F.col("f_path")) & (F.col("series_id") == F.col("f_series")), "full_outer")
+    stored = chapters.join(known, F.col("series_id") == F.col("__known"), "left")
+    rows = stored.join(listed, F.col("raw_path") == F.col("f_path"), "full_outer")
     name = base_name(F.col("f_path"))
     fresh = F.col("id").isNull() & F.col("f_path").isNotNull()
     usable = F.endswith("f_path", F.lit(".txt")) & ~F.endswith("f_path", F.lit("_cleaned.txt"))
@@ -275,7 +278,8 @@ def reconcile(chapters: DataFrame, files: DataFrame, outputs: DataFrame, series:
     rows = rows.withColumns(
         {
             "__fresh": fresh,
-            "__gone": F.col("f_path").isNull(),
+            "__ours": F.col("__known").isNotNull(),
+            "__gone": F.col("__known").isNotNull() & F.col("f_path").isNull(),
             "series_id": F.coalesce("series_id", "f_series"),
             "raw_path": F.coalesce("raw_path", "f_path"),
             "title": F.coalesce("title", decode_file_name(name)["title"]),
@@ -286,10 +290,11 @@ def reconcile(chapters: DataFrame, files: DataFrame, outputs: DataFrame, series:
     rows = rows.join(best.select(F.col("series_id").alias("b_series"), "o_base", "found"), (F.col("__base") == F.col("o_base")) & (F.col("series_id") == F.col("b_series")), "left")
     there = outputs.select(F.col("path").alias("__there")).distinct()
     rows = rows.join(there, unless_null(F.col("output_path"), F.col("raw_path")) == F.col("__there"), "left")
-    reset = F.coalesce(F.col("status") == "processing", F.lit(False))
+    ours = F.col("__ours")
+    reset = ours & F.coalesce(F.col("status") == "processing", F.lit(False))
     was_done = F.coalesce(F.col("status") == "done", F.lit(False))
-    marked = ~was_done & F.col("found").isNotNull()
-    reverted = was_done & F.coalesce(F.col("output_path") != "", F.lit(False)) & F.col("__there").isNull()
+    marked = (ours | F.col("__fresh")) & ~was_done & F.col("found").isNotNull()
+    reverted = ours & was_done & F.coalesce(F.col("output_path") != "", F.lit(False)) & F.col("__there").isNull()
     flag = lambda cond, text: F.when(cond, F.lit(text)).otherwise(F.lit(""))
     return rows.select(
         "id", "series_id", "title", "published_date", "raw_path",
@@ -315,10 +320,11 @@ def reconcile_report(reconciled: DataFrame) -> DataFrame:
     return reconciled.select(F.explode("actions").alias("action")).groupBy("action").agg(F.count(F.lit(1)).alias("n"))
 
 
-def write_once(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of ``new`` with ``written``: true when the key was not there yet."""
-    seen = existing.select(*keys).distinct().withColumn("__seen", F.lit(True))
-    return new.join(seen, keys, "left").withColumn("written", F.col("__seen").isNull()).drop("__seen")
+def write_once(existing: DataFrame, new: DataFrame, keys: list[str], seq: str) -> DataFrame:
+    """Rows of ``new`` with ``written``: true for the first row (by ``seq``) of a key that was not there yet."""
+    first = new.groupBy(*keys).agg(F.min(seq).alias("__first")).join(existing.select(*keys), keys, "left_anti")
+    rows = new.join(first, keys, "left")
+    return rows.withColumn("written", F.coalesce(F.col(seq) == F.col("__first"), F.lit(False))).drop("__first")
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -10,11 +10,16 @@ from ..functions.base import posexplode_rows, strip
 from .chains import follow_links
 from .ranking import next_after, row_number_by
 
-def split_log(df: DataFrame, text: str = "line") -> DataFrame:
-    """Log text to lines: colour codes off, cut at line ends and carriage returns, blanks dropped."""
+def split_log(df: DataFrame, text: str = "line", keep_indent: bool = False) -> DataFrame:
+    """Log text to lines: colour codes off, cut at line ends and carriage returns, trimmed, blanks dropped.
+
+    Trimming takes away the tab by which a chapter line is told from a plain one; ``keep_indent``
+    leaves it for the line classes.
+    """
     lines = F.split(F.regexp_replace(text, r"\x1b\[[0-9;]*m", ""), r"[\r\n]", -1)
     rest = [c for c in df.columns if c != text]
-    return posexplode_rows(df, lines, "sub", text, *rest).where(F.col(text).rlike(r"(?U)\S"))
+    found = posexplode_rows(df, lines, "sub", text, *rest).where(F.col(text).rlike(r"(?U)\S"))
+    return found if keep_indent else found.withColumn(text, strip(text))
 
 
 def parse_line(line: Column) -> Column:

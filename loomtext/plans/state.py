@@ -233,13 +233,18 @@ def _(fx):
     return chapters.unionByName(series)
 
 
-_SEEN = "select concat('2024-01-01_', cast(doc_id as string)) as file_name, doc_id from documents"
+_SAVES = "select concat(source, '_', cast(n_chars % 100 as string)) as file_name, doc_id from documents"
 
 
-@query("SNK2_write_once", f"select s.file_name, l.doc_id is null as written from ({_SEEN}) s left join labels l on l.doc_id = s.doc_id")
+@query(
+    "SNK2_write_once",
+    f"""with s as ({_SAVES}), old as (select s.file_name from s join labels l on l.doc_id = s.doc_id and l.toxic = 1)
+        select doc_id, file_name, row_number() over (partition by file_name order by doc_id) = 1 and file_name not in (select file_name from old) as written from s""",
+)
 def _(fx):
-    existing = fx.labels.select(F.concat(F.lit("2024-01-01_"), F.col("doc_id").cast("string")).alias("file_name"))
-    return S.write_once(existing, fx.sql(_SEEN), ["file_name"]).select("file_name", "written")
+    saves = fx.sql(_SAVES)
+    existing = saves.join(fx.labels.where("toxic = 1"), "doc_id", "left_semi").select("file_name")
+    return S.write_once(existing, saves, ["file_name"], "doc_id").select("doc_id", "file_name", "written")
 
 
 _PROGRESS = "select raw_path, id % 101 as pct from V_chapters where id % 5 <> 2"

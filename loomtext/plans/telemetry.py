@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..operators import telemetry as M
+from ..session import cut_lineage
 from .registry import query
 
 
@@ -20,12 +21,12 @@ ITEMS = f"""c as (select seq, rtrim({_CLEAN}) as ln, trim(replace({_CLEAN}, chr(
 
 
 def lines(fx):
-    return M.split_log(fx.V_log).select("seq", "line")
+    return M.split_log(fx.V_log, keep_indent=True).select("seq", "line")
 
 
-@query("FN17_strip_colours", f"select seq, {_CLEAN} as line from V_log")
+@query("FN17_strip_colours", f"select seq, trim({_CLEAN}, chr(9) || ' ') as line from V_log")
 def _(fx):
-    return lines(fx)
+    return M.split_log(fx.V_log).select("seq", "line")
 
 
 @query("FN18_line_kinds", f"with {ITEMS} select seq, kind from items")
@@ -80,7 +81,7 @@ def _(fx):
 
 @query("PRJ13_compact_log", f"with {ITEMS}, {_OK}, {_EMPTY} select items.seq, kind, ok.pos is not null as ok from items left join ok on ok.pos = items.pos left join em on em.pos = items.pos where kind not in ('step', 'timing', 'info') and not (kind = 'series' and em.pos is not null)")
 def _(fx):
-    return M.compact(M.annotate(items(fx, 65536))).select("seq", "kind", "ok")
+    return M.compact(M.annotate(cut_lineage(items(fx, 65536)))).select("seq", "kind", "ok")
 
 
 @query("PRJ12_percent", "select seq, case when chars_total > 0 then chars_done * 100 // chars_total end as pct from V_job_events")
@@ -183,4 +184,4 @@ def _(fx):
 
 @query("STR4_log_annotated_batch", f"with {ITEMS}, {_OK}, {_EMPTY} select items.seq, kind, ok.pos is not null as ok, em.pos is not null as empty from items left join ok on ok.pos = items.pos left join em on em.pos = items.pos")
 def _(fx):
-    return M.annotate(items(fx, 65536)).select("seq", "kind", "ok", "empty")
+    return M.annotate(cut_lineage(items(fx, 65536))).select("seq", "kind", "ok", "empty")

@@ -10,7 +10,7 @@ from ..functions.base import posexplode_rows
 from ..functions.text import clean_for_speech
 from ..operators.segment import pack
 from ..operators.telemetry import annotate, fold_progress, number_items, parse_log, split_log
-from ..session import work_path
+from ..session import cut_lineage, work_path
 from .runs import newest_version, read_batches, run_to_end
 
 
@@ -89,7 +89,8 @@ def annotate_log(log: DataFrame, block: int = 65536) -> DataFrame:
     def each(batch: DataFrame, batch_id: int) -> DataFrame:
         before = spark.read.schema(tail_schema).parquet(f"{tails}/{batch_id - 1}") if batch_id else spark.createDataFrame([], tail_schema)
         at = before.agg(F.coalesce(F.max("pos"), F.lit(0))).first()[0]
-        items = number_items(parse_log(split_log(batch).select("seq", "line")), block).withColumn("pos", F.col("pos") + at)
+        items = number_items(parse_log(split_log(batch, keep_indent=True).select("seq", "line")), block)
+        items = cut_lineage(items.withColumn("pos", F.col("pos") + at))
         both = before.unionByName(items.select(*_TAIL))
         near = both.orderBy(F.desc("pos")).limit(fixed.LOG_LOOKBACK)
         kept = both.where(~F.col("kind").isin("timing", "info")).orderBy(F.desc("pos")).limit(1)

@@ -173,7 +173,8 @@ def test_log_kinds(spark):
 
 def test_split_log(spark):
     df = spark.createDataFrame([(1, "\x1b[32mok\x1b[0m\rtwo\n\n three")], "seq int, line string")
-    assert [r.line for r in M.split_log(df).collect()] == ["ok", "two", " three"]
+    assert [r.line for r in M.split_log(df).collect()] == ["ok", "two", "three"]
+    assert [r.line for r in M.split_log(df, keep_indent=True).collect()] == ["ok", "two", " three"]
 
 
 def test_paragraph_rules(spark):

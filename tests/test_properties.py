@@ -210,6 +210,9 @@ def test_reconcile_skips_unknown_series(spark):
     files = spark.createDataFrame([(1, "/a/2024_x.txt"), (9, "/b/y.txt"), (1, "/a/x_cleaned.txt"), (1, "/a/x.md")], "series_id long, raw_path string")
     rows = ST.reconcile(chapters, files, none, series, F.expr("timestamp '2024-03-02'")).collect()
     assert [(r.title, r.published_date, r.status, r.actions) for r in rows] == [("x", "2024", "pending", ["registered"])]
+    stored = Fixtures(spark, SF).V_chapters
+    kept = ST.reconcile(stored, files.limit(0), none, series.where("id < 0"), F.expr("timestamp '2024-03-02'"))
+    assert kept.where(F.size("actions") > 0).count() == 0 and kept.count() == stored.count()
 
 
 def test_batches_keep_the_size(spark):

@@ -43,7 +43,7 @@ def test_progress_over_batches(spark, split_events):
 
 
 def test_log_over_batches(spark, split_events):
-    items = M.number_items(M.parse_log(M.split_log(Fixtures(spark, SF).V_log).select("seq", "line")))
+    items = M.number_items(M.parse_log(M.split_log(Fixtures(spark, SF).V_log, keep_indent=True).select("seq", "line")))
     batch = M.annotate(items).select("seq", "kind", "ok", "empty")
     assert rows(J.annotate_log(split_events("V_log")).select("seq", "kind", "ok", "empty")) == rows(batch)
 
