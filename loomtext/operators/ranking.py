@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 HOT_KEY_ROWS = 1_000_000
 _FEW = 10_000
 
@@ -73,18 +75,19 @@ def _number_in_buckets(df: DataFrame, keys: list[str], order: list[Column], buck
     """
     names = [f"b{i}" for i in range(len(buckets))]
     cut = df.withColumn("__kb", F.struct(*keys, *[b.alias(n) for n, b in zip(names, buckets)]))
-    offsets = cut.groupBy("__kb").agg(F.count(F.lit(1)).alias("__n"))
-    offsets = offsets.select("__kb", "__n", F.lit(0).cast("bigint").alias("__before"))
+    # the bucket counts are written once: they are small, and each level below reads them again
+    counts = cut_lineage(cut.groupBy("__kb").agg(F.count(F.lit(1)).alias("__n")))
+    offsets = counts.select("__kb", F.lit(0).cast("bigint").alias("__before"))
     field = lambda n: F.col("__kb")[n]
     for i, name in enumerate(names):
         upper = F.struct(*[field(n).alias(n) for n in keys + names[: i + 1]])
-        sums = offsets.groupBy(upper.alias("__u")).agg(F.sum("__n").alias("__s"))
+        sums = counts.groupBy(upper.alias("__u")).agg(F.sum("__n").alias("__s"))
         group = [F.col("__u")[n] for n in keys + names[:i]]
         running = Window.partitionBy(*group).orderBy(F.col("__u")[name]).rowsBetween(Window.unboundedPreceding, -1)
         sums = sums.select("__u", F.coalesce(F.sum("__s").over(running), F.lit(0)).alias("__s"))
-        offsets = offsets.join(sums, upper == F.col("__u")).select("__kb", "__n", (F.col("__before") + F.col("__s")).alias("__before"))
+        offsets = offsets.join(sums, upper == F.col("__u")).select("__kb", (F.col("__before") + F.col("__s")).alias("__before"))
     ranked = cut.withColumn(out, F.row_number().over(Window.partitionBy("__kb").orderBy(*order)).cast("bigint"))
-    return ranked.join(offsets.drop("__n"), "__kb").withColumn(out, F.col(out) + F.col("__before")).drop("__kb", "__before")
+    return ranked.join(offsets, "__kb").withColumn(out, F.col(out) + F.col("__before")).drop("__kb", "__before")
 
 
 def successor(df: DataFrame, keys: list[str], rank: str, values: dict[str, str]) -> DataFrame:

@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from loomtext import fixed
 from loomtext.functions import text as T
 from loomtext.operators import boilerplate as B
 from loomtext.operators import compare as C
@@ -18,7 +19,9 @@ from loomtext.operators import state as ST
 from loomtext.operators import telemetry as M
 from loomtext.operators.chains import follow_links
 from loomtext.plans.fixtures import Fixtures
-from loomtext.session import collect_bounded
+from loomtext.schemas import CHAPTERS
+from loomtext.session import collect_bounded, work_path
+from loomtext.sources.tables import read_state, valid_status
 
 SF = "/root/testdata/sf0.001"
 
@@ -249,3 +252,12 @@ def test_diff_counts(spark, pairs):
         want = list(difflib.unified_diff(a, b, "Current", "New", lineterm="")) if len(a) < 200 else None
         strip_range = lambda xs: [x for x in xs if not x.startswith("@@")]
         assert strip_range([x.text for x in r.lines]) == strip_range(want)
+
+
+def test_older_snapshots_read_a_new_column_as_null(spark):
+    path = work_path(spark, "state")
+    Fixtures(spark, SF).V_chapters.select("id", "status").write.parquet(path)
+    rows = read_state(spark, path, CHAPTERS)
+    assert rows.columns == CHAPTERS.names
+    assert rows.where("duration_s is null").count() == rows.count() > 0
+    assert valid_status(rows, fixed.STATUSES).count() == rows.count()
