@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,19 +29,20 @@ def follow_links(
     )
     reached = starts.select(*keys, F.col(node).alias("__at"), F.lit(0).cast("bigint").alias("hop"))
     size = None
-    for _ in range(MAX_ROUNDS):
-        step = reached.join(jump, [*keys, "__at"]).select(
-            *keys, F.col("__to").alias("__at"), (F.col("hop") + F.col("__span")).alias("hop")
-        )
-        reached = cut_lineage(reached.unionByName(step).groupBy(*keys, "__at").agg(F.min("hop").alias("hop")))
-        grown = reached.count()
-        if grown == size:
-            break
-        size = grown
-        ahead = jump.select(*keys, F.col("__at").alias("__to"), F.col("__to").alias("__far"))
-        jump = cut_lineage(
-            jump.join(ahead, [*keys, "__to"]).select(
+    with ThreadPoolExecutor(1) as pool:
+        for _ in range(MAX_ROUNDS):
+            # both tables of a round need only the round before, so they are made side by side
+            ahead = jump.select(*keys, F.col("__at").alias("__to"), F.col("__to").alias("__far"))
+            doubled = jump.join(ahead, [*keys, "__to"]).select(
                 *keys, "__at", F.col("__far").alias("__to"), (F.col("__span") * 2).alias("__span")
             )
-        )
+            longer = pool.submit(cut_lineage, doubled)
+            step = reached.join(jump, [*keys, "__at"]).select(
+                *keys, F.col("__to").alias("__at"), (F.col("hop") + F.col("__span")).alias("hop")
+            )
+            reached = cut_lineage(reached.unionByName(step).groupBy(*keys, "__at").agg(F.min("hop").alias("hop")))
+            grown = reached.count()
+            if grown == size:
+                break
+            size, jump = grown, longer.result()
     return reached.select(*keys, "hop", F.col("__at").alias(node))
