@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import work_path
-from . import bpe, chat_parts, curve_search, decontaminate, language_mix, link_trust, shard_tree, simhash, warc
+from . import attention_lm, bpe, chat_parts, curve_search, decontaminate, language_mix, link_trust, shard_tree, simhash, warc
 from .common import id_crc, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,6 +38,12 @@ select page_id, payload_bytes, payload_digest, case when page_id = first then 'r
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
+@query("op1_attention_lm")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return attention_lm.score_texts(docs, id_crc() % 7 != 2, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+
+
 @query("op2_byte_bpe")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
