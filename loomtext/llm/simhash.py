@@ -7,14 +7,16 @@ chain of ``l`` consecutive segments differs in at most ``l*t/m`` bits. The chain
 the join key (first segment equal, second within one bit, by leaving out each bit once); longer
 chains prune before the full Hamming check.
 
-Buckets are bounded: one of more than ``BUCKET`` fingerprints is not compared, its members go on to
-finer keys. The last keys are all values within half the allowed distance; a bucket of these holds at
-most 2,081 fingerprints, so nothing is left over. A bucket gives the edges of a spanning forest, not
-its pairs.
+One shuffle by key brings the members of a bucket together, sorted, and a task streams through them. Buckets
+are bounded: one of more than ``BUCKET`` fingerprints is not compared, its members go on to finer keys, and keys that
+a sample shows to be far larger are not even shuffled. The last keys are all values within half the allowed distance;
+a bucket of these holds at most 2,081 fingerprints, so nothing is left over. A bucket gives the edges of a
+spanning forest, not its pairs.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
 
@@ -35,6 +37,8 @@ SEED = 42
 RING = (13, 13, 13, 13, 12)
 #: a bucket of the last keys can't hold more: 1 + 64 + 64*63/2 values lie within two bits
 BUCKET = 2081
+#: fingerprints a task makes keys of; the share that is looked at for hot keys, and how many of these are broadcast
+TASK_PRINTS, SAMPLE, MAX_HOT = 20_000, 32, 100_000
 #: blocks of the second keys; pairs agree in all blocks but at most four
 BLOCKS = (7, 7, 7, 7, 6, 6, 6, 6, 6, 6)
 
@@ -97,7 +101,7 @@ def ring_keys(fp: Column) -> Column:
         s2, w2 = segments[(i + 1) % len(segments)]
         for j in range(w2):
             rest = _part(fp, s2, w2).bitwiseAND(F.lit(((1 << w2) - 1) & ~(1 << j)))
-            keys.append(_pack([(F.lit(i).cast("bigint"), 3), (F.lit(j).cast("bigint"), 4), (_part(fp, shift, width), width), (rest, w2)]))
+            keys.append(_pack([(F.lit(i).cast("bigint"), 3), (F.lit(j).cast("bigint"), 4), (_part(fp, shift, width), 16), (rest, 16)]))
     return F.array(*keys)
 
 
@@ -131,15 +135,11 @@ def _chain_masks(start: int) -> list[tuple[np.uint64, int]]:
 
 
 _CHAINS = [_chain_masks(i) for i in range(len(RING))]
-_KEY_BITS = [3 + 4 + w + RING[(i + 1) % len(RING)] for i, w in enumerate(RING)]
 
 
-def ring_start(key: int) -> int | None:
+def ring_start(key: int) -> int:
     """The start segment that is packed into a ring key."""
-    for i, (w, bits) in enumerate(zip(RING, _KEY_BITS)):
-        if key >> (bits - 3) == i:
-            return i
-    return None
+    return key >> 36
 
 
 def _forest(values: np.ndarray, checks: list[tuple[np.uint64, int]]) -> list[tuple[int, int]]:
@@ -150,7 +150,7 @@ def _forest(values: np.ndarray, checks: list[tuple[np.uint64, int]]) -> list[tup
         while front and len(left):
             x = front.pop()
             near = np.arange(len(left))
-            for mask, most in checks:
+            for mask, most in checks:  # longer chains first prune what the full check would
                 near = near[np.bitwise_count((left[near] ^ x) & mask) <= most]
             if len(near):
                 near = near[np.bitwise_count(left[near] ^ x) <= DISTANCE]
@@ -160,34 +160,79 @@ def _forest(values: np.ndarray, checks: list[tuple[np.uint64, int]]) -> list[tup
     return edges
 
 
-def _bucket_edges(rows: DataFrame, ring: bool) -> DataFrame:
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        a, b = [], []
-        for key, members in zip(batch.column("key").to_pylist(), batch.column("members").to_pylist()):
-            start = ring_start(key) if ring else None
-            values = np.unique(np.array(members, np.int64)).view(np.uint64)
-            # within a key the same values form a forest by any start that the key names
-            for x, y in _forest(values, _CHAINS[start] if start is not None else []):
-                a.append(x), b.append(y)
-        return pa.RecordBatch.from_arrays([pa.array(np.array(v, np.uint64).view(np.int64)) for v in (a, b)], ["a", "b"])
-
-    return map_batches(rows, run, "a bigint, b bigint")
-
-
-def _level(prints: DataFrame, keys, ring: bool, bucket: int) -> tuple[DataFrame, DataFrame]:
-    """Edges of all buckets of one kind of key that are not too large; the fingerprints of those that are."""
-    rows = prints.select("fp", F.explode(keys(F.col("fp"))).alias("key"))
-    sizes = cut_lineage(
-        rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1")
-    )
-    pairs = sizes.where("n = 2").select("a", "b").distinct().where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE)
-    larger = sizes.where("n > 2").select("key", "n")
-    if larger.isEmpty():
-        return pairs, None
-    met = cut_lineage(rows.join(larger, "key"))
-    groups = met.where(F.col("n") <= bucket).groupBy("key").agg(F.collect_list("fp").alias("members"))
-    dense = met.where(F.col("n") > bucket).select("fp").distinct()
-    return pairs.unionByName(_bucket_edges(groups, ring)), dense
+def _compare(keys: np.ndarray, prints: np.ndarray, ring: bool, bucket: int, a: list, b: list, dense: list) -> None:
+    """Edges and left-over fingerprints of whole buckets, sorted by key."""
+    edges = np.flatnonzero(np.diff(keys)) + 1
+    starts, stops = np.concatenate(([0], edges)), np.concatenate((edges, [len(keys)]))
+    sizes = stops - starts
+    two = starts[sizes == 2]
+    near = two[np.bitwise_count(prints[two] ^ prints[two + 1]) <= DISTANCE]
+    a.append(prints[near]), b.append(prints[near + 1])
+    for i in np.flatnonzero(sizes > 2):
+        values = prints[starts[i] : stops[i]]
+        if sizes[i] > bucket:
+            dense.append(values)
+            continue
+        # a pair meets under each start whose chain of two it passes, among them one whose longer chains it passes too
+        found = _forest(values, _CHAINS[ring_start(int(keys[starts[i]]))] if ring else [])
+        if found:
+            pairs = np.array(found, np.uint64)
+            a.append(pairs[:, 0]), b.append(pairs[:, 1])
+
+
+def _stream(ring: bool, bucket: int):
+    """Rows (key, fp) sorted by both to edges (a, b) and, with a null b, fingerprints of buckets that are too large."""
+
+    def out(a: list, b: list, dense: list) -> pa.RecordBatch:
+        left = np.concatenate([*a, *dense, np.zeros(0, np.uint64)]).view(np.int64)
+        right = np.concatenate([*b, np.zeros(0, np.uint64)]).view(np.int64)
+        none = pa.nulls(len(left) - len(right), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(left), pa.concat_arrays([pa.array(right), none])], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, prints, full = np.zeros(0, np.int64), np.zeros(0, np.uint64), None
+        for batch in batches:
+            a, b, dense = [], [], []
+            keys = np.concatenate((keys, np.asarray(batch.column("key"))))
+            prints = np.concatenate((prints, np.asarray(batch.column("fp")).view(np.uint64)))
+            if full is not None:  # the rest of a bucket that is known to be too large
+                n = int(np.searchsorted(keys, full, "right"))
+                dense.append(prints[:n])
+                keys, prints = keys[n:], prints[n:]
+            if len(keys):
+                n, full = int(np.searchsorted(keys, keys[-1])), None
+                if n:
+                    _compare(keys[:n], prints[:n], ring, bucket, a, b, dense)
+                keys, prints = keys[n:], prints[n:]
+                if len(keys) > bucket:
+                    full = keys[0]
+                    dense.append(prints)
+                    keys, prints = keys[:0], prints[:0]
+            yield out(a, b, dense)
+        if len(keys):
+            a, b, dense = [], [], []
+            _compare(keys, prints, ring, bucket, a, b, dense)
+            yield out(a, b, dense)
+
+    return run
+
+
+def _level(prints: DataFrame, keys, ring: bool, bucket: int, last: bool) -> DataFrame:
+    """(a, b): edges of all buckets of one kind of key, and with a null b what is left for finer keys."""
+    # few bytes but many keys a row: by rows, not by bytes
+    spread = prints.repartition(max(1, prints.count() // TASK_PRINTS), "fp")
+    rows = spread.select("fp", F.explode(keys(F.col("fp"))).alias("key"))
+    far = None
+    if not last:
+        some = rows.where(F.pmod(F.xxhash64("fp"), F.lit(SAMPLE)) == 0).groupBy("key").count()
+        hot = cut_lineage(some.where(F.col("count") > max(2 * bucket // SAMPLE, 8)).select("key"))
+        if 0 < hot.count() <= MAX_HOT:
+            # which keys these are changes no result: their members go on to the finer keys
+            far = rows.join(F.broadcast(hot), "key", "left_semi").select("fp").distinct()
+            rows = rows.join(F.broadcast(hot), "key", "left_anti")
+    sorted_rows = rows.select("key", "fp").repartition("key").sortWithinPartitions("key", "fp")
+    found = sorted_rows.mapInArrow(_stream(ring, bucket), "a bigint, b bigint")
+    return cut_lineage(found if far is None else found.unionByName(far.select(F.col("fp").alias("a"), F.lit(None).cast("bigint").alias("b"))))
 
 
 def links(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
@@ -195,12 +240,11 @@ def links(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
     the distance. ``bucket`` bounds what one task compares at a time; smaller values give the same
     components by finer keys, but only the last keys may hold up to 2,081 values in any case."""
     edges, left = None, prints
-    for keys, ring, most in ((ring_keys, True, bucket), (block_keys, False, bucket), (middle_keys, False, BUCKET)):
-        found, left = _level(left, keys, ring, most)
+    for keys, ring, most, last in ((ring_keys, True, bucket, False), (block_keys, False, bucket, False), (middle_keys, False, BUCKET, True)):
+        level = _level(left, keys, ring, most, last)
+        found = level.where("b is not null")
         edges = found if edges is None else edges.unionByName(found)
-        if left is None:
-            break
-        left = cut_lineage(left)
+        left = cut_lineage(level.where("b is null").select(F.col("a").alias("fp")).distinct())
         if left.isEmpty():
             break
     return edges
