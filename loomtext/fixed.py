@@ -118,3 +118,20 @@ LOG_ERROR_ANYWHERE = r"(?i)TTS produced garbled audio|share unreachable|No such
 
 # fixed values: Windows codes of a lost network share
 NETWORK_CODES = [53, 64, 67, 1231]
+
+# Which page elements are spoken by another voice, by kind. Elements are named by tag or by a chain of tags
+# from the outside in, with words of their style; texts by a pattern, of which the first group that is there is spoken.
+VOICE_RULES = {
+    "table": {"tags": ("table tbody",), "form": "lines", "breaks": " "},
+    "center": {"tags": ("p",), "style": "text-align: center", "form": "lines"},
+    "bold": {"tags": ("strong", "b"), "form": "flat"},
+    "italic": {"tags": ("em",), "form": "flat"},
+    "blockquote": {"tags": ("blockquote",), "form": "flat"},
+    "bracket": {"pattern": r"\A\[([^\[\]]*)\]\n?\Z"},
+    "angle": {"pattern": r"<<([^<>]+)>>|<([^<>]+)>"},
+}
+SYSTEM_SPEAKER, STRESSED_SPEAKER, STRESSED_TAGS = "system", "fable", ("em", "i")
+
+# Elements that become plain text before that: tags, words of their style, the text in their place or None
+# for their own
+PLAIN_EDITS = ((("em", "span"), "font-weight: 400", None), (("hr",), None, "\n\n"))

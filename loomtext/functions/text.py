@@ -247,6 +247,25 @@ def cut_messages(line: Column, messages: Column, collapse_spaces: bool = True) -
     return fold(messages, line, step)
 
 
+def cut_states(line: Column, messages: Column, collapse_spaces: bool = True) -> Column:
+    """What is left of a line after each message that is cut out of it: an array of texts, empty without a cut."""
+    tidy = collapse if collapse_spaces else strip
+    start = F.struct(line.alias("now"), F.array().cast("array<string>").alias("seen"))
+
+    def step(acc, m):
+        rest = tidy(F.replace(acc["now"], m, F.lit("")))
+        return F.when(
+            F.contains(acc["now"], m), let(rest, lambda r: F.struct(r.alias("now"), F.concat(acc["seen"], F.array(r)).alias("seen")))
+        ).otherwise(acc)
+
+    return fold(messages, start, step, lambda acc: acc["seen"])
+
+
+def normal_line(line: Column, collapse_spaces: bool = True) -> Column:
+    """A line as messages are compared with it."""
+    return tighten_punctuation(collapse(line)) if collapse_spaces else strip(line)
+
+
 def clean_paragraphs(lines: Column, messages: Column, collapse_spaces: bool = True, dedupe: bool = True) -> Column:
     """Boilerplate and repeats out of a document's lines: array<struct<pos, line>>.
 
@@ -254,13 +273,8 @@ def clean_paragraphs(lines: Column, messages: Column, collapse_spaces: bool = Tr
     ``dedupe`` a line seen before goes, but a line that had a message cut out stays.
     Repeats are found by sorting (line, pos) inside the row: n log n, and no shuffle.
     """
-    if collapse_spaces:
-        norm = lambda x: tighten_punctuation(collapse(x))
-    else:
-        norm = strip
-
     entries = F.filter(
-        F.transform(lines, lambda x, i: F.struct(norm(x).alias("raw"), i.alias("pos"))),
+        F.transform(lines, lambda x, i: F.struct(normal_line(x, collapse_spaces).alias("raw"), i.alias("pos"))),
         lambda e: (e["raw"] != "") & ~F.array_contains(messages, e["raw"]),
     )
     cut = F.filter(

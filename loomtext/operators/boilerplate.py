@@ -1,15 +1,26 @@
-"""Boilerplate messages: which of them occur in which document, and their removal."""
+"""Boilerplate messages: which of them a document may hold, and their removal.
+
+Messages are looked for in the text as the removal sees it: in normalised lines, and again after each cut,
+since a cut can bring the ends of another message together.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.base import col, explode_rows
-from ..functions.text import clean_paragraphs, occurring
-from ..session import collect_bounded
+from ..functions.text import clean_paragraphs, constant_list, cut_states, normal_line, occurring
+from ..session import collect_bounded, cut_lineage
+from ..sources.pages import FIRST_SITE, Profile, extract_pages, finish_pages
 
 _GRAM = 8
+MAX_ROUNDS = 50
+
+
+def prepared_text(lines: Column, collapse_spaces: bool = True) -> Column:
+    """The lines as removal compares them, in one text; no message spans a line end."""
+    return F.array_join(F.transform(lines, lambda x: normal_line(x, collapse_spaces)), "\n")
 
 
 def attach_messages(
@@ -21,22 +32,50 @@ def attach_messages(
     order: str = "item_id",
     max_rows: int = 2_000,
     max_bytes: int = 1 << 20,
+    lines: Column | None = None,
+    collapse_spaces: bool = False,
 ) -> DataFrame:
-    """Add ``messages``: the array of messages that occur in each document, in list order.
+    """Add ``messages``: the messages to cut out of each document, in list order.
 
-    A list within the stated size becomes a literal. A longer one is joined on an anchor word.
+    With ``lines`` (an array of raw lines) they are matched in the normalised lines, else in the text itself.
+    A list within the stated size is a literal: a document that holds any of it gets the whole list, the others none. Of
+    a longer one a document gets those that occur in it or in what earlier cuts leave. Both lead to the same cuts.
     """
     messages = messages.where(F.col(message).rlike(r"\S"))
+    seen = col(text) if lines is None else prepared_text(lines, collapse_spaces)
     small = collect_bounded(messages.orderBy(order), message, max_rows, max_bytes)
+    none = F.array().cast("array<string>")
     if small is not None:
-        return docs.withColumn("messages", occurring(small, F.col(text)))
-    found = anchored_matches(docs, messages, text, doc_id, message, order)
-    per_doc = found.groupBy(doc_id).agg(
-        F.transform(F.array_sort(F.collect_set(F.struct(order, message))), lambda m: m[message]).alias("messages")
-    )
-    return docs.join(per_doc, doc_id, "left").withColumn(
-        "messages", F.coalesce("messages", F.array().cast("array<string>"))
-    )
+        some = F.size(occurring(small, seen)) > 0
+        return docs.withColumn("messages", F.when(some, constant_list(small) if small else none).otherwise(none))
+    per_doc = _closed_matches(docs.select(doc_id, seen.alias("text")), messages, doc_id, message, order, collapse_spaces)
+    return docs.join(per_doc, doc_id, "left").withColumn("messages", F.coalesce("messages", none))
+
+
+def _closed_matches(body: DataFrame, messages: DataFrame, doc_id: str, message: str, order: str, collapse_spaces: bool) -> DataFrame:
+    """(doc_id, messages): what occurs in the texts and in every state that cutting it leaves, round after round.
+
+    Only documents that got new messages go into the next round, as the states between their cuts.
+    """
+    found = cut_lineage(anchored_matches(body, messages, "text", doc_id, message, order))
+    new = found
+    for _ in range(MAX_ROUNDS):
+        if new.isEmpty():
+            break
+        lists = _listed(found, doc_id, message, order).join(new.select(doc_id).distinct(), doc_id, "left_semi")
+        states = F.flatten(F.transform(F.split("text", "\n", -1), lambda x: cut_states(x, F.col("messages"), collapse_spaces)))
+        after = body.join(lists, doc_id).select(doc_id, F.array_join(F.array_distinct(states), "\n").alias("text"))
+        more = anchored_matches(after, messages, "text", doc_id, message, order)
+        new = cut_lineage(more.join(found.select(doc_id, order), [doc_id, order], "left_anti"))
+        found = cut_lineage(found.unionByName(new))
+    else:
+        raise RuntimeError(f"cuts went on for more than {MAX_ROUNDS} rounds")
+    return _listed(found, doc_id, message, order)
+
+
+def _listed(found: DataFrame, doc_id: str, message: str, order: str) -> DataFrame:
+    listed = F.array_sort(F.collect_set(F.struct(order, message)))
+    return found.groupBy(doc_id).agg(F.transform(listed, lambda m: m[message]).alias("messages"))
 
 
 def anchored_matches(
@@ -45,7 +84,7 @@ def anchored_matches(
     """(doc_id, order, message) for every message a document holds.
 
     Everything meets on whole words. A text that holds a message holds the message's inner words as
-    words, so a message is filed under its longest inner word. A message of one or two words lies
+    words, so a message is filed under its inner word that the fewest documents hold. A message of one or two words lies
     with its longest word inside some word of the texts: it is filed under every word of the
     vocabulary that contains it, found by runs of its first characters. Documents join this
     table by their distinct words, which carry no text, and only the candidates are checked
@@ -54,12 +93,14 @@ def anchored_matches(
     words = F.split(col(message), r"\s+")
     longest = lambda ws: F.element_at(F.array_sort(F.transform(ws, lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))), -1)["w"]
     inner = F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(1)))
-    filed = messages.select(
-        order, message, (F.size(words) >= 3).alias("exact"), F.when(F.size(words) >= 3, longest(inner)).otherwise(longest(words)).alias("word")
-    )
+    filed = messages.select(order, message, (F.size(words) >= 3).alias("exact"), inner.alias("inner"), longest(words).alias("word"))
     body = docs.select(doc_id, text)
     doc_words = explode_rows(body, F.array_distinct(F.split(text, r"\s+")), "word", doc_id)
-    table = filed.where("exact").select("word", order, message)
+    parts = filed.where("exact").select(order, message, F.explode(F.array_distinct("inner")).alias("word"))
+    # documents that hold each inner word; one that none holds rules its message out
+    held = doc_words.join(parts.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    rarest = parts.join(held, "word", "left").groupBy(order, message)
+    table = rarest.agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")).alias("m")).where("m.n > 0").select("m.word", order, message)
     short = filed.where("not exact").select(order, message, F.col("word").alias("part"), F.substring("word", 1, _GRAM).alias("run"))
     sizes = sorted(n for (n,) in short.select(F.length("run")).distinct().collect())  # at most _GRAM values
     if sizes:
@@ -75,8 +116,24 @@ def clean_documents(
     docs: DataFrame, messages: DataFrame, collapse_spaces: bool = True, dedupe: bool = True, **kw
 ) -> DataFrame:
     """Add ``paragraphs`` (array<struct<pos, line>>) and ``clean_text``."""
+    lines = F.split("text", "\n", -1)
     return (
-        attach_messages(docs, messages, **kw)
-        .withColumn("paragraphs", clean_paragraphs(F.split("text", "\n", -1), F.col("messages"), collapse_spaces, dedupe))
+        attach_messages(docs, messages, lines=lines, collapse_spaces=collapse_spaces, **kw)
+        .withColumn("paragraphs", clean_paragraphs(lines, F.col("messages"), collapse_spaces, dedupe))
         .withColumn("clean_text", F.array_join(F.transform("paragraphs", lambda p: p["line"]), "\n"))
     )
+
+
+def clean_pages(
+    pages: DataFrame, messages: DataFrame, site: Profile = FIRST_SITE, series: str | None = None, kinds: str | None = None, status: str | None = None, **kw
+) -> DataFrame:
+    """Raw pages to title, date and text in one path: extraction, series name off the title, messages and repeats out.
+
+    ``series``, ``kinds`` and ``status`` name columns of ``pages``. Pages are told apart by page_id.
+    """
+    parsed = extract_pages(pages, site, kinds, status)
+    held = attach_messages(parsed, messages, doc_id="page_id", lines=F.col("lines"), collapse_spaces=site.by_paragraph, **kw)
+    if series is None:
+        return finish_pages(held, F.col("messages"), site)
+    named = held.join(pages.select("page_id", F.col(series).alias("__series")), "page_id", "left")
+    return finish_pages(named, F.col("messages"), site, F.col("__series"))

@@ -9,7 +9,7 @@ from ..functions.text import clean_for_speech
 from ..functions.titles import plain_title
 from ..session import spread, work_path
 from ..sources.files import read_chapters, write_cleaned
-from ..sources.pages import Profile, extract_pages, finish_pages, savable
+from ..sources.pages import SECOND_SITE, Profile, extract_pages, finish_pages, savable
 from .registry import query
 from .text import nested
 from .. import fixed
@@ -51,9 +51,24 @@ def _(fx):
     return parsed(fx).select("page_id", F.regexp_replace(F.trim(F.get("lines", F.lit(0))), r"\s+", " ").alias("line"))
 
 
-@query("EXT3_unavailable", "select page_id, not contains(html, 'chapter-content') and contains(lower(html), 'drafted or deleted') as unavailable from pages")
+_TAKEN_DOWN = {
+    0: "'<html><body><p>This chapter was Drafted or Deleted.</p></body></html>'",
+    1: "'<html><body><div class=\"chapter-content\"><p>drafted or deleted</p></div></body></html>'",
+}
+
+
+@query(
+    "EXT3_unavailable",
+    """select page_id, page_id % 7 = 0 or page_id % 5 = 2 or (page_id % 7 > 1 and contains(lower(html), 'drafted or deleted') and not contains(html, 'chapter-content')) as unavailable,
+       page_id % 5 = 2 as unavailable_elsewhere from pages""",
+)
 def _(fx):
-    return extract_pages(fx.dealt.pages).select("page_id", F.col("gone").alias("unavailable"))
+    """Pages of which some are taken down, some only say so in their content, and some are missing by their status."""
+    html = F.expr(f"case page_id % 7 when 0 then {_TAKEN_DOWN[0]} when 1 then {_TAKEN_DOWN[1]} else html end")
+    pages = fx.pages.withColumn("html", html).withColumn("status", F.expr("case when page_id % 5 = 2 then 404 when page_id % 5 = 1 then 200 end"))
+    here = extract_pages(pages, status="status").select("page_id", F.col("gone").alias("unavailable"))
+    there = extract_pages(pages, SECOND_SITE, status="status").select("page_id", F.col("gone").alias("unavailable_elsewhere"))
+    return here.join(there, "page_id")
 
 
 @query("EXT4_voice_tags")

@@ -9,7 +9,7 @@ from ..functions import text as T
 from ..functions import titles as N
 from ..functions.base import explode_rows
 from ..functions.numbers import numbers_to_words
-from ..operators.boilerplate import attach_messages, clean_documents
+from ..operators.boilerplate import anchored_matches, attach_messages, clean_documents
 from ..operators.compare import title_fixes
 from ..session import broadcast_if_small
 from .registry import query
@@ -195,20 +195,29 @@ def _(fx):
     return title_fixes(fx.V_chapters).select("id", "old_title", "new_title")
 
 
+# documents whose lines hold messages with doubled spaces, a space before a comma, and one message around another
+MESSY = """select doc_id, concat(text,
+  case doc_id % 5 when 0 then concat(chr(10), '  Stolen   from its author , report  it.  ') when 1 then concat(chr(10), 'Stolen SPAMfrom its author, report it. Rest ', cast(doc_id as string))
+    when 2 then concat(chr(10), 'SPAM', chr(9), ' x', chr(10), 'a SP SPAM AM b') when 3 then concat(chr(10), 'SP SPAM AM') else '' end) as text from documents"""
+MESSAGES = "select item_id, message from V_block union all select -3, 'SPAM' union all select -2, 'Stolen from its author, report it.' union all select -1, 'AM b'"
+
+
 def _paragraph_sql(collapse: bool, dedupe: bool) -> str:
     tidy = "trim(regexp_replace({}, '\\s+', ' ', 'g'))" if collapse else SQL_STRIP
-    norm = f"regexp_replace({tidy.format('line')}, ' ([,.!?;:''\"])', '\\1', 'g')" if collapse else tidy.format("line")
+    norm = f"regexp_replace({tidy.format('line')}, ' ([,.!?;:\'\'\"])', '\\1', 'g')" if collapse else tidy.format("line")
     keep = "where changed or rn = 1" if dedupe else ""
-    return f"""with m as (select list(message order by item_id) as ms from V_block),
-        n as (select doc_id, pos, {norm} as raw from V_lines),
+    return f"""with b as ({MESSAGES}), d as ({MESSY}),
+        v as (select doc_id, unnest(range(len(l))) as pos, unnest(l) as line from (select doc_id, string_split(text, chr(10)) as l from d)),
+        m as (select list(message order by item_id) as ms from b),
+        n as (select doc_id, pos, {norm} as raw from v),
         c as (select doc_id, pos, raw, list_reduce(list_prepend(raw, ms), lambda a, x: case when contains(a, x) then {tidy.format("replace(a, x, '')")} else a end) as line
               from n, m where raw <> '' and not list_contains(ms, raw)),
         r as (select doc_id, pos, line, line <> raw as changed, row_number() over (partition by doc_id, line order by pos) as rn from c where line <> '')
         select doc_id, pos, line from r {keep}"""
 
 
-def _paragraphs(fx, collapse, dedupe):
-    docs = clean_documents(fx.dealt.documents, fx.V_block, collapse, dedupe)
+def _paragraphs(fx, collapse, dedupe, **kw):
+    docs = clean_documents(fx.sql(MESSY), fx.sql(MESSAGES), collapse, dedupe, **kw)
     rows = explode_rows(docs, F.col("paragraphs"), "p", "doc_id")
     return rows.select("doc_id", F.col("p.pos").cast("bigint").alias("pos"), "p.line")
 
@@ -228,6 +237,12 @@ def _(fx):
     return _paragraphs(fx, True, True)
 
 
+@query("JN12_paragraphs_long_list", _paragraph_sql(True, True))
+def _(fx):
+    """The same with the list treated as too long for a literal."""
+    return _paragraphs(fx, True, True, max_rows=0)
+
+
 @query("FN14_space_before_punctuation", "select doc_id, pos, regexp_replace(replace(line, ',', ' ,'), ' ([,.!?;:''\"])', '\\1', 'g') as line from V_lines")
 def _(fx):
     return fx.V_lines.select("doc_id", "pos", T.tighten_punctuation(F.replace("line", F.lit(","), F.lit(" ,"))).alias("line"))
@@ -247,8 +262,8 @@ def _(fx):
 @query("JN12_blocklist_long_list", "select d.doc_id, count(*) as hits from documents d join V_block b on contains(d.text, b.message) group by d.doc_id")
 def _(fx):
     """The same list treated as too long to broadcast: matched by a join on anchor words."""
-    docs = attach_messages(fx.dealt.documents, fx.V_block, max_rows=0)
-    return docs.select("doc_id", F.size("messages").cast("bigint").alias("hits")).where("hits > 0")
+    found = anchored_matches(fx.documents, fx.V_block, "text", "doc_id", "message", "item_id")
+    return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("hits"))
 
 
 @query(

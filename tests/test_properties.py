@@ -180,10 +180,26 @@ def test_long_message_lists_give_the_same_matches(spark):
     fx = Fixtures(spark, SF)
     extra = [(10**9 + i, m) for i, m in enumerate(["the", "and th", "  ", "e", " of the ", "zzz none", "."])]
     msgs = fx.V_block.unionByName(spark.createDataFrame(extra, "item_id long, message string"))
-    short = {r.doc_id: r.messages for r in B.attach_messages(fx.documents, msgs).collect()}
-    long = {r.doc_id: r.messages for r in B.attach_messages(fx.documents, msgs, max_rows=0).collect()}
-    assert short == long
-    assert sum(map(len, short.values())) > 400
+    odd = spark.createDataFrame([(-1, "x zzz the  none y"), (-2, "a ofthe  the b"), (-3, None)], "doc_id long, text string")
+    docs = fx.documents.select("doc_id", "text").unionByName(odd)
+    cut = F.array_join(F.transform(B.clean_paragraphs(F.split("text", "\n", -1), F.col("messages")), lambda p: p["line"]), "\n")
+    lines = F.split("text", "\n", -1)
+    short = B.attach_messages(docs, msgs, lines=lines, collapse_spaces=True)
+    long = B.attach_messages(docs, msgs, lines=lines, collapse_spaces=True, max_rows=0)
+    want = {r.doc_id: r.cut for r in short.select("doc_id", cut.alias("cut")).collect()}
+    assert want == {r.doc_id: r.cut for r in long.select("doc_id", cut.alias("cut")).collect()}
+    assert long.select(F.sum(F.size("messages"))).first()[0] > 400
+
+
+def test_pages_lose_messages_and_series_names(spark):
+    html = '<title>Chapter 1 - My Tale | Royal Road</title><time datetime="2024-05-06T07:08:09Z"></time><div class="chapter-content"><p>Text <b>one</b> , here.</p><p>Stolen  from its author , report it.</p><p>Text one, here.</p><p>Keep SPAMthis</p></div>'
+    rows = [(1, "https://h/1", html, "My Tale", 200), (2, "https://h/2", html, None, 404), (3, "https://h/3", "<p>no</p>", "x", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, series string, status int")
+    list_of = spark.createDataFrame([(1, "SPAM"), (2, "Stolen from its author, report it.")], "item_id long, message string")
+    for most in (2000, 0):
+        got = {r.page_id: r for r in B.clean_pages(pages, list_of, series="series", status="status", max_rows=most).collect()}
+        assert (got[1].title, got[1].published_date, got[1].text) == ("Chapter 1", "2024-05-06", "Text one, here.\nKeep this")
+        assert [got[i].unavailable for i in (1, 2, 3)] == [False, True, False] and got[3].text == "Content not found"
 
 
 def test_size_check_refuses_large_lists(spark):
