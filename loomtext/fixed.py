@@ -106,8 +106,8 @@ JOB_LABELS = {
 SCRAPE_JOBS = ["scrape_all", "scrape_series", "rescrape_chapter"]
 
 # fixed values: log line shapes
-LOG_SERIES = r"^\[(\d+)/(\d+)\]\s+(Scraping|Generating)\s+(.+)$"
-LOG_QUEUE = r"^\[queue\]\s*(.*)$"
+LOG_SERIES = r"^\[(\d+)/(\d+)\](?U:\s)+(Scraping|Generating)(?U:\s)+(.+)$"
+LOG_QUEUE = r"^\[queue\](?U:\s)*(.*)$"
 LOG_STEP = r"^(Merged!|Saved!|Converted to MP3!)$"
 LOG_WARN = r"(?i)^(Chunk too long|Warning:)"
 LOG_ERROR = (

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,13 +15,15 @@ _ONES = (
     "fifteen sixteen seventeen eighteen nineteen"
 ).split()
 _TENS = "zero ten twenty thirty forty fifty sixty seventy eighty ninety".split()
-_SCALES = [
-    "", "thousand", "million", "billion", "trillion", "quadrillion", "quintillion", "sextillion",
-    "septillion", "octillion", "nonillion", "decillion", "undecillion", "duodecillion",
-    "tredecillion", "quattuordecillion", "quindecillion", "sexdecillion", "septendecillion",
-    "octodecillion", "novemdecillion", "vigintillion",
-]
+# The parts that the names of large scales are made of, up to the hundredth
+_LOW = "m b tr quadr quint sext sept oct non".split()
+_UNITS = ["", *"un duo tre quattuor quin sex sept octo novem".split()]
+_DECADES = "dec vigint trigint quadragint quinquagint sexagint septuagint octogint nonagint".split()
+_SCALES = ["", "thousand", *[f"{n}illion" for n in [*_LOW, *[u + d for d in _DECADES for u in _UNITS], "cent"]]]
+#: numbers beyond the last named scale have no words; ``unspoken_numbers`` tells of them
 MAX_DIGITS = 3 * len(_SCALES)
+_ZEROS = [c for c in range(0x80, sys.maxunicode) if unicodedata.decimal(chr(c), None) == 0]
+_DIGITS = "".join(chr(z + d) for z in _ZEROS for d in range(10))
 
 
 def _below_thousand(n: int) -> str:
@@ -65,14 +70,32 @@ def _words(digits: Column) -> Column:
 def numbers_to_words(text: Column | str) -> Column:
     """Rewrite each integer above 99 (comma groups accepted); the rest of the text is kept.
 
-    Numbers longer than MAX_DIGITS digits stay as they are.
+    Digits of all scripts count. Numbers of more than MAX_DIGITS digits have no name and stay; see ``unspoken_numbers``.
     """
     text = col(text)
-    tokens = F.regexp_extract_all(text, F.lit(r"([0-9]{1,3}(?:,[0-9]{3})+|[0-9]+|[^0-9]+)"), F.lit(1))
 
-    def rewrite(tok):
-        digits = F.regexp_replace(tok, "^[0,]+|,", "")
-        big = tok.rlike("^[0-9]") & F.length(digits).between(3, MAX_DIGITS)
-        return F.when(big, _words(digits)).otherwise(tok)
+    def rewrite_all(tokens, plain):
+        def rewrite(tok):
+            digits = F.regexp_replace(plain(tok), "^[0,]+|,", "")
+            big = tok.rlike(r"(?U)^\d") & F.length(digits).between(3, MAX_DIGITS)
+            return F.when(big, _words(digits)).otherwise(tok)
+
+        return F.array_join(F.transform(tokens, rewrite), "")
+
+    ascii_only = F.regexp_extract_all(text, F.lit(r"([0-9]{1,3}(?:,[0-9]{3})+|[0-9]+|[^0-9]+)"), F.lit(1))
+    any_script = F.regexp_extract_all(text, F.lit(r"((?U:\d{1,3}(?:,\d{3})+|\d+|\D+))"), F.lit(1))
+    return (
+        F.when(text.rlike(r"(?U)[\d&&[^0-9]]"), rewrite_all(any_script, _ascii_digits))
+        .when(text.rlike("[0-9]{3}"), rewrite_all(ascii_only, lambda t: t))
+        .otherwise(text)
+    )
+
+
+def _ascii_digits(text: Column) -> Column:
+    return F.translate(text, _DIGITS, "0123456789" * len(_ZEROS))
+
 
-    return F.when(text.rlike("[0-9]{3}"), F.array_join(F.transform(tokens, rewrite), "")).otherwise(text)
+def unspoken_numbers(text: Column | str) -> Column:
+    """The numbers of a text that ``numbers_to_words`` has no name for."""
+    found = F.regexp_extract_all(col(text), F.lit(r"((?U:\d{1,3}(?:,\d{3})+|\d+))"), F.lit(1))
+    return F.filter(found, lambda t: F.length(F.regexp_replace(_ascii_digits(t), "^[0,]+|,", "")) > MAX_DIGITS)

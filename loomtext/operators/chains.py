@@ -45,4 +45,6 @@ def follow_links(
             if grown == size:
                 break
             size, jump = grown, longer.result()
+        else:
+            raise RuntimeError(f"links still led on after {MAX_ROUNDS} rounds")
     return reached.select(*keys, "hop", F.col("__at").alias(node))

@@ -138,8 +138,11 @@ def line_counts(changed: DataFrame, key: str = "id") -> DataFrame:
 
 
 def apply_texts(texts: DataFrame, edits: DataFrame) -> DataFrame:
-    """New text where there is an edit; ``edited`` says which rows' derived data is void."""
-    rows = texts.join(edits.select("id", F.col("new_text").alias("__new"), F.lit(True).alias("__hit")), "id", "left")
+    """New text where there is an edit, of several the last by ``seq``; ``edited`` says which rows' derived data is void."""
+    seq = F.col("seq") if "seq" in edits.columns else F.lit(0)
+    last = edits.groupBy("id").agg(F.max_by(F.struct("new_text"), seq).alias("__last"))
+    last = last.select("id", F.col("__last.new_text").alias("__new"), F.lit(True).alias("__hit"))
+    rows = texts.join(last, "id", "left")
     hit = F.col("__hit").isNotNull()
     return rows.withColumn("text", F.when(hit, F.col("__new")).otherwise(F.col("text"))).withColumn("edited", hit).drop("__new", "__hit")
 
@@ -164,7 +167,7 @@ def title_fixes(files: DataFrame) -> DataFrame:
 
 
 def apply_title_fixes(chapters: DataFrame, fixes: DataFrame, outputs: DataFrame, now: Column) -> DataFrame:
-    """New path and title where (id, old path) still matches; an output that exists moves along."""
+    """New path and title where (id, old path) still matches; an output that exists and has the old file's name moves along."""
     hit = fixes.select("id", F.col("raw_path").alias("__old"), F.col("new_title").alias("__title"), F.col("new_path").alias("__path"))
     rows = chapters.join(hit, (chapters["id"] == hit["id"]) & (chapters["raw_path"] == hit["__old"]), "left").drop(hit["id"])
     there = outputs.select(F.col("path").alias("__out")).distinct()
@@ -175,10 +178,12 @@ def apply_title_fixes(chapters: DataFrame, fixes: DataFrame, outputs: DataFrame,
         F.regexp_replace(F.regexp_replace("__path", r"^.*/", ""), r"\.txt$", ""),
         F.regexp_extract("output_path", r"(\.[^./]*)$", 1),
     )
+    stem = lambda c, ends: F.regexp_replace(F.regexp_replace(c, r"^.*/", ""), ends, "")
+    own = (stem("output_path", r"\.(mp3|wav)$") == stem("__old", r"\.txt$")) & F.col("output_path").rlike(r"\.(mp3|wav)$")
     new = {
         "raw_path": F.coalesce("__path", "raw_path"),
         "title": F.coalesce("__title", "title"),
-        "output_path": F.when(done & F.col("__out").isNotNull(), moved).otherwise(F.col("output_path")),
+        "output_path": F.when(done & own & F.col("__out").isNotNull(), moved).otherwise(F.col("output_path")),
         "updated_at": F.when(done, now).otherwise(F.col("updated_at")),
     }
     return rows.select(*[new.get(c, F.col(c)).alias(c) for c in chapters.columns])

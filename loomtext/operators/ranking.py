@@ -90,6 +90,21 @@ def _number_in_buckets(df: DataFrame, keys: list[str], order: list[Column], buck
     return ranked.join(offsets, "__kb").withColumn(out, F.col(out) + F.col("__before")).drop("__kb", "__before")
 
 
+def in_order(df: DataFrame, out: str = "rank") -> DataFrame:
+    """A sorted table with the place of each row from 1: places inside a partition, and the rows of those before it.
+
+    The table is written once, so that what is numbered is the order in which it came.
+    """
+    placed = cut_lineage(df.withColumn("__at", F.monotonically_increasing_id()))
+    part = F.shiftright("__at", 33)
+    # a row for each partition
+    sizes = placed.groupBy(part.alias("__p")).agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__low"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shifts = sizes.select("__p", (before - F.col("__low") + 1).alias("__shift"))
+    numbered = placed.join(F.broadcast(shifts), part == F.col("__p"))
+    return numbered.withColumn(out, (F.col("__at") + F.col("__shift")).cast("bigint")).drop("__at", "__p", "__shift")
+
+
 def successor(df: DataFrame, keys: list[str], rank: str, values: dict[str, str]) -> DataFrame:
     """Attach values of the next row of a dense rank by an equi-join on (keys, rank)."""
     nxt = df.select(*keys, (F.col(rank) - 1).alias(rank), *[F.col(v).alias(o) for v, o in values.items()])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import fixed
 from ..functions.titles import decode_file_name
 from ..session import broadcast_if_small
-from .ranking import unless_null
+from .ranking import in_order, unless_null
 
 _ERROR_CODE = r"(?i)winerror\s*(\d+)"
 
@@ -144,6 +144,8 @@ def work_list(chapters: DataFrame, nulls_last: bool = False) -> DataFrame:
 def overlay_progress(chapters: DataFrame, progress: DataFrame) -> DataFrame:
     """Percent of the running job on the processing row of its path."""
     live = progress.where("raw_path is not null and pct is not null").select("raw_path", "pct")
+    # of several runs of a path the one that is furthest on
+    live = live.groupBy("raw_path").agg(F.max("pct").alias("pct"))
     rows = chapters.join(live, "raw_path", "left")
     return rows.withColumn("pct", F.when(F.col("status") == "processing", F.col("pct")))
 
@@ -154,14 +156,22 @@ def overlay_progress(chapters: DataFrame, progress: DataFrame) -> DataFrame:
 def upsert_series(series: DataFrame, new: DataFrame, now: Column) -> DataFrame:
     """Insert or update by name; a NULL keeps the old value. The stamps move on every call.
 
-    A new row has a NULL id: the writer's key generator gives ids.
+    Several rows of one name are calls in the order of ``seq``: each field takes the last value that is not NULL. New rows
+    get the ids after the highest one, in the order of their names; rows without a name are left out.
     """
+    fields = [c for c in new.columns if c not in ("name", "seq")]
+    seq = F.col("seq") if "seq" in new.columns else F.lit(0)
+    calls = new.where("name is not null").withColumn("__seq", seq)
+    new = calls.groupBy("name").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("__seq"))).alias(c) for c in fields])
+    fresh = in_order(new.select("name").join(series.select("name"), "name", "left_anti").orderBy("name"), "__no")
+    new = new.join(fresh, "name", "left")
+    highest = F.lit(series.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0])
     old = series.select(*[F.col(c).alias("o_" + c) for c in series.columns])
     rows = old.join(new, F.col("o_name") == F.col("name"), "full_outer")
     touched = F.col("name").isNotNull()
     keep = lambda c: F.coalesce(F.col(c), F.col("o_" + c)).alias(c)
     return rows.select(
-        F.col("o_id").alias("id"),
+        F.coalesce("o_id", highest + F.col("__no")).alias("id"),
         *[keep(c) for c in ["name", "url", "source", "narrator", "latest_url"]],
         F.when(touched, now).otherwise(F.col("o_last_scraped_at")).alias("last_scraped_at"),
         F.coalesce("o_created_at", now).alias("created_at"),
@@ -248,6 +258,15 @@ def base_name(path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(path, r"^.*/", ""), r"(?<=.)\.[^.]*$", "")
 
 
+def with_ids(registered: DataFrame, chapters: DataFrame, series: DataFrame) -> DataFrame:
+    """Newly registered rows (see ``register``) with an id after the highest one of the chapters, in the order of ``seq``
+    and path, and the id of their series."""
+    highest = F.lit(chapters.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0])
+    numbered = in_order(registered.orderBy("seq", "raw_path"), "__no")
+    ids = series.groupBy(F.col("name").alias("series")).agg(F.min("id").alias("series_id"))
+    return numbered.join(ids, "series", "left").withColumn("id", highest + F.col("__no")).drop("__no")
+
+
 def reconcile(chapters: DataFrame, files: DataFrame, outputs: DataFrame, series: DataFrame, now: Column) -> DataFrame:
     """Bring the state in line with a file listing. Adds ``actions`` (what happened to a row).
 
@@ -269,10 +288,11 @@ def reconcile(chapters: DataFrame, files: DataFrame, outputs: DataFrame, series:
             F.min(F.when(F.endswith("o_path", F.lit(".wav")), F.col("o_path"))),
         ).alias("found")
     )
-    stored = chapters.join(known, F.col("series_id") == F.col("__known"), "left")
+    # what was stored is told by a mark: a registered row may not have its id yet
+    stored = chapters.withColumn("__stored", F.lit(True)).join(known, F.col("series_id") == F.col("__known"), "left")
     rows = stored.join(listed, F.col("raw_path") == F.col("f_path"), "full_outer")
     name = base_name(F.col("f_path"))
-    fresh = F.col("id").isNull() & F.col("f_path").isNotNull()
+    fresh = F.col("__stored").isNull()
     usable = F.endswith("f_path", F.lit(".txt")) & ~F.endswith("f_path", F.lit("_cleaned.txt"))
     rows = rows.where(F.col("raw_path").isNotNull() | usable)
     rows = rows.withColumns(

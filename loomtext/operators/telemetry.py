@@ -95,11 +95,21 @@ def mark_empty(items: DataFrame, block: int = 65536) -> DataFrame:
     w = Window.partitionBy("__b").orderBy("pos")
     near = kept.withColumn("__next", F.lead("kind").over(w))
     firsts = kept.groupBy("__b").agg(F.min_by("kind", "pos").alias("__first"))
-    following = firsts.select("__b", F.lead("__first").over(Window.orderBy("__b")).alias("__carry"))
+    following = _next_block(firsts)
     joined = near.join(following, "__b", "left").withColumn("__next", F.coalesce("__next", "__carry"))
     return joined.where((F.col("kind") == "series") & F.col("__next").isin("series", "queue", "sync")).select("pos")
 
 
+def _next_block(firsts: DataFrame, group: int = 4096) -> DataFrame:
+    """(__b, __carry): the first kind of the next block that has any, in two levels, so that no task sees all blocks."""
+    cut = firsts.withColumn("__g", F.expr(f"__b div {group}"))
+    inside = cut.withColumn("__carry", F.lead("__first").over(Window.partitionBy("__g").orderBy("__b")))
+    heads = cut.groupBy("__g").agg(F.min_by("__first", "__b").alias("__head"))
+    beyond = heads.select("__g", F.lead("__head").over(Window.orderBy("__g")).alias("__far"))
+    out = inside.join(beyond, "__g", "left")
+    return out.select("__b", F.coalesce("__carry", "__far").alias("__carry"))
+
+
 def annotate(items: DataFrame, block: int = 65536) -> DataFrame:
     """Items with ``ok`` (finished chapter) and ``empty`` (series that brought nothing)."""
     ok = mark_finished(items, block).withColumn("ok", F.lit(True))
@@ -173,7 +183,7 @@ def lifecycle(events: DataFrame) -> DataFrame:
         "job_id",
         "started_at",
         F.col("__end.v.ts").alias("finished_at"),
-        F.coalesce(F.get(F.array(F.element_at(status, F.col("__end.v.type"))), F.lit(0)), F.lit("running")).alias("status"),
+        F.coalesce(F.element_at(status, F.col("__end.v.type")), F.when(F.col("started_at").isNull(), "queued"), F.lit("running")).alias("status"),
         F.col("__end.v.error").alias("error"),
         (F.unix_micros(F.col("__end.v.ts").cast("timestamp")) - F.unix_micros(F.col("started_at").cast("timestamp"))).alias("took_us"),
     )

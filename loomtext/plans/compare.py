@@ -132,7 +132,9 @@ def _(fx):
 )
 def _(fx):
     texts = fx.V_snap.select("id", F.col("old_text").alias("text"))
-    return C.apply_texts(texts, changes(fx).where("change = 'changed'"))
+    edits = changes(fx).where("change = 'changed'")
+    earlier = edits.withColumn("new_text", F.lit("an edit before")).withColumn("seq", F.lit(1))
+    return C.apply_texts(texts, earlier.unionByName(edits.withColumn("seq", F.lit(2))))
 
 
 @query("MUT7_drop_derived", f"select doc_id as id, chunk_idx from V_chunks where doc_id not in (select id from ({_CHANGE}) where change = 'changed')")
@@ -145,10 +147,13 @@ def _(fx):
     "MUT8_apply_title_repairs",
     """with c as (select *, case when output_path is not null then regexp_extract(output_path, '\\.[a-z0-9]+$') end as ext, concat(published_date, '_Chapter ', cast(id % 50 as string)) as base from V_chapters)
        select id, concat('Chapter ', cast(id % 50 as string)) as title, concat('/lib/', series, '/raws/', base, '.txt') as raw_path,
-         case when output_path in (select path from V_outputs) then concat('/lib/', series, '/', base, ext) else output_path end as output_path from c""",
+         case when id % 6 = 0 and output_path is not null then '/lib/custom.mp3' when output_path in (select path from V_outputs) then concat('/lib/', series, '/', base, ext) else output_path end as output_path from c""",
 )
 def _(fx):
-    rows = C.apply_title_fixes(fx.V_chapters, C.title_fixes(fx.V_chapters), fx.V_outputs, now())
+    # some outputs are files of another name, which stay where they are
+    other = F.when(F.col("output_path").isNotNull() & (F.col("id") % 6 == 0), "/lib/custom.mp3").otherwise(F.col("output_path"))
+    outputs = fx.V_outputs.select("path").union(fx.spark.range(1).select(F.lit("/lib/custom.mp3")))
+    rows = C.apply_title_fixes(fx.V_chapters.withColumn("output_path", other), C.title_fixes(fx.V_chapters), outputs, now())
     return rows.select("id", "title", "raw_path", "output_path")
 
 

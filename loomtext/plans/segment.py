@@ -11,7 +11,7 @@ from ..operators import segment as S
 from ..operators.boilerplate import clean_documents
 from ..session import broadcast_if_small
 from .registry import query
-from .text import SQL_STRIP, sql_signs
+from .text import SQL_STRIP, speech_sql, with_config
 
 BLOCK = "(?s)<<SPEAKER=[^>]+>>.*?<</SPEAKER>>"
 _INNER = "regexp_extract(p, '(?s)^<<SPEAKER=[^>]+>>(.*)<</SPEAKER>>$', 1)"
@@ -258,8 +258,8 @@ _PARA = f"""m as (select list(message order by item_id) as ms from V_block),
     n as (select doc_id, pos, regexp_replace(trim(regexp_replace(line, '\\s+', ' ', 'g')), ' ([,.!?;:''"])', '\\1', 'g') as raw from V_lines),
     c as (select doc_id, pos, raw, list_reduce(list_prepend(raw, ms), lambda a, x: case when contains(a, x) then trim(regexp_replace(replace(a, x, ''), '\\s+', ' ', 'g')) else a end) as line from n, m where raw <> '' and not list_contains(ms, raw)),
     r as (select doc_id, pos, line, line <> raw as changed, row_number() over (partition by doc_id, line order by pos) as rn from c where line <> ''),
-    t as (select doc_id, regexp_replace(replace(replace(string_agg(line, chr(10) order by pos), '%', '-percent'), '|', ','), '\\s+,', ',', 'g') as text from r where changed or rn = 1 group by doc_id),
-    u as (select doc_id, {sql_signs("regexp_replace(text, '\\[([^\\]\\n]*)\\]', '\\1', 'g')")} as text from t),
+    j as (select doc_id, string_agg(line, chr(10) order by pos) as text from r where changed or rn = 1 group by doc_id),
+    {speech_sql("j")},
     k as (select doc_id, unnest({sql_pack('text', fixed.CHUNK_CHARS_LARGE)}) as chunk from u)"""
 
 
@@ -267,8 +267,7 @@ def speech_chunks(fx):
     """Documents to packed speech chunks, all in the document's own row and without Python workers."""
     docs = clean_documents(fx.dealt.documents, fx.V_block)
     text = docs.select("doc_id", "source", F.col("clean_text").alias("t"))
-    for step in (T.replace_characters, T.tighten_commas, T.unwrap_brackets, T.speak_signs):
-        text = text.withColumn("t", step(F.col("t")))
+    text = with_config(fx, text).withColumn("t", T.clean_for_speech("t", "words"))
     return posexplode_rows(text, S.pack("t"), "idx", "chunk", "doc_id", "source")
 
 

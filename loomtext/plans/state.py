@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..operators import ranking as R
+from ..operators.ranking import in_order
 from ..operators import state as S
 from ..schemas import CHAPTERS
 from ..sources.tables import conform
@@ -40,14 +41,14 @@ def _(fx):
     return S.chapter_by_id(fx.V_chapters, wanted).select("id", "series_id", "title", "status")
 
 
-@query("PRJ2_chapters_of_series", "select id, raw_path, status from V_chapters where series_id = 7")
+@query("PRJ2_chapters_of_series", "select id, raw_path, status, row_number() over (order by raw_path) as rank from V_chapters where series_id = 7")
 def _(fx):
-    return S.chapters_of(fx.V_chapters, F.lit(7)).select("id", "raw_path", "status")
+    return in_order(S.chapters_of(fx.V_chapters, F.lit(7)).select("id", "raw_path", "status"))
 
 
-@query("PRJ2_chapters_of_series_by_status", "select id, raw_path, status from V_chapters where series_id = 7 and status = 'pending'")
+@query("PRJ2_chapters_of_series_by_status", "select id, raw_path, status, row_number() over (order by raw_path) as rank from V_chapters where series_id = 7 and status = 'pending'")
 def _(fx):
-    return S.chapters_of(fx.V_chapters, F.lit(7), "pending").select("id", "raw_path", "status")
+    return in_order(S.chapters_of(fx.V_chapters, F.lit(7), "pending").select("id", "raw_path", "status"))
 
 
 @query("PRJ3_enabled_series", "select id, name from V_series where coalesce(enabled, true)")
@@ -76,9 +77,9 @@ def _(fx):
     return S.failed(fx.V_chapters, fx.V_series).select("id", "series_name", "error")
 
 
-@query("OR4_newest_failures", f"select c.id, {sql_ts('c.updated_at').replace('as c.', 'as ')} from V_chapters c where status = 'failed'")
+@query("OR4_newest_failures", f"select c.id, {sql_ts('c.updated_at').replace('as c.', 'as ')}, row_number() over (order by c.updated_at desc, c.id) as rank from V_chapters c where status = 'failed'")
 def _(fx):
-    return S.failed(fx.V_chapters, fx.V_series).select("id", ts("updated_at"))
+    return in_order(S.failed(fx.V_chapters, fx.V_series).select("id", ts("updated_at")))
 
 
 _REGISTERED = "select id, name, case when id % 3 = 0 then '' when id % 3 = 1 then concat('state', cast(id as string)) end as narrator from V_series where enabled is not null"
@@ -142,10 +143,10 @@ def _(fx):
     return S.where_used(fx.V_voices, config_maps(fx))
 
 
-@query("OR1_work_list", "select id, coalesce(chapter_index, 999999) as idx, published_date from V_chapters where status in ('pending', 'failed')")
+@query("OR1_work_list", "select id, coalesce(chapter_index, 999999) as idx, published_date, row_number() over (order by coalesce(chapter_index, 999999), published_date, raw_path) as rank from V_chapters where status in ('pending', 'failed')")
 def _(fx):
     rows = S.work_list(fx.V_chapters)
-    return rows.select("id", F.coalesce("chapter_index", F.lit(fixed.MISSING_INDEX)).alias("idx"), "published_date")
+    return in_order(rows.select("id", F.coalesce("chapter_index", F.lit(fixed.MISSING_INDEX)).alias("idx"), "published_date"))
 
 
 _FIRST_25 = "(select id, row_number() over (order by updated_at desc, id) as rn, count(*) over () as total from V_chapters)"
@@ -192,15 +193,18 @@ def _(fx):
 
 
 _OLD = "select id, name, url, cast(null as string) as source, narrator, cast(null as string) as latest_url from V_series where enabled is not null"
-_NEW = "select name, case when id % 3 = 0 then 'https://new/' else null end as url, 'given' as source, cast(null as string) as narrator, concat('/chapter/', cast(id as string)) as latest_url from V_series where id % 2 = 0 or enabled is null"
+_NEW = """select name, case when id % 3 = 0 then 'https://new/' else null end as url, 'given' as source, cast(null as string) as narrator, concat('/chapter/', cast(id as string)) as latest_url, id as seq from V_series where id % 2 = 0 or enabled is null
+    union all select name, 'https://later/', cast(null as string), case when id % 4 = 0 then concat('voice of ', name) end, cast(null as string), id + 1000 from V_series where id % 4 = 0 or enabled is null"""
 
 
 @query(
     "MUT1_upsert_series",
-    f"""with o as ({_OLD}), n as ({_NEW})
-        select o.id, coalesce(n.name, o.name) as name, coalesce(n.url, o.url) as url, coalesce(n.source, o.source) as source, coalesce(n.narrator, o.narrator) as narrator,
+    f"""with o as ({_OLD}), c as ({_NEW}),
+        n as (select name, arg_max(url, seq) as url, arg_max(source, seq) as source, arg_max(narrator, seq) as narrator, arg_max(latest_url, seq) as latest_url from c group by name),
+        f as (select name, row_number() over (order by name) + (select max(id) from o) as id from n where name not in (select name from o))
+        select coalesce(o.id, f.id) as id, coalesce(n.name, o.name) as name, coalesce(n.url, o.url) as url, coalesce(n.source, o.source) as source, coalesce(n.narrator, o.narrator) as narrator,
           coalesce(n.latest_url, o.latest_url) as latest_url, case when n.name is not null then '2024-03-02' else '2024-01-01' end as updated_at, case when o.name is null then '2024-03-02' else '2024-01-01' end as created_at
-        from o full join n on n.name = o.name""",
+        from o full join n on n.name = o.name left join f on f.name = n.name""",
 )
 def _(fx):
     old = fx.sql(_OLD)
@@ -223,14 +227,17 @@ def _(fx):
 @query(
     "MUT2_register_with_series",
     f"""with f as ({_FRESH}), known as (select * from V_series where enabled is not null)
-        select 'chapter' as added, raw_path as name from f where raw_path not in (select raw_path from V_chapters where lang <> 'de')
-        union all select distinct 'series', series from f where series not in (select name from known)""",
+        select 'chapter' as added, raw_path as name, row_number() over (order by seq, raw_path) + (select max(id) from V_chapters where lang <> 'de') as id, (select min(k.id) from known k where k.name = n.series) as series_id
+          from (select raw_path, min(seq) as seq, arg_min(series, seq) as series from f where raw_path not in (select raw_path from V_chapters where lang <> 'de') group by raw_path) n
+        union all select distinct 'series', series, null, null from f where series not in (select name from known)""",
 )
 def _(fx):
     fresh, kept = fx.sql(_FRESH), fx.V_chapters.where("lang <> 'de'")
-    chapters = S.register(kept, fresh).select(F.lit("chapter").alias("added"), F.col("raw_path").alias("name"))
-    series = S.missing_series(fresh, fx.V_series.where("enabled is not null")).select(F.lit("series").alias("added"), "name")
-    return chapters.unionByName(series)
+    known = fx.V_series.where("enabled is not null")
+    added = S.with_ids(S.register(kept, fresh), kept, known)
+    chapters = added.select(F.lit("chapter").alias("added"), F.col("raw_path").alias("name"), "id", "series_id")
+    series = S.missing_series(fresh, known).select(F.lit("series").alias("added"), "name")
+    return chapters.unionByName(series, allowMissingColumns=True)
 
 
 _SAVES = "select concat(source, '_', cast(n_chars % 100 as string)) as file_name, doc_id from documents"
@@ -247,10 +254,10 @@ def _(fx):
     return S.write_once(existing, saves, ["file_name"], "doc_id").select("doc_id", "file_name", "written")
 
 
-_PROGRESS = "select raw_path, id % 101 as pct from V_chapters where id % 5 <> 2"
+_PROGRESS = "select raw_path, id % 101 as pct from V_chapters where id % 5 <> 2 union all select raw_path, id % 50 from V_chapters where id % 3 = 0"
 
 
-@query("JN10_progress_overlay", f"select c.id, case when c.status = 'processing' then p.pct end as pct from V_chapters c left join ({_PROGRESS}) p on p.raw_path = c.raw_path")
+@query("JN10_progress_overlay", f"select c.id, case when c.status = 'processing' then p.pct end as pct from V_chapters c left join (select raw_path, max(pct) as pct from ({_PROGRESS}) q group by raw_path) p on p.raw_path = c.raw_path")
 def _(fx):
     return S.overlay_progress(fx.V_chapters, fx.sql(_PROGRESS)).select("id", "pct")
 

@@ -141,7 +141,7 @@ LIFE = """select event_id as seq, cast(ts as timestamp) as ts, cast(user_id as s
 @query(
     "STR5_job_lifecycle",
     f"""with e as ({LIFE}), g as (select job_id, min(ts) filter (where type = 'job_started') as started, arg_max(struct_pack(ts := ts, type := type, error := error), seq) filter (where type in ('job_finished', 'job_failed', 'job_cancelled')) as e from e group by job_id)
-        select job_id, case e.type when 'job_finished' then 'done' when 'job_failed' then 'failed' when 'job_cancelled' then 'cancelled' else 'running' end as status, e.error as error, epoch_us(e.ts) - epoch_us(started) as took_us from g""",
+        select job_id, case e.type when 'job_finished' then 'done' when 'job_failed' then 'failed' when 'job_cancelled' then 'cancelled' else case when started is null then 'queued' else 'running' end end as status, e.error as error, epoch_us(e.ts) - epoch_us(started) as took_us from g""",
 )
 def _(fx):
     return M.lifecycle(fx.sql(LIFE)).select("job_id", "status", "error", "took_us")

@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..functions import titles as N
 from ..functions.base import explode_rows
 from ..functions.numbers import numbers_to_words
+from ..operators.ranking import in_order
 from ..operators.boilerplate import anchored_matches, attach_messages, clean_documents
 from ..operators.compare import title_fixes
 from ..session import broadcast_if_small
@@ -138,6 +139,16 @@ def _(fx):
 _CLEAN = f"regexp_replace({CHARS}, '\\s+,', ',', 'g')"
 
 
+def speech_sql(texts: str) -> str:
+    """The full cleaning of a table (doc_id, text) without speaker tags, as a chain that ends in ``u``."""
+    return f"""a as (select x.doc_id, d.source, {_CLEAN.replace("text", "x.text")} as text from {texts} x join documents d on d.doc_id = x.doc_id),
+        w as (select a.doc_id, case when c.has_words then {sql_words('a.text', {'the': 'THE', 'que': 'Q$1'}, False)} else a.text end as text from a left join V_config c on c.series = a.source),
+        c2 as (select doc_id, regexp_replace({sql_acronyms('text')}, '\\[([^\\]\\n]*)\\]', '\\1', 'g') as text from w),
+        e as (select doc_id, regexp_replace(text, '([0-9]+)\\s*/\\s*([0-9]+)', '\\1 out of \\2', 'g') as text from c2),
+        f as (select doc_id, {sql_signs('text')} as text from e),
+        u as (select doc_id, {sql_numbers('text')} as text from f)"""
+
+
 @query(
     "FN15_clean_for_speech",
     f"""with a as (select doc_id, source, {_CLEAN} as text from V_marked),
@@ -312,19 +323,28 @@ def _(fx):
     return fx.pages.select("page_id", "url", F.length("html").cast("bigint").alias("chars"))
 
 
+NATURAL = """array_to_string(list_transform(regexp_extract_all(title, '[0-9]+|[^0-9]+'), lambda x: case when regexp_matches(x, '^[0-9]')
+         then lpad(cast(length(ltrim(x, '0')) as varchar), 5, '0') || ltrim(x, '0') else lower(x) end), '')"""
+
+
 @query(
     "OR2_natural_order",
-    """select id, array_to_string(list_transform(regexp_extract_all(title, '[0-9]+|[^0-9]+'), lambda x: case when regexp_matches(x, '^[0-9]')
-         then lpad(cast(length(ltrim(x, '0')) as varchar), 5, '0') || ltrim(x, '0') else lower(x) end), '') as sort_text from V_chapters""",
+    f"select id, sort_text, row_number() over (order by sort_text, id) as rank from (select id, {NATURAL} as sort_text from V_chapters)",
 )
 def _(fx):
     rows = fx.V_chapters.select("id", "title").orderBy(N.natural_key("title"), "id")
-    return rows.select("id", N.natural_text("title").alias("sort_text"))
+    return in_order(rows.select("id", N.natural_text("title").alias("sort_text")))
 
 
-@query("OR3_collated_order")
+@query(
+    "OR3_collated_order",
+    f"with a as (select id, case id % 3 when 0 then replace(title, 'a', 'á') when 1 then upper(title) else title end as title from V_chapters) select id, row_number() over (order by strip_accents({NATURAL}), id) as rank from a",
+)
 def _(fx):
-    return fx.V_chapters.select("id", "title").orderBy(N.collated_key("title"), "id")
+    """Titles with accents and capitals, which take their place among the plain ones."""
+    shown = F.expr("case id % 3 when 0 then replace(title, 'a', 'á') when 1 then upper(title) else title end")
+    rows = fx.V_chapters.select("id", shown.alias("title")).orderBy(N.collated_key("title"), "id")
+    return in_order(rows.select("id"))
 
 
 @query(

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -30,10 +32,16 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: st
     )
 
 
+def is_local(master: str) -> bool:
+    """One process does it all; local-cluster starts executors of its own."""
+    return master == "local" or master.startswith("local[")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, from ``spark.checkpoint.dir``.
 
-    Only a local session without the setting gets a folder of its own.
+    Only a local session without the setting gets a folder of its own, which goes when Python ends. A cluster needs the
+    setting; that all its machines reach the folder, a mounted ``file:`` path for instance, is for whoever sets it to see to.
     """
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
@@ -41,9 +49,10 @@ def shared_dir(spark: SparkSession) -> str:
         current = sc.getCheckpointDir()
         if current:
             return current
-        if not sc.master.startswith("local"):
+        if not is_local(sc.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         path = tempfile.mkdtemp(prefix="loomtext-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(path)
     return path
@@ -71,20 +80,25 @@ def collect_bounded(df: DataFrame, column: str, max_rows: int = 2_000, max_bytes
 
     The size is counted on the executors, so a large table is never pulled to the driver.
     """
-    n, b = df.agg(F.count(column), F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()
+    some = df.select(column).limit(max_rows + 1)
+    n, b = some.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()
     if n > max_rows or b > max_bytes:
         return None
     return [r[0] for r in df.select(column).collect() if r[0] is not None]
 
 
+#: at most this many splits are dealt out, 1 GiB at Spark's default size of a split
+SMALL_SPLITS = 8
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Deal rows out to all cores when a scan has fewer splits than there are cores.
+    """Deal the rows of a small scan out to all cores.
 
-    A large input has more splits than cores and is left as it is; a small file with one row
-    group would otherwise keep costly per-row work on one core.
+    A small file with one row group would otherwise keep costly per-row work on one core. Only scans of at
+    most ``SMALL_SPLITS`` splits are dealt, on however many cores; larger ones are split by ``spark.sql.files``.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    cores, splits = df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
+    return df.repartition(min(cores, 8 * splits)) if splits < min(cores, SMALL_SPLITS + 1) else df
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = 100_000, max_bytes: int = 32 << 20) -> DataFrame:
@@ -93,5 +107,6 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 100_000, max_bytes: int =
     A larger side is left to the optimizer, which shuffles and splits skewed partitions.
     """
     size = F.octet_length(F.to_json(F.struct(*df.columns)))
-    n, b = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    # a side beyond the bound is not read to its end
+    n, b = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
     return F.broadcast(df) if n <= max_rows and b <= max_bytes else df
