@@ -33,8 +33,10 @@ KEYS, STRIDE, WIDTH, CLASSES, SINGLE = 32, 24, 24, 256, 200
 #: bounds of what reaches the driver: windows of the sample, and words that are broadcast
 SAMPLE_WINDOWS, HEAVY = 24_000, 1 << 17
 SAMPLE_TEXTS = 4_000
-EPOCHS, BATCH, RATE = 3, 64, 0.01
-#: weight of the class's own distribution against the ones that tell beginnings of words apart
+EPOCHS, BATCH, RATE = 3, 64, 0.015
+#: what counts inside classes tell apart: begins of words, the most frequent subwords before, all others before
+CONTEXTS = 64
+#: weight of the class's own distribution against the one of a context
 PRIOR = 20.0
 #: bytes of text whose words are held at a time, and distinct words counted before they are passed on
 SEGMENT, FLUSH = 1 << 20, 400_000
@@ -97,24 +99,36 @@ class Subwords:
         return found
 
 
-def subword_counts(words: DataFrame, path: str, pattern: str, size: int) -> np.ndarray:
-    """(2, size): how often a subword goes on a word, and how often it begins one, from the counts of all words."""
+def subword_counts(words: DataFrame, path: str, pattern: str, size: int, rank: np.ndarray) -> np.ndarray:
+    """(CONTEXTS, size): how often a subword comes after each context inside a word, from the counts of all words.
+
+    Context 0 is the begin of a word; ``rank`` gives that of a subword before.
+    """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sub, keys, weights = Subwords(path, pattern), [], []
+        ranks = rank.tolist()
         for word, n in zip(texts_of(batch, "word"), batch.column("n").to_pylist()):
             ids = sub.of(word)
-            keys += [size + ids[0], *ids[1:]]
+            keys.append(ids[0])
+            keys += [ranks[a] * size + b for a, b in zip(ids, ids[1:])]
             weights += [n] * len(ids)
         where, back = np.unique(np.array(keys, np.int64), return_inverse=True)
         totals = np.bincount(back, np.array(weights, np.float64))
         return pa.RecordBatch.from_arrays([pa.array(where), pa.array(totals.astype(np.int64))], ["k", "n"])
 
-    out = np.zeros(2 * size, np.int64)
-    found = map_batches(words, run, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n"))
-    for k, n in found.collect():  # at most twice the vocabulary
-        out[k] = n
-    return out.reshape(2, size)
+    out = np.zeros(CONTEXTS * size, np.int64)
+    found = map_batches(words, run, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    out[np.asarray(found.column("k"))] = np.asarray(found.column("n"))  # at most CONTEXTS times the vocabulary
+    return out.reshape(CONTEXTS, size)
+
+
+def context_ranks(counts: np.ndarray) -> np.ndarray:
+    """The context of each subword: one for each of the most frequent, the last for all others."""
+    rank = np.full(len(counts), CONTEXTS - 1)
+    top = np.argsort(-counts, kind="stable")[: CONTEXTS - 2]
+    rank[top] = np.arange(1, len(top) + 1)
+    return rank
 
 
 def window_starts(predictions: int) -> np.ndarray:
@@ -261,11 +275,13 @@ class Attention:
 class Scorer:
     """A fitted model in the form that scores: a table row for each subword, and the counts inside classes."""
 
-    def __init__(self, model: Attention, used: np.ndarray, sub: Subwords, classes: np.ndarray, counts: np.ndarray):
+    def __init__(self, model: Attention, used: np.ndarray, sub: Subwords, classes: np.ndarray, counts: np.ndarray, rank: np.ndarray):
         self.path, self.pattern = sub.path, sub.pattern
         self.classes = classes.astype(np.uint8)
-        e = np.tile(model.E[used >= 0].mean(0) if (used >= 0).any() else np.zeros(WIDTH, np.float32), (len(classes), 1)).astype(np.float32)
-        e[used[used >= 0]] = model.E[: len(used)][used >= 0]
+        # a row for each subword of the sample, and one for all others: their mean
+        self.row = np.full(len(classes), len(used), np.int32)
+        self.row[used] = np.arange(len(used))
+        e = np.concatenate([model.E, model.E.mean(0, keepdims=True)]).astype(np.float32)
         root = np.float32(WIDTH**-0.5)
         heads = np.concatenate([model.Wq * root, model.Wk, model.Wv], 1)
         self.table, self.place = e @ heads, (model.P @ heads)[None]
@@ -277,19 +293,20 @@ class Scorer:
         part = lambda t, i: t[..., i * WIDTH : (i + 1) * WIDTH]
         q, k, v = (long(part(self.table, i)) + long(part(self.place, i)) for i in range(3))
         self.tame = q * k < 80 and float(self.direct.max()) + v * long(self.out.T) < 80
-        both = counts.sum(0)
+        both, self.rank = counts.sum(0), rank
         size, mass = np.bincount(classes, minlength=CLASSES), np.bincount(classes, both, minlength=CLASSES)
         own = (both + 1.0) / (mass + size)[classes]
         groups = [np.bincount(classes, row, minlength=CLASSES)[classes] for row in counts]
-        #: log10 probability of a subword inside its class, going on a word and beginning one
-        self.inside = np.log10([(row + PRIOR * own) / (all_of + PRIOR) for row, all_of in zip(counts, groups)])
+        #: log10 probability of a subword inside its class, by context
+        self.inside = np.array([np.log10((row + PRIOR * own) / (all_of + PRIOR)) for row, all_of in zip(counts, groups)], np.float32)
 
     def word(self, ids: list[int]) -> float:
         """log10 probability of the subwords of a word inside their classes."""
-        total = self.inside[1, ids[0]]
-        for i in ids[1:]:
-            total += self.inside[0, i]
-        return float(total)
+        total, before = 0.0, 0
+        for i in ids:
+            total += self.inside.item(before, i)
+            before = self.rank.item(i)
+        return total
 
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
         """log10 probability of the classes of each framed text's ids."""
@@ -304,7 +321,8 @@ class Scorer:
         for a in range(0, len(starts), _WINDOWS):
             own, first = owner[a : a + _WINDOWS], starts[a : a + _WINDOWS]
             ids = long[first[:, None] + steps]
-            x = self.table[ids[:, :-1]]
+            rows = self.row[ids[:, :-1]]
+            x = self.table[rows]
             x += self.place
             q, k, v = x[:, lead:, :WIDTH], x[:, :, WIDTH : 2 * WIDTH], x[:, :, 2 * WIDTH :]
             s = np.matmul(q, k.swapaxes(1, 2))
@@ -314,7 +332,7 @@ class Scorer:
             s *= self.mask
             o = np.matmul(s, v)
             o /= (s @ self.ones[:KEYS])[..., None]
-            logits = np.take(self.direct, ids[:, lead:-1].ravel(), axis=0)
+            logits = np.take(self.direct, rows[:, lead:].ravel(), axis=0)
             logits += o.reshape(-1, WIDTH) @ self.out
             if not self.tame:
                 logits -= logits.max(-1, keepdims=True)
@@ -330,7 +348,9 @@ class Scorer:
 def train(texts: DataFrame, words: DataFrame, path: str, pattern: str, epochs: int = EPOCHS, seed: int = 7) -> tuple[Scorer, list[float]]:
     """A scorer from training texts (text) and their word counts (word, n); the losses of the epochs."""
     sub = Subwords(path, pattern)
-    counts = subword_counts(words, path, pattern, sub.size)
+    plain = subword_counts(words, path, pattern, sub.size, np.full(sub.size, CONTEXTS - 1))
+    rank = context_ranks(plain.sum(0))
+    counts = subword_counts(words, path, pattern, sub.size, rank)
     windows = _sample(texts, path, pattern, seed)
     classes = _classes(counts.sum(0), windows, sub.end, seed)
     used = np.unique(np.concatenate([windows[windows >= 0].ravel(), [sub.begin, sub.end]]))
@@ -339,7 +359,7 @@ def train(texts: DataFrame, words: DataFrame, path: str, pattern: str, epochs: i
     valid = (windows[:, 1:] >= 0) & (np.arange(KEYS) >= KEYS - STRIDE)
     model = Attention(len(used), seed)
     losses = model.fit(ids, nexts, valid, epochs if len(ids) else 0, seed)
-    return Scorer(model, used, sub, classes, counts), losses
+    return Scorer(model, used, sub, classes, counts, rank), losses
 
 
 class _Lookup:

@@ -145,10 +145,11 @@ def test_gradients_of_attention(monkeypatch):
 def small_scorer(codec_args):
     sub = attention_lm.Subwords(*codec_args)
     rng = np.random.default_rng(0)
-    counts = rng.integers(0, 5, (2, sub.size))
+    counts = rng.integers(0, 5, (attention_lm.CONTEXTS, sub.size))
     classes = attention_lm._classes(counts.sum(0), np.zeros((0, attention_lm.KEYS + 1), np.int64), sub.end, 1)
-    used = np.arange(sub.size)
-    return attention_lm.Scorer(attention_lm.Attention(sub.size, 3), used, sub, classes, counts), sub
+    used = np.append(np.sort(rng.choice(sub.begin, 3000, replace=False)), [sub.begin, sub.end])
+    rank = attention_lm.context_ranks(counts.sum(0))
+    return attention_lm.Scorer(attention_lm.Attention(len(used), 3), used, sub, classes, counts, rank), sub
 
 
 def test_windows_score_each_token_once(codec_args):
@@ -163,6 +164,7 @@ def test_windows_score_each_token_once(codec_args):
         for t in range(lead + 1, len(seq)):
             start = (t - lead - 1) // attention_lm.STRIDE * attention_lm.STRIDE
             ids = seq[start:t]
+            ids = scorer.row[ids]
             x = scorer.table[ids] + scorer.place[0, : len(ids)]
             q, k, v = np.split(x, 3, axis=1)
             a = np.exp(k @ q[-1])
@@ -171,10 +173,10 @@ def test_windows_score_each_token_once(codec_args):
             classes = p / p.sum()
             total += np.log10(classes[scorer.classes[seq[t]]])
         assert abs(total - value) < 1e-3 * max(1, len(seq))
-    for begins in (0, 1):
-        mass = np.bincount(scorer.classes, 10.0 ** scorer.inside[begins], minlength=attention_lm.CLASSES)
+    for context in (0, 1, attention_lm.CONTEXTS - 1):
+        mass = np.bincount(scorer.classes, 10.0 ** scorer.inside[context].astype(float), minlength=attention_lm.CLASSES)
         filled = np.bincount(scorer.classes, minlength=attention_lm.CLASSES) > 0
-        assert np.allclose(mass[filled], 1)
+        assert np.allclose(mass[filled], 1, atol=1e-4)
 
 
 def test_language_model_base_and_cases(spark, codec_args, quick_model, monkeypatch):
