@@ -110,7 +110,14 @@ def _(fx):
     return diff.select("id", "added", "removed", F.array_join(lines, "\n").alias("diff"))
 
 
-@query("AG9_diff_counts")
+_COUNTS = f"""with c as (select s.id, s.old_text, s.new_text from V_snap s join ({_CHANGE}) x on x.id = s.id and x.change = 'changed'),
+        l as (select id, unnest(string_split(coalesce(old_text, ''), chr(10))) as line, -1 as n from c where coalesce(old_text, '') <> '' union all select id, unnest(string_split(new_text, chr(10))), 1 from c),
+        g as (select id, line, sum(n) as n from l where line <> '' or n < 0 group by id, line)
+        select id, cast(sum(greatest(n, 0)) as bigint) as added, cast(sum(greatest(-n, 0)) as bigint) as removed from g group by id"""
+
+
+# lines are added and none is moved in these tables, so the counts of the diff are those of the lines
+@query("AG9_diff_counts", _COUNTS)
 def _(fx):
     return C.line_diff(changes(fx).where("change = 'changed'")).select("id", "added", "removed")
 

@@ -1,4 +1,8 @@
-"""Streams over job events, requests, texts and logs."""
+"""Streams over job events, requests, texts and logs.
+
+Each function takes ``out`` and ``checkpoint``, two folders that belong together: called again with both, it goes on where it
+stopped, reads new files only, and returns the result over all it has seen. Without them it starts anew in fresh folders.
+"""
 
 from __future__ import annotations
 
@@ -14,11 +18,11 @@ from ..session import cut_lineage, work_path
 from .runs import newest_version, read_batches, run_to_end
 
 
-def progress(events: DataFrame) -> DataFrame:
-    """Progress per job from a stream of events: the batch plan, kept up to date."""
-    spark, out = events.sparkSession, work_path(events.sparkSession, "progress")
+def progress(events: DataFrame, out: str | None = None, checkpoint: str | None = None) -> DataFrame:
+    """Progress per job from a stream of events: the batch plan, kept up to date. State: a row for each job."""
+    spark, out = events.sparkSession, out or work_path(events.sparkSession, "progress")
     folded = fold_progress(events)
-    run_to_end(folded, out, "update")
+    run_to_end(folded, out, "update", checkpoint=checkpoint)
     return newest_version(read_batches(spark, out, folded.schema), ["job_id"])
 
 
@@ -27,17 +31,26 @@ def first_requests(requests: DataFrame, delay: str) -> DataFrame:
     return requests.withWatermark("created", delay).dropDuplicatesWithinWatermark(["key"])
 
 
-def notify_once(finished: DataFrame) -> DataFrame:
-    """One row per finished job, however often its end is reported."""
-    spark, out = finished.sparkSession, work_path(finished.sparkSession, "notified")
-    once = finished.select("job_id").dropDuplicates(["job_id"])
-    run_to_end(once, out)
-    return read_batches(spark, out, once.schema).select("job_id")
-
+def notify_once(finished: DataFrame, delay: str | None = None, out: str | None = None, checkpoint: str | None = None) -> DataFrame:
+    """One row per finished job, however often its end is reported.
 
-def windowed_counts(events: DataFrame, delay: str, length: str, slide: str | None = None) -> DataFrame:
+    With ``delay`` a job is forgotten that long after its end (by ``ts``), which bounds the state; a report that comes
+    later still is told apart when the rows are read.
+    """
+    spark, out = finished.sparkSession, out or work_path(finished.sparkSession, "notified")
+    if delay is None:
+        once = finished.select("job_id").dropDuplicates(["job_id"])
+    else:
+        once = finished.select("job_id", "ts").withWatermark("ts", delay).dropDuplicatesWithinWatermark(["job_id"])
+    run_to_end(once, out, checkpoint=checkpoint)
+    return read_batches(spark, out, once.schema).select("job_id").distinct()
+
+
+def windowed_counts(
+    events: DataFrame, delay: str, length: str, slide: str | None = None, out: str | None = None, checkpoint: str | None = None
+) -> DataFrame:
     """Counts per type and window; rows later than the delay are dropped."""
-    spark, out = events.sparkSession, work_path(events.sparkSession, "windows")
+    spark, out = events.sparkSession, out or work_path(events.sparkSession, "windows")
     span = F.window("ts", length, slide) if slide else F.window("ts", length)
     counted = (
         events.withWatermark("ts", delay)
@@ -45,20 +58,20 @@ def windowed_counts(events: DataFrame, delay: str, length: str, slide: str | Non
         .agg(F.count(F.lit(1)).alias("n"))
         .select(F.col("window.start").alias("start"), "type", "n")
     )
-    run_to_end(counted, out, "update")
+    run_to_end(counted, out, "update", checkpoint=checkpoint)
     return newest_version(read_batches(spark, out, counted.schema), ["start", "type"])
 
 
-def closed_sessions(events: DataFrame, delay: str, gap: str) -> DataFrame:
-    """Sessions per job that the watermark has closed."""
-    spark, out = events.sparkSession, work_path(events.sparkSession, "sessions")
+def closed_sessions(events: DataFrame, delay: str, gap: str, out: str | None = None, checkpoint: str | None = None) -> DataFrame:
+    """Sessions per job that the watermark has closed; those still open stay in the state for the next call."""
+    spark, out = events.sparkSession, out or work_path(events.sparkSession, "sessions")
     sessions = (
         events.withWatermark("ts", delay)
         .groupBy(F.session_window("ts", gap).alias("s"), "job_id")
         .agg(F.count(F.lit(1)).alias("n"))
         .select("job_id", F.col("s.start").alias("start"), F.col("s.end").alias("end"), "n")
     )
-    run_to_end(sessions, out)
+    run_to_end(sessions, out, checkpoint=checkpoint)
     return read_batches(spark, out, sessions.schema).drop("batch")
 
 
@@ -75,7 +88,7 @@ def ingest_texts(texts: DataFrame, limit: int = fixed.CHUNK_CHARS_LARGE, checkpo
 _TAIL = ["pos", "seq", "kind", "text"]
 
 
-def annotate_log(log: DataFrame, block: int = 65536) -> DataFrame:
+def annotate_log(log: DataFrame, block: int = 65536, out: str | None = None, checkpoint: str | None = None) -> DataFrame:
     """Classified log items with their marks, where marks may reach back into earlier batches.
 
     Between batches a tail is kept: the newest items within the look-back and the newest item that
@@ -83,7 +96,8 @@ def annotate_log(log: DataFrame, block: int = 65536) -> DataFrame:
     the tail before it. Batches have to arrive in order of ``seq``.
     """
     spark = log.sparkSession
-    out, tails = work_path(spark, "log"), work_path(spark, "log-tail")
+    out = out or work_path(spark, "log")
+    tails = f"{out.rstrip('/')}-tail"
     tail_schema = "pos bigint, seq bigint, kind string, text string"
 
     def each(batch: DataFrame, batch_id: int) -> DataFrame:
@@ -97,7 +111,7 @@ def annotate_log(log: DataFrame, block: int = 65536) -> DataFrame:
         near.unionByName(kept).distinct().coalesce(1).write.mode("overwrite").parquet(f"{tails}/{batch_id}")
         return annotate(both, block).select("seq", "kind", "text", "ok", "empty")
 
-    run_to_end(log, out, each=each)
+    run_to_end(log, out, each=each, checkpoint=checkpoint)
     rows = spark.read.schema("seq bigint, kind string, text string, ok boolean, empty boolean").parquet(out)
     # an item of the tail is written again with the marks the next batch gave it
     return rows.groupBy("seq").agg(

@@ -94,3 +94,36 @@ def test_ingest_reads_only_new_files(spark):
         assert chunks.count() == chunks.select("doc_id", "chunk_idx").distinct().count()
     n = docs.where("length(trim(text)) > 0").count()
     assert total == [docs.where("doc_id < 100 and length(trim(text)) > 0").count(), n]
+
+
+def test_streams_go_on(spark):
+    """Two calls with the same folders equal one over all files, and the second reads new files only."""
+    events, path = Fixtures(spark, SF).events, work_path(spark, "events")
+    runs = {
+        "progress": (lambda v, **kw: J.progress(v("V_job_events"), **kw), lambda fx: M.fold_progress(fx.V_job_events)),
+        "log": (
+            lambda v, **kw: J.annotate_log(v("V_log"), **kw).select("seq", "kind", "ok", "empty"),
+            lambda fx: M.annotate(M.number_items(M.parse_log(M.split_log(fx.V_log, keep_indent=True).select("seq", "line")))).select("seq", "kind", "ok", "empty"),
+        ),
+        "once": (
+            lambda v, **kw: J.notify_once(event_time(v("V_job_events").where("type = 'chapter_done'")), "10 minutes", **kw),
+            lambda fx: fx.V_job_events.where("type = 'chapter_done'").select("job_id").distinct(),
+        ),
+    }
+    folders = {name: {"out": work_path(spark, "out"), "checkpoint": work_path(spark, "cp")} for name in runs}
+    for low, high in ((0, 500), (500, 1001)):
+        before = set(os.listdir(path)) if os.path.isdir(path) else set()
+        events.where(f"event_id >= {low} and event_id < {high}").coalesce(1).write.mode("append").parquet(path)
+        for f in set(os.listdir(path)) - before:
+            os.utime(os.path.join(path, f), (1e9 + low, 1e9 + low))
+
+        def view(name):
+            fx = Fixtures(spark, SF)
+            fx._made["events"] = read_files(spark, path, "*.parquet", events.schema, 1)
+            return getattr(fx, name)
+
+        so_far = Fixtures(spark, SF)
+        so_far._made["events"] = events.where(f"event_id < {high}")
+        for name, (stream, batch) in runs.items():
+            want = batch(so_far)
+            assert rows(stream(view, **folders[name]).select(*want.columns)) == rows(want), name
