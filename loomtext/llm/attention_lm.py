@@ -105,20 +105,22 @@ def subword_counts(words: DataFrame, path: str, pattern: str, size: int, rank: n
     Context 0 is the begin of a word; ``rank`` gives that of a subword before.
     """
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sub, keys, weights = Subwords(path, pattern), [], []
-        ranks = rank.tolist()
-        for word, n in zip(texts_of(batch, "word"), batch.column("n").to_pylist()):
-            ids = sub.of(word)
-            keys.append(ids[0])
-            keys += [ranks[a] * size + b for a, b in zip(ids, ids[1:])]
-            weights += [n] * len(ids)
-        where, back = np.unique(np.array(keys, np.int64), return_inverse=True)
-        totals = np.bincount(back, np.array(weights, np.float64))
-        return pa.RecordBatch.from_arrays([pa.array(where), pa.array(totals.astype(np.int64))], ["k", "n"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sub, ranks, totals = Subwords(path, pattern), rank.tolist(), np.zeros(CONTEXTS * size, np.int64)
+        for batch in batches:
+            keys, weights = [], []
+            for word, n in zip(texts_of(batch, "word"), batch.column("n").to_pylist()):
+                ids = sub.of(word)
+                keys.append(ids[0])
+                keys += [ranks[a] * size + b for a, b in zip(ids, ids[1:])]
+                weights += [n] * len(ids)
+            np.add.at(totals, np.array(keys, np.int64), np.array(weights, np.int64))
+        some = np.flatnonzero(totals)
+        if len(some):
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(totals[some])], ["k", "n"])
 
     out = np.zeros(CONTEXTS * size, np.int64)
-    found = map_batches(words, run, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    found = words.mapInArrow(run, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
     out[np.asarray(found.column("k"))] = np.asarray(found.column("n"))  # at most CONTEXTS times the vocabulary
     return out.reshape(CONTEXTS, size)
 
