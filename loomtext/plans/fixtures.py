@@ -144,10 +144,10 @@ PAIRS = {
     ),
     "V_tagged": (
         """select conv_id, listagg(s, '
-') within group (order by turn) as text from (select conv_id, turn, case when role = 'user' and turn % 4 <> 2 then text else concat('<<SPEAKER=', case when at % 6 = 3 then 'System' when at % 10 = 1 then 'default' else voice end, '>>', text, '<</SPEAKER>>') end as s
-            from (select conv_id, turn, role, text, case when role = 'user' and turn % 4 = 2 then turn - 1 else turn end as at, case when role = 'user' and turn % 4 = 2 then coalesce(lag(role) over (partition by conv_id order by turn), 'system') else role end as voice from conversations) w) t group by conv_id""",
-        """select conv_id, string_agg(s, chr(10) order by turn) as text from (select conv_id, turn, case when role = 'user' and turn % 4 <> 2 then text else concat('<<SPEAKER=', case when at % 6 = 3 then 'System' when at % 10 = 1 then 'default' else voice end, '>>', text, '<</SPEAKER>>') end as s
-            from (select conv_id, turn, role, text, case when role = 'user' and turn % 4 = 2 then turn - 1 else turn end as at, case when role = 'user' and turn % 4 = 2 then coalesce(lag(role) over (partition by conv_id order by turn), 'system') else role end as voice from conversations) w) t group by conv_id""",
+') within group (order by turn) as text from (select conv_id, turn, case when role = 'user' and turn % 4 <> 2 then text else concat('<<SPEAKER=', case when said % 6 = 3 then 'System' when said % 10 = 1 then 'default' else voice end, '>>', text, '<</SPEAKER>>') end as s
+            from (select conv_id, turn, role, text, case when role = 'user' and turn % 4 = 2 then turn - 1 else turn end as said, case when role = 'user' and turn % 4 = 2 then coalesce(lag(role) over (partition by conv_id order by turn), 'system') else role end as voice from conversations) w) t group by conv_id""",
+        """select conv_id, string_agg(s, chr(10) order by turn) as text from (select conv_id, turn, case when role = 'user' and turn % 4 <> 2 then text else concat('<<SPEAKER=', case when said % 6 = 3 then 'System' when said % 10 = 1 then 'default' else voice end, '>>', text, '<</SPEAKER>>') end as s
+            from (select conv_id, turn, role, text, case when role = 'user' and turn % 4 = 2 then turn - 1 else turn end as said, case when role = 'user' and turn % 4 = 2 then coalesce(lag(role) over (partition by conv_id order by turn), 'system') else role end as voice from conversations) w) t group by conv_id""",
     ),
     "V_chunks": (
         "select doc_id, cast(0 as bigint) as part_pos, pos as chunk_idx, concat('voice', cast(pos % 3 as string)) as speaker, false as is_system, line as text, cast(length(line) as bigint) as chars from V_lines",
