@@ -69,7 +69,7 @@ def test_numbers(spark):
             ("1000100", "one million, one hundred"),
             ("000099 0101", "000099 one hundred and one"),
             ("1234,567", "one thousand, two hundred and thirty-four,five hundred and sixty-seven"),
-            ("9" * 70, "9" * 70),
+            ("9" * 307, "9" * 307),
             ("2" + "0" * 36, "two undecillion"),
         ],
         numbers_to_words,
@@ -197,3 +197,54 @@ def test_full_cleaning(spark):
 
 def test_status_values_are_plain():
     assert fixed.STATUSES == ["pending", "processing", "done", "failed"]
+
+
+def test_long_and_foreign_numbers(spark):
+    from loomtext.functions.numbers import MAX_DIGITS, unspoken_numbers
+
+    arabic = "".join(chr(0x660 + int(d)) for d in "1234")
+    rows = [("1" + "0" * 66, "one unvigintillion"), ("5" + "0" * 303, "five centillion"), (f"a {arabic} b", "a one thousand, two hundred and thirty-four b"), ("9" * 307, "9" * 307)]
+    got = spark.createDataFrame([(r[0],) for r in rows], "t string").select(numbers_to_words("t").alias("w"), unspoken_numbers("t").alias("u")).collect()
+    assert [r.w for r in got] == [w for _, w in rows]
+    assert MAX_DIGITS == 306 and [len(r.u) for r in got] == [0, 0, 0, 1]
+
+
+def test_calls_fold_and_edits_take_the_last(spark):
+    from loomtext.operators import compare as C
+    from loomtext.operators import state as ST
+
+    now = F.expr("timestamp '2024-03-02'")
+    old = spark.createDataFrame([(7, "A", "u", None, None, None)], "id long, name string, url string, source string, narrator string, latest_url string")
+    for c in ("last_scraped_at", "created_at", "updated_at"):
+        old = old.withColumn(c, F.expr("timestamp '2024-01-01'"))
+    calls = [(1, "A", "v", None, "n"), (2, "A", None, "s", None), (3, "B", "x", None, None), (4, "B", None, None, "m"), (5, None, "q", None, None), (6, "C", None, None, None)]
+    new = spark.createDataFrame([(*c, None) for c in calls], "seq int, name string, url string, source string, narrator string, latest_url string")
+    got = sorted((r.id, r.name, r.url, r.source, r.narrator) for r in ST.upsert_series(old, new, now).collect())
+    assert got == [(7, "A", "v", "s", "n"), (8, "B", "x", None, "m"), (9, "C", None, None, None)]
+    texts = spark.createDataFrame([(1, "old"), (2, "kept")], "id int, text string")
+    edits = spark.createDataFrame([(1, "first", 1), (1, "second", 2)], "id int, new_text string, seq int")
+    assert sorted(tuple(r) for r in C.apply_texts(texts, edits).collect()) == [(1, "second", True), (2, "kept", False)]
+
+
+def test_a_second_reconcile_registers_nothing(spark):
+    """Rows registered by the first run, whose ids are still open, are known to the second; a failed one stays failed."""
+    from loomtext.operators import state as ST
+
+    now = F.expr("timestamp '2024-03-02'")
+    files = spark.createDataFrame([(1, "/a/2024_x.txt")], "series_id long, raw_path string")
+    none = spark.createDataFrame([], "series_id long, path string")
+    series = spark.createDataFrame([(1,)], "id long")
+    kinds = "id long, series_id long, title string, published_date string, raw_path string, status string, output_path string, updated_at timestamp"
+    first = ST.surviving(ST.reconcile(spark.createDataFrame([], kinds), files, none, series, now))
+    failed = first.withColumn("status", F.lit("failed"))
+    again = ST.reconcile(failed, files, none, series, now).collect()
+    assert [(r.status, r.actions) for r in again] == [("failed", [])]
+
+
+def test_log_spaces_and_queued_jobs(spark):
+    from loomtext.operators import telemetry as M
+
+    lines = spark.createDataFrame([("[1/2] Scraping X",), ("[queue] later",)], "line string").select(M.parse_line(F.col("line")).alias("p"))
+    assert [(r.p.kind, r.p.text) for r in lines.collect()] == [("series", "X"), ("queue", "later")]
+    events = spark.createDataFrame([(1, "j", "chunk_progress", None), (2, "k", "job_started", None)], "seq int, job_id string, type string, error string").withColumn("ts", F.expr("timestamp '2024-01-01'"))
+    assert {r.job_id: r.status for r in M.lifecycle(events).collect()} == {"j": "queued", "k": "running"}
