@@ -144,16 +144,23 @@ def next_after(
     return out.select(*keys, at, tie, "__p.*", F.coalesce("__near", "__carry").alias(target))
 
 
+#: pages that end by this row are a bounded top-k; deeper ones number the table in buckets
+SHALLOW_ROWS = 10_000
+
+
 def page(
-    df: DataFrame, order: list[Column], buckets: list[Column], index: int, size: int
+    df: DataFrame, order: list[Column], buckets: list[Column], index: int, size: int, shallow: int = SHALLOW_ROWS
 ) -> DataFrame:
     """Page ``index`` (from 0) of ``size`` rows; an index beyond the end gives the last page.
 
-    Row numbers come from buckets, so a deep page needs no sort of the whole table in one task.
+    A shallow page is the tail of the first rows in order, of which each task keeps no more than it needs. For a deep one
+    row numbers come from buckets, so it needs no sort of the whole table in one task either.
     """
-    numbered = row_number_by(df, [], order, buckets, "__rn")
-    total = df.agg(F.count(F.lit(1)).alias("__total"))
-    last = F.greatest(F.ceil(F.col("__total") / F.lit(size)) - 1, F.lit(0))
-    bounds = total.select((F.least(F.lit(index), last) * size).alias("__from"))
-    first = F.lit(bounds.first()[0])
+    total = df.count()
+    first = min(index, max(-(-total // size) - 1, 0)) * size
+    if first + size <= shallow:
+        top = df.orderBy(*order).limit(first + size)
+        numbered = top.withColumn("__rn", F.row_number().over(Window.orderBy(*order)))
+    else:
+        numbered = row_number_by(df, [], order, buckets, "__rn")
     return numbered.where((F.col("__rn") > first) & (F.col("__rn") <= first + size)).orderBy("__rn").drop("__rn")

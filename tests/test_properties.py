@@ -96,10 +96,11 @@ def test_number_by_buckets_equals_window(spark):
 
 def test_pages_cover_the_table(spark):
     df = spark.createDataFrame([(i, i % 7) for i in range(53)], "i int, v int")
-    page = lambda k: [r.i for r in R.page(df, [F.asc("v"), F.asc("i")], [F.col("v"), F.expr("i div 10")], k, 10).collect()]
-    seen = [x for k in range(6) for x in page(k)]
-    assert seen == sorted(range(53), key=lambda i: (i % 7, i))
-    assert page(99) == page(5)
+    for shallow in (0, 30, 10_000):  # all in buckets, both ways, all as a top-k
+        page = lambda k: [r.i for r in R.page(df, [F.asc("v"), F.asc("i")], [F.col("v"), F.expr("i div 10")], k, 10, shallow).collect()]  # noqa: B023,E731
+        seen = [x for k in range(6) for x in page(k)]
+        assert seen == sorted(range(53), key=lambda i: (i % 7, i))
+        assert page(99) == page(5)
 
 
 def test_page_of_an_empty_table(spark):
