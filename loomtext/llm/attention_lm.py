@@ -17,6 +17,7 @@ from __future__ import annotations
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -320,28 +321,35 @@ class Scorer:
         starts = np.concatenate([ends[i] + window_starts(len(t) - lead - 1) for i, t in enumerate(texts)])
         stop = ends[:-1] + np.array([len(t) for t in texts])
         steps, at = np.arange(KEYS + 1), np.arange(STRIDE)
+        room = {n: np.empty((_WINDOWS, *shape), np.float32) for n, shape in (
+            ("x", (KEYS, 3 * WIDTH)), ("s", (STRIDE, KEYS)), ("o", (STRIDE, WIDTH)), ("l", (STRIDE, CLASSES)), ("m", (STRIDE, CLASSES))
+        )}
         for a in range(0, len(starts), _WINDOWS):
             own, first = owner[a : a + _WINDOWS], starts[a : a + _WINDOWS]
+            n = len(first)
+            x, s, o, logits, more = (room[k][:n] for k in "xsolm")
             ids = long[first[:, None] + steps]
             rows = self.row[ids[:, :-1]]
-            x = self.table[rows]
+            np.take(self.table, rows, axis=0, out=x, mode="clip")
             x += self.place
             q, k, v = x[:, lead:, :WIDTH], x[:, :, WIDTH : 2 * WIDTH], x[:, :, 2 * WIDTH :]
-            s = np.matmul(q, k.swapaxes(1, 2))
+            np.matmul(q, k.swapaxes(1, 2), out=s)
             if not self.tame:
                 s -= s.max(-1, keepdims=True)
             np.exp(s, out=s)
             s *= self.mask
-            o = np.matmul(s, v)
+            np.matmul(s, v, out=o)
             o /= (s @ self.ones[:KEYS])[..., None]
-            logits = np.take(self.direct, rows[:, lead:].ravel(), axis=0)
-            logits += o.reshape(-1, WIDTH) @ self.out
+            np.take(self.direct, rows[:, lead:], axis=0, out=logits, mode="clip")
+            np.matmul(o.reshape(-1, WIDTH), self.out, out=more.reshape(-1, CLASSES))
+            logits += more
             if not self.tame:
                 logits -= logits.max(-1, keepdims=True)
+            flat = logits.reshape(-1, CLASSES)
             target = self.classes[ids[:, lead + 1 :].ravel()]
-            hit = logits[np.arange(len(target)), target].astype(np.float64)
-            np.exp(logits, out=logits)
-            hit -= np.log(logits @ self.ones)
+            hit = flat[np.arange(len(target)), target].astype(np.float64)
+            np.exp(flat, out=flat)
+            hit -= np.log(flat @ self.ones)
             valid = first[:, None] + lead + 1 + at < stop[own][:, None]
             out += np.bincount(own, (hit.reshape(-1, STRIDE) * valid).sum(1), minlength=len(texts))
         return out / np.log(10)
@@ -365,25 +373,27 @@ def train(texts: DataFrame, words: DataFrame, path: str, pattern: str, epochs: i
 
 
 class _Lookup:
-    """Word to number, count, subwords and the part of the score inside classes; the broadcast words come first."""
+    """The broadcast words by number, with their counts, subwords (one array for all) and score inside classes."""
 
     def __init__(self, scorer: Scorer, heavy: list[tuple[bytes, int]]):
         self.scorer, self.sub = scorer, Subwords(scorer.path, scorer.pattern)
         self.number = {w: i for i, (w, _) in enumerate(heavy)}
         self.gain = np.log10(np.array([n for _, n in heavy], np.float64) + 1)
         ids = [self.sub.of(w) for w, _ in heavy]
-        self.ids = [np.array(i, np.int32) for i in ids]
+        self.length = np.array([len(i) for i in ids], np.int64)
+        self.start = np.cumsum(self.length) - self.length
+        self.ids = np.array([i for w in ids for i in w], np.int32)
         self.inside = np.array([scorer.word(i) for i in ids], np.float64)
-        self.others: dict[bytes, tuple[np.ndarray, float]] = {}
 
-    def other(self, word: bytes) -> tuple[np.ndarray, float]:
-        found = self.others.get(word)
-        if found is None:
-            if len(self.others) > FLUSH // 2:
-                self.others.clear()
-            ids = self.sub.of(word)
-            found = self.others[word] = (np.array(ids, np.int32), self.scorer.word(ids))
-        return found
+    def _others(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, float]:
+        """Subwords of words that are not broadcast, how many each has, and their score inside classes."""
+        pieces = list(map(self.sub.of, words))
+        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        flat = np.fromiter(chain.from_iterable(pieces), np.int64, int(lengths.sum()))
+        context = np.zeros(len(flat), np.int64)
+        context[1:] = self.scorer.rank[flat[:-1]]
+        context[np.cumsum(lengths) - lengths] = 0
+        return flat, lengths, float(self.scorer.inside[context, flat].sum(dtype=np.float64))
 
     def read(self, text: bytes) -> tuple[int, int, float, float, np.ndarray, list[bytes]]:
         """Words, those broadcast, their log10 counts, the score inside classes, framed ids, the other words."""
@@ -393,23 +403,31 @@ class _Lookup:
         get = self.number.get
         for part in segments(text):
             words = part.lower().split()
-            at = [get(w, -1) for w in words]
-            numbers = np.array(at, np.int64)
-            here = numbers[numbers >= 0]
+            if not words:
+                continue
+            numbers = np.array([get(w, -1) for w in words], np.int64)
+            there = numbers >= 0
+            here = numbers[there]
+            others = [words[i] for i in np.flatnonzero(~there).tolist()]
+            flat, lengths, value = self._others(others)
             total, known = total + len(words), known + len(here)
             gain += float(self.gain[here].sum())
-            inside += float(self.inside[here].sum())
-            ids = self.ids
-            for w, i in zip(words, at):
-                if i >= 0:
-                    parts.append(ids[i])
-                else:
-                    found, value = self.other(w)
-                    parts.append(found)
-                    inside += value
-                    rest.append(w)
-            parts = [np.concatenate(parts)] if parts else []
-        return total, known, gain, inside, framed(parts[0] if parts else np.zeros(0, np.int32), self.sub), rest
+            inside += float(self.inside[here].sum()) + value
+            # each word's place in the array of all broadcast subwords, other words behind its end
+            size = np.empty(len(words), np.int64)
+            size[there], size[~there] = self.length[here], lengths
+            begin = np.full(len(words), len(self.ids), np.int64)
+            begin[there] = self.start[here]
+            ends = np.cumsum(size)
+            at = np.repeat(begin - (ends - size), size) + np.arange(ends[-1])
+            own = np.repeat(there, size)
+            ids = np.empty(len(at), np.int32)
+            ids[own] = self.ids[at[own]]
+            ids[~own] = flat
+            parts.append(ids)
+            rest += others
+        whole = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+        return total, known, gain, inside, framed(whole, self.sub), rest
 
 
 _LOOKUPS: dict[str, _Lookup] = {}
