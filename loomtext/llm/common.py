@@ -42,13 +42,17 @@ def place(df: DataFrame, column: str) -> str:
     return f"c{df.columns.index(column) if column in df.columns else low.index(column.lower())}"
 
 
+#: rows of a batch whose Python objects are held at a time
+SLICE = 1_000
+
+
 def map_batches(df: DataFrame, run, schema: str) -> DataFrame:
-    """``mapInArrow`` with a function from one record batch to one batch or None."""
+    """``mapInArrow`` with a function from one record batch to one batch or None, called on slices of what comes."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                out = run(batch)
+            for at in range(0, batch.num_rows, SLICE):
+                out = run(batch.slice(at, SLICE))
                 if out is not None and out.num_rows:
                     yield out
 

@@ -12,6 +12,8 @@ counts are summed in Spark, and only the sums reach the driver.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -100,22 +102,21 @@ def learn(docs: DataFrame, rows: Column, text: str = "text", lang: str = "lang")
         F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")
     )
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for language, raw in zip(batch.column("lang").to_pylist(), texts_of(batch, "text")):
-            if language not in sums:
-                sums[language] = np.zeros(BUCKETS, np.int64)
-            sums[language] += np.bincount(grams(raw), minlength=BUCKETS)
-        names, at, n = [], [], []
+        for batch in batches:
+            for language, raw in zip(batch.column("lang").to_pylist(), texts_of(batch, "text")):
+                if language not in sums:
+                    sums[language] = np.zeros(BUCKETS, np.int64)
+                sums[language] += np.bincount(grams(raw), minlength=BUCKETS)
+                if len(sums) > MAX_LANGUAGES:
+                    raise ValueError(f"more than {MAX_LANGUAGES} languages")
         for language, counts in sums.items():
             some = np.flatnonzero(counts)
-            names += [language] * len(some)
-            at.append(some), n.append(counts[some])
-        return pa.RecordBatch.from_arrays(
-            [pa.array(names, pa.string()), pa.array(np.concatenate(at)), pa.array(np.concatenate(n))], ["lang", "bucket", "n"]
-        )
+            names = pa.array([language] * len(some), pa.string())
+            yield pa.RecordBatch.from_arrays([names, pa.array(some), pa.array(counts[some])], ["lang", "bucket", "n"])
 
-    found = map_batches(labelled, run, "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    found = labelled.mapInArrow(run, "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     packed = found.groupBy("lang").agg(F.collect_list("bucket").alias("b"), F.collect_list("n").alias("n"))
     rows_found = packed.limit(MAX_LANGUAGES + 1).collect()
     if len(rows_found) > MAX_LANGUAGES:
