@@ -7,12 +7,14 @@ each block are found by exact inner products, and a query's blocks over all curv
 
 For inner products of vectors of different lengths a component is added that gives all candidates the same length; a query
 has 0 there. Equal vectors are one class, found once and expanded to its smallest ids, so a vector that a third of all
-rows share is one candidate. A block holds ``window`` rows, whatever the size of the table; work grows with
-rows * curves * window for the share of rows that are queries.
+rows share is one candidate. A window is a fixed share of all ranks, so that the share of the table a query meets does not fall as
+the table grows; work grows with rows * queries. A window beyond ``BLOCK`` ranks is cut into blocks for tasks of their own.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -23,6 +25,10 @@ from ..session import cut_lineage
 from .common import map_batches
 
 CURVES, WINDOW, DIMENSIONS, GRID_BITS = 32, 512, 8, 6
+#: a window is this share of a curve's ranks, and at least WINDOW of them
+SHARE = 0.01
+#: ranks of a block and queries sent to it by one task at most, scores held at a time, lists that one row merges
+BLOCK, QUERIES, SCORES, FAN = 8_192, 32_768, 1 << 21, 96
 #: rows that the spread of projections is measured on
 FIT_ROWS = 20_000
 SALTS = 64
@@ -117,15 +123,16 @@ def _ranked(keyed: DataFrame) -> DataFrame:
     return joined.select("curve", "cid", "asks", (F.col("pos") + F.col("shift")).alias("rank"))
 
 
-_FOUND = "qid bigint, cids array<bigint>, scores array<double>"
+_FOUND = "qid bigint, list bigint, cids array<bigint>, scores array<double>"
 
 
 def _best(qids, queries: np.ndarray, cids: np.ndarray, points: np.ndarray, k: int) -> pd.DataFrame:
     """The k best of one block for each query, ties to the smaller id."""
     order = np.argsort(cids, kind="stable")
-    cids, scores = cids[order], queries @ points[order].T
+    cids, points = cids[order], points[order]
+    step = max(1, SCORES // len(cids))
     ids, values = [], []
-    for row in scores:
+    for row in (r for at in range(0, len(queries), step) for r in queries[at : at + step] @ points.T):
         if len(row) > k:
             kth = -np.partition(-row, k - 1)[k - 1]
             at = np.flatnonzero(row >= kth)
@@ -145,7 +152,21 @@ def _merge(batch: pa.RecordBatch, k: int) -> pa.RecordBatch:
                 best[i] = max(x, best.get(i, x))
         top = sorted(best.items(), key=lambda e: (-e[1], e[0]))[:k]
         ids.append([i for i, _ in top]), values.append([x for _, x in top])
-    return pa.RecordBatch.from_arrays([batch.column("qid"), pa.array(ids, pa.list_(pa.int64())), pa.array(values, pa.list_(pa.float64()))], ["qid", "cids", "scores"])
+    made = [pa.array(ids, pa.list_(pa.int64())), pa.array(values, pa.list_(pa.float64()))]
+    return pa.RecordBatch.from_arrays([batch.column("qid"), batch.column("list"), *made], ["qid", "list", "cids", "scores"])
+
+
+def layout(ranks: int, asked: int, window: int | None = None) -> tuple[int, int, int]:
+    """Ranks of a block, blocks a query meets to either side of its own, and parts its queries are cut into.
+
+    All blocks a query meets span at least three windows.
+    """
+    window = window or max(WINDOW, math.ceil(SHARE * ranks))
+    pieces = -(-window // BLOCK)
+    block, reach = -(-window // pieces), 3 * pieces // 2
+    # queries of a block if they lie four times as dense as on average, but no more than there are
+    near = min(asked, (2 * reach + 1) * block * min(1.0, 4 * asked / max(1, ranks)))
+    return block, reach, max(1, math.ceil(near / QUERIES))
 
 
 def search(
@@ -154,13 +175,13 @@ def search(
     k: int = 20,
     column: str = "embedding",
     curves: int = CURVES,
-    window: int = WINDOW,
+    window: int | None = None,
     dimensions: int = DIMENSIONS,
     bits: int = GRID_BITS,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found of each query row among all other rows.
 
-    ``is_query`` is a condition on vec_id. Fixed results: vectors that are null, empty, zero or hold a null or non-finite
+    ``is_query`` is a condition on vec_id. Without ``window`` it is ``SHARE`` of the ranks. Fixed results: vectors that are null, empty, zero or hold a null or non-finite
     component take no part, nor do rows without an id; a row never finds its own id; equal rows count once; ties go to
     the smaller id; vectors of another length than the first by id are an error; an empty table gives no rows; other
     columns are not read.
@@ -199,22 +220,35 @@ def search(
 
     plain = classes.select("cid", "v", F.lit(False).alias("asks"))
     ask = classes.join(asked.select("cid").distinct(), "cid", "left_semi").select("cid", "v", F.lit(True).alias("asks"))
+    n_asked = asked.select("cid").distinct().count()
+    size, reach, parts = layout(classes.count() + n_asked, n_asked, window)
+    met = 2 * reach + 1
     ranked = _ranked(map_batches(plain.unionByName(ask), keys, "curve int, key bigint, cid bigint, asks boolean"))
-    block = F.floor(F.col("rank") / window)
-    # candidates go to their block, queries to it and both beside it
-    to = F.when(F.col("asks"), F.array(block - 1, block, block + 1)).otherwise(F.array(block))
-    spread = ranked.select("curve", "cid", "asks", F.explode(to).alias("block")).join(classes.select("cid", "v"), "cid")
+    block = F.floor(F.col("rank") / size)
+    # candidates go to all parts of their block, queries to one part of it and of those beside it
+    to = F.when(F.col("asks"), F.sequence(block - reach, block + reach)).otherwise(F.array(block))
+    part = F.when(F.col("asks"), F.array(F.pmod(F.xxhash64("cid"), F.lit(parts)))).otherwise(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<bigint>"))
+    sent = ranked.select("curve", "cid", "asks", F.explode(to).alias("block"), part.alias("parts"))
+    spread = sent.select("curve", "cid", "asks", "block", F.explode("parts").alias("part")).join(classes.select("cid", "v"), "cid")
 
     def in_block(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         asks = group["asks"].to_numpy(bool)
         if not asks.any() or asks.all():
-            return pd.DataFrame({n: pd.Series([], dtype=object) for n in ("qid", "cids", "scores")})
+            return pd.DataFrame({n: pd.Series([], dtype=object) for n in ("qid", "list", "cids", "scores")})
         q, c = group[asks], group[~asks]
-        return _best(q["cid"].to_numpy(), _matrix(list(q["v"])), c["cid"].to_numpy(), _matrix(list(c["v"])), k + 1)
-
-    found = spread.groupBy("curve", "block").applyInPandas(in_block, _FOUND)
-    lists = found.groupBy("qid").agg(F.collect_list("cids").alias("cids"), F.collect_list("scores").alias("scores"))
-    best = cut_lineage(map_batches(lists, lambda b: _merge(b, k + 1), _FOUND))
+        best = _best(q["cid"].to_numpy(), _matrix(list(q["v"])), c["cid"].to_numpy(), _matrix(list(c["v"])), k + 1)
+        # blocks that a query meets stand in a row, so their numbers differ in the remainder
+        best.insert(1, "list", key[0] * met + key[1] % met)
+        return best
+
+    best, lists = spread.groupBy("curve", "block", "part").applyInPandas(in_block, _FOUND), curves * met
+    while True:
+        # few lists in a row, however many blocks a query meets
+        some = best.groupBy("qid", F.floor(F.col("list") / FAN).alias("list")).agg(F.collect_list("cids").alias("cids"), F.collect_list("scores").alias("scores"))
+        best, lists = map_batches(some, lambda b: _merge(b, k + 1), _FOUND), -(-lists // FAN)
+        if lists == 1:
+            break
+    best = cut_lineage(best)
     hits = best.select("qid", F.explode(F.arrays_zip("cids", "scores")).alias("h")).select("qid", F.col("h.cids").alias("cid"), F.col("h.scores").alias("score"))
     members = hits.join(classes.select("cid", "members"), "cid")
     near = members.groupBy("qid").agg(F.flatten(F.collect_list(F.transform("members", lambda m: F.struct((-F.col("score")).alias("d"), m.alias("i"))))).alias("all"))

@@ -220,6 +220,26 @@ def test_search_recall(spark):
     assert len(got) == 60 * 20 and hit / len(got) >= 0.9
 
 
+def test_search_meets_a_share_of_any_table(spark, monkeypatch):
+    """The share of ranks that a query meets does not fall with the table, blocks stay small, and split ones lose nothing."""
+    for ranks in (51_200, 200_000, 3_000_000, 200_000_000):
+        block, reach, parts = curve_search.layout(ranks, ranks // 20)
+        assert (2 * reach + 1) * block >= 0.03 * ranks and block <= curve_search.BLOCK
+        assert (2 * reach + 1) * block / 20 <= parts * curve_search.QUERIES
+    assert curve_search.layout(1_000, 50) == (512, 1, 1)
+    monkeypatch.setattr(curve_search, "BLOCK", 20)
+    monkeypatch.setattr(curve_search, "QUERIES", 7)
+    monkeypatch.setattr(curve_search, "FAN", 5)
+    rng = np.random.default_rng(8)
+    points = rng.normal(size=(300, 8))
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate(points.tolist())], "vec_id bigint, embedding array<double>")
+    assert curve_search.layout(330, 30, 300) == (20, 22, 5)
+    got: dict[int, list[int]] = {}
+    for r in curve_search.search(frame, F.col("vec_id") % 10 == 0, k=9, curves=2, window=300).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == {q: [int(i) for i in np.argsort(-(points @ points[q])) if i != q][:9] for q in range(0, 300, 10)}
+
+
 def test_pipeline(spark, codec_args):
     """Each stage alone: what goes and what stays; then the whole."""
     passage = " ".join(f"t{i}" for i in range(14))
