@@ -9,17 +9,21 @@ so each token is scored once; windows of many texts form batches with one causal
 
 Corpus counts are Spark aggregates over all training texts. The words above a count threshold that leaves at most
 ``HEAVY`` of them are broadcast, with their counts; the others, of which there may be any number, are joined. So no
-frequent word is ever a join key. Attention weights are fitted on a bounded sample of windows (``SAMPLE_WINDOWS``).
+frequent word is ever a join key. Attention weights start from a fit on a sample of windows (``SAMPLE_WINDOWS``); then each task
+trains on all windows of its share of the texts, and the weights of all tasks are averaged. Shares go by the hash of id and text, so
+how files are cut changes nothing. The classes of subwords come from their neighbours in the whole corpus.
 """
 
 from __future__ import annotations
 
+import copy
 import uuid
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -35,6 +39,10 @@ KEYS, STRIDE, WIDTH, CLASSES, SINGLE = 32, 24, 24, 256, 200
 SAMPLE_WINDOWS, HEAVY = 24_000, 1 << 17
 SAMPLE_TEXTS = 4_000
 EPOCHS, BATCH, RATE = 3, 64, 0.015
+#: training on all windows: characters of a task, windows shuffled together and of a batch, rates of embeddings and of other weights
+SHARE_CHARS, POOL, STEP, RATES = 32 << 20, 4_096, 128, (0.02, 0.003)
+#: embedding rows that are averaged together, and tasks whose weights one row sums
+CHUNK, FAN = 1_024, 64
 #: what counts inside classes tell apart: begins of words, the most frequent subwords before, all others before
 CONTEXTS = 64
 #: weight of the class's own distribution against the one of a context
@@ -144,6 +152,39 @@ def framed(ids: np.ndarray, sub: Subwords) -> np.ndarray:
     return np.concatenate([lead, ids.astype(np.int32), np.array([sub.end], np.int32)])
 
 
+def ids_of(text: bytes, sub: Subwords) -> np.ndarray:
+    return framed(np.array([i for part in segments(text) for w in part.lower().split() for i in sub.of(w)], np.int32), sub)
+
+
+def windows_of(seq: np.ndarray) -> np.ndarray:
+    """Windows of KEYS + 1 ids of a framed text, short ones filled with -1."""
+    starts = window_starts(len(seq) - (KEYS - STRIDE) - 1)
+    long = np.concatenate([seq, np.full(KEYS + 1, -1, np.int32)])
+    return long[starts[:, None] + np.arange(KEYS + 1)]
+
+
+def neighbours(texts: DataFrame, path: str, pattern: str, known: np.ndarray) -> np.ndarray:
+    """(size, 2 * CLASSES): how often each subword stands before and after the subwords of each ``known`` class, over all texts."""
+    wide = 2 * CLASSES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sub, totals = Subwords(path, pattern), np.zeros(len(known) * wide, np.int32)
+        for batch in batches:
+            for text in texts_of(batch, "text"):
+                seq = ids_of(text, sub)[KEYS - STRIDE :].astype(np.int64)
+                a, b = seq[:-1], seq[1:]
+                np.add.at(totals, a * wide + known[b], 1)
+                np.add.at(totals, b * wide + CLASSES + known[a], 1)
+        some = np.flatnonzero(totals)
+        if len(some):
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(totals[some].astype(np.int64))], ["k", "n"])
+
+    out = np.zeros(len(known) * wide, np.float32)
+    found = texts.select("text").mapInArrow(run, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    out[np.asarray(found.column("k"))] = np.asarray(found.column("n"))  # at most the vocabulary times 2 * CLASSES
+    return out.reshape(len(known), wide)
+
+
 def _sample(texts: DataFrame, path: str, pattern: str, seed: int) -> np.ndarray:
     """Windows of KEYS + 1 ids (short ones filled with -1) of texts chosen by hash; all of them if there are few."""
     total = texts.count()
@@ -153,13 +194,7 @@ def _sample(texts: DataFrame, path: str, pattern: str, seed: int) -> np.ndarray:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sub, out = Subwords(path, pattern), []
         for text in texts_of(batch, "text"):
-            ids = [i for part in segments(text) for w in part.lower().split() for i in sub.of(w)]
-            seq = framed(np.array(ids, np.int32), sub)
-            for s in window_starts(len(ids) + 1):
-                w = np.full(KEYS + 1, -1, np.int32)
-                part = seq[s : s + KEYS + 1]
-                w[: len(part)] = part
-                out.append(w)
+            out += list(windows_of(ids_of(text, sub)))
         flat = pa.array(np.concatenate(out) if out else np.zeros(0, np.int32))
         return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1, dtype=np.int32) * (KEYS + 1)), flat)], ["w"])
 
@@ -167,26 +202,23 @@ def _sample(texts: DataFrame, path: str, pattern: str, seed: int) -> np.ndarray:
     return np.array([r[0] for r in rows], np.int64).reshape(-1, KEYS + 1)
 
 
-def _classes(counts: np.ndarray, windows: np.ndarray, end: int, seed: int) -> np.ndarray:
-    """A class for each id: the end, the most frequent ones, and groups of the others by their neighbours in the sample."""
+def _known(counts: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of the most frequent ids and the end, the last one for all others; the others that occur."""
     out = np.full(len(counts), CLASSES - 1, np.int64)
     order = np.argsort(-counts, kind="stable")
     top = [i for i in order[:SINGLE] if counts[i] > 0]
     out[top] = np.arange(len(top))
     out[end] = SINGLE
-    rest = np.array([i for i in order[SINGLE:] if counts[i] > 0], np.int64)
+    return out, np.array([i for i in order[SINGLE:] if counts[i] > 0], np.int64)
+
+
+def _classes(counts: np.ndarray, near: np.ndarray, end: int, seed: int) -> np.ndarray:
+    """A class for each id: the end, the most frequent ones, and groups of the others by their ``neighbours``."""
+    out, rest = _known(counts, end)
     groups = CLASSES - SINGLE - 2  # the last class holds what no training text has
-    if not len(rest) or not len(windows):
+    if not len(rest) or not near.any():
         out[rest] = SINGLE + 1
         return out
-    known = out.copy()
-    known[rest] = CLASSES - 1
-    a, b = windows[:, :-1].ravel(), windows[:, 1:].ravel()
-    ok = (a >= 0) & (b >= 0)
-    a, b = a[ok], b[ok]
-    near = np.zeros((len(counts), 2 * CLASSES))
-    np.add.at(near, (a, known[b]), 1)
-    np.add.at(near, (b, CLASSES + known[a]), 1)
     features = np.sqrt(near[rest] + 0.01 * near.sum(0) / max(1.0, near.sum()))
     features /= np.linalg.norm(features, axis=1, keepdims=True) + 1e-9
     weight = counts[rest].astype(np.float64)
@@ -275,13 +307,103 @@ class Attention:
         return losses
 
 
+class Local:
+    """A task's own copy of the weights, trained on the windows it is given; how often each embedding and all else was used."""
+
+    def __init__(self, model: Attention, row: np.ndarray, classes: np.ndarray, seed: int):
+        self.row, self.classes, self.rng = row, classes, np.random.default_rng(seed)
+        self.E, self.net = model.E.copy(), copy.copy(model)
+        self.squares = {n: np.zeros_like(getattr(model, n)) for n in model.NAMES}
+        self.uses, self.windows = np.zeros(len(self.E), np.float32), 0
+
+    def learn(self, windows: np.ndarray) -> None:
+        """Adagrad over shuffled batches; each window once."""
+        order = self.rng.permutation(len(windows))
+        for at in range(0, len(order), STEP):
+            w = windows[order[at : at + STEP]]
+            there = w >= 0
+            used, ids = np.unique(self.row[np.where(there, w, -1)], return_inverse=True)
+            ids = ids.reshape(w.shape)
+            valid = there[:, 1:] & (np.arange(KEYS) >= KEYS - STRIDE)
+            self.net.E = self.E[used]
+            _, g = self.net.gradients(ids[:, :-1], self.classes[np.where(there, w, 0)[:, 1:]], valid)
+            e = g.pop("E")
+            self.squares["E"][used] += e * e
+            self.E[used] -= RATES[0] * e / (np.sqrt(self.squares["E"][used]) + 1e-6)
+            for n, d in g.items():
+                self.squares[n] += d * d
+                setattr(self.net, n, (getattr(self.net, n) - RATES[1] * d / (np.sqrt(self.squares[n]) + 1e-6)).astype(np.float32))
+            self.uses[used] += np.bincount(ids[:, :-1][there[:, :-1]], minlength=len(used))
+            self.windows += len(w)
+
+    def sums(self) -> Iterator[tuple[int, bytes, bytes]]:
+        """(chunk, weighted weights, their weights): chunks of embeddings, and -1 for all else."""
+        flat = np.concatenate([getattr(self.net, n).ravel() for n in self.net.NAMES if n != "E"])
+        yield -1, (flat * np.float32(self.windows)).tobytes(), np.float32([self.windows]).tobytes()
+        for c in range(0, len(self.E), CHUNK):
+            uses = self.uses[c : c + CHUNK]
+            if uses.any():
+                yield c // CHUNK, (self.E[c : c + CHUNK] * uses[:, None]).tobytes(), uses.tobytes()
+
+
+def train_all(texts: DataFrame, model: Attention, row: np.ndarray, classes: np.ndarray, path: str, pattern: str, seed: int) -> int:
+    """Trains ``model`` on all windows of all texts (id, text): each task on its share, then weights are averaged by their uses.
+
+    ``row`` gives the embedding of a subword. Returns the number of windows.
+    """
+    chars = texts.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    near = F.xxhash64("id", "text", F.lit(seed))
+    shares = texts.withColumn("h", near).repartition(max(1, -(-chars // SHARE_CHARS)), "h").sortWithinPartitions("h", "text").select("text")
+    shared = texts.sparkSession.sparkContext.broadcast((model, row, classes))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sub, part = Subwords(path, pattern), TaskContext.get().partitionId()
+        local, pool, held = Local(*shared.value, seed + part), [], 0
+        for batch in batches:
+            for text in texts_of(batch, "text"):
+                made = windows_of(ids_of(text, sub))
+                pool.append(made)
+                held += len(made)
+                if held >= POOL:
+                    local.learn(np.concatenate(pool))
+                    pool, held = [], 0
+        if pool:
+            local.learn(np.concatenate(pool))
+        if local.windows:
+            for chunk, sums, uses in local.sums():
+                yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([chunk]), pa.array([sums]), pa.array([uses])], ["part", "chunk", "sums", "uses"])
+
+    def add(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("part")
+        total = {n: sum(np.frombuffer(v, np.float32).astype(np.float64) for v in group[n]).astype(np.float32).tobytes() for n in ("sums", "uses")}
+        return pd.DataFrame({"part": [int(group["part"].iloc[0]) // FAN], "chunk": [int(group["chunk"].iloc[0])], **{n: [v] for n, v in total.items()}})
+
+    schema = "part bigint, chunk bigint, sums binary, uses binary"
+    some = cut_lineage(shares.mapInArrow(run, schema)).groupBy("chunk", F.floor(F.col("part") / FAN)).applyInPandas(add, schema)
+    windows = 0
+    # one row for each chunk of embeddings, and one more
+    for r in some.groupBy("chunk").applyInPandas(add, schema).collect():
+        sums, uses = np.frombuffer(r.sums, np.float32), np.frombuffer(r.uses, np.float32)
+        if r.chunk >= 0:
+            at = r.chunk * CHUNK + np.flatnonzero(uses)
+            model.E[at] = sums.reshape(len(uses), -1)[uses > 0] / uses[uses > 0, None]
+            continue
+        windows, start = int(uses[0]), 0
+        for n in model.NAMES:
+            if n != "E":
+                w = getattr(model, n)
+                setattr(model, n, (sums[start : start + w.size] / uses[0]).reshape(w.shape))
+                start += w.size
+    return windows
+
+
 class Scorer:
     """A fitted model in the form that scores: a table row for each subword, and the counts inside classes."""
 
     def __init__(self, model: Attention, used: np.ndarray, sub: Subwords, classes: np.ndarray, counts: np.ndarray, rank: np.ndarray):
         self.path, self.pattern = sub.path, sub.pattern
         self.classes = classes.astype(np.uint8)
-        # a row for each subword of the sample, and one for all others: their mean
+        # a row for each subword of the training texts, and one for all others: their mean
         self.row = np.full(len(classes), len(used), np.int32)
         self.row[used] = np.arange(len(used))
         e = np.concatenate([model.E, model.E.mean(0, keepdims=True)]).astype(np.float32)
@@ -356,19 +478,28 @@ class Scorer:
 
 
 def train(texts: DataFrame, words: DataFrame, path: str, pattern: str, epochs: int = EPOCHS, seed: int = 7) -> tuple[Scorer, list[float]]:
-    """A scorer from training texts (text) and their word counts (word, n); the losses of the epochs."""
+    """A scorer from training texts (id, text) and their word counts (word, n); the losses of the epochs."""
     sub = Subwords(path, pattern)
     plain = subword_counts(words, path, pattern, sub.size, np.full(sub.size, CONTEXTS - 1))
     rank = context_ranks(plain.sum(0))
     counts = subword_counts(words, path, pattern, sub.size, rank)
+    total = counts.sum(0)
+    classes = _classes(total, neighbours(texts, path, pattern, _known(total, sub.end)[0]), sub.end, seed)
     windows = _sample(texts, path, pattern, seed)
-    classes = _classes(counts.sum(0), windows, sub.end, seed)
-    used = np.unique(np.concatenate([windows[windows >= 0].ravel(), [sub.begin, sub.end]]))
-    dense = np.searchsorted(used, np.where(windows >= 0, windows, sub.end))
-    ids, nexts = dense[:, :-1], classes[used][dense[:, 1:]]
+    some = np.unique(np.concatenate([windows[windows >= 0].ravel(), [sub.begin, sub.end]]))
+    dense = np.searchsorted(some, np.where(windows >= 0, windows, sub.end))
+    ids, nexts = dense[:, :-1], classes[some][dense[:, 1:]]
     valid = (windows[:, 1:] >= 0) & (np.arange(KEYS) >= KEYS - STRIDE)
-    model = Attention(len(used), seed)
+    model = Attention(len(some), seed)
     losses = model.fit(ids, nexts, valid, epochs if len(ids) else 0, seed)
+    # subwords outside the sample start from the mean of those in it
+    used = np.union1d(some, np.flatnonzero(total))
+    fitted, model.E = model.E, np.tile(model.E.mean(0), (len(used), 1))
+    model.E[np.searchsorted(used, some)] = fitted
+    row = np.zeros(sub.size, np.int32)
+    row[used] = np.arange(len(used))
+    if epochs and len(ids):
+        train_all(texts, model, row, classes, path, pattern, seed)
     return Scorer(model, used, sub, classes, counts, rank), losses
 
 
@@ -460,7 +591,7 @@ def score_texts(docs: DataFrame, training: Column, path: str, pattern: str, doc_
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(training, F.lit(False)).alias("training"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    own = rows.where("training").select("text")
+    own = rows.where("training").select(F.col("doc_id").alias("id"), "text")
     words = cut_lineage(count_words(own))
     ends = own.count()
     n_words, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()

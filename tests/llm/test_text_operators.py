@@ -208,6 +208,21 @@ def test_language_model_learns(spark):
     assert held.score.sum() / held.n_tokens.sum() > -4.6
 
 
+def test_language_model_trains_on_all_windows(spark, codec_args, monkeypatch):
+    """Every window of every text counts, in several tasks, and subwords outside the sample get embeddings of their own."""
+    monkeypatch.setattr(attention_lm, "SAMPLE_WINDOWS", 5)
+    monkeypatch.setattr(attention_lm, "SHARE_CHARS", 2_000)
+    sub, seen = attention_lm.Subwords(*codec_args), []
+    whole = attention_lm.train_all
+    monkeypatch.setattr(attention_lm, "train_all", lambda *a: seen.append(whole(*a)))
+    rows = [(i, " ".join(f"word{(i * k) % 89} the" for k in range(i % 50))) for i in range(120)]
+    texts = spark.createDataFrame(rows, "id bigint, text string").repartition(3)
+    scorer, _ = attention_lm.train(texts, attention_lm.count_words(texts), *codec_args, epochs=1)
+    assert seen == [sum(len(attention_lm.windows_of(attention_lm.ids_of(t.encode(), sub))) for _, t in rows)]
+    used = sorted({i for _, t in rows for w in t.encode().split() for i in sub.of(w)})
+    assert len(set(scorer.row[used])) == len(used) == len({scorer.table[scorer.row[i]].tobytes() for i in used})
+
+
 def test_digests(spark, codec_args):
     sf = "/root/testdata/sf0.001"
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
