@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import work_path
-from . import attention_lm, bpe, chat_parts, curve_search, decontaminate, language_mix, link_trust, shard_tree, simhash, warc
+from . import attention_lm, ball_codes, bpe, chat_parts, curve_search, decontaminate, language_mix, link_trust, packing, shard_tree, simhash, warc, whitening
 from .common import id_crc, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -155,6 +155,50 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op11_whitening")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``deviation`` is exact in the operator's decimals; one that a long can't hold (n beyond millions) is null here."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    made = whitening.whiten_rows(rows)
+    if made is None:
+        schema = "vec_id bigint, component int, n bigint, deviation bigint, whitened double, explained double, identity_error double"
+        return spark.createDataFrame([], schema)
+    white, model, error = made
+    explained = F.array(*[F.lit(float(e)) for e in model.explained])
+    each = white.select("vec_id", F.expr("try_cast(deviation as bigint)").alias("deviation"), F.posexplode("whitened").alias("at", "whitened"))
+    return each.select(
+        "vec_id",
+        (F.col("at") + 1).alias("component"),
+        F.lit(model.n).cast("bigint").alias("n"),
+        "deviation",
+        "whitened",
+        F.get(explained, F.col("at")).alias("explained"),
+        F.lit(error).alias("identity_error"),
+    )
+
+
+@query("op12_packing")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    pieces = packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), packing.SEQUENCE_TOKENS, end_id=0)
+    packed = packing.pack(pieces.drop("ids"), packing.SEQUENCE_TOKENS)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query("op13_ball_codes")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    coded, books = ball_codes.compress(rows, order="vec_id")
+    coded = ball_codes.with_group_error(coded, "label", "label_error")
+    return coded.select(
+        "vec_id",
+        F.lower(F.hex("code")).alias("code"),
+        "error",
+        "label_error",
+        F.lit(ball_codes.digest(books)).alias("codebooks_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
