@@ -1,40 +1,136 @@
-"""Walks along next links, done by doubling: k rounds cover chains of length 2**k."""
+"""Walks along next links, with work in proportion to the links."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import broadcast_if_small, cut_lineage
 
 MAX_ROUNDS = 62
+#: links of a key that one task walks
+HOT_LINKS = 100_000
+#: the contracted links are doubled once they are this share of the links
+SHORT = 16
 
 
 def follow_links(
-    links: DataFrame, starts: DataFrame, keys: list[str], node: str = "url", nxt: str = "next_url"
+    links: DataFrame, starts: DataFrame, keys: list[str], node: str = "url", nxt: str = "next_url", hot_links: int = HOT_LINKS
 ) -> DataFrame:
     """Nodes reached from each start with their distance ``hop``, each node once.
 
-    A link leads from (keys, node) to nxt; a walk stops where there is no link or where it would
-    repeat a node. Round k adds the nodes 2**k .. 2**(k+1)-1 steps away with one join, and then
-    doubles the jump table, so a chain of a million links takes 20 rounds. Nodes are unique per
-    key, so the joins have no hot key.
+    A link leads from (keys, node) to nxt; a walk stops where there is no link or where it would repeat a node. A node has one
+    link. Keys are counted first: a key with at most ``hot_links`` links is walked in one task after one shuffle; the links
+    of larger keys are contracted, ranked and expanded, and spread over all tasks. Both give the same rows.
     """
-    jump = links.where(F.col(nxt).isNotNull())
-    # the length of a jump is data, so that the rounds share one compiled plan
-    jump = cut_lineage(
-        jump.select(*keys, F.col(node).alias("__at"), F.col(nxt).alias("__to"), F.lit(1).cast("bigint").alias("__span"))
-    )
-    reached = starts.select(*keys, F.col(node).alias("__at"), F.lit(0).cast("bigint").alias("hop"))
+    rows = links.where(F.col(nxt).isNotNull()).select(*keys, F.col(node).alias("__at"), F.col(nxt).alias("__to"))
+    begin = starts.select(*keys, F.col(node).alias("__at"))
+    hot = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > hot_links).select(*keys)
+    hot = cut_lineage(hot)
+    if hot.isEmpty():
+        return _walked(rows, begin, keys).select(*keys, "hop", F.col("__at").alias(node))
+    side = broadcast_if_small(hot)
+    few = _walked(rows.join(side, keys, "left_anti"), begin.join(side, keys, "left_anti"), keys)
+    many = _contracted(rows.join(side, keys, "left_semi"), begin.join(side, keys, "left_semi"), keys)
+    return few.unionByName(many).select(*keys, "hop", F.col("__at").alias(node))
+
+
+def _walked(rows: DataFrame, begin: DataFrame, keys: list[str]) -> DataFrame:
+    """Each key's links in one task, key after key."""
+    both = rows.unionByName(begin.withColumn("__to", F.lit(None).cast(rows.schema["__to"].dataType)).withColumn("__start", F.lit(True)), allowMissingColumns=True)
+    dealt = both.repartition(*keys).sortWithinPartitions(*keys)
+    fields = [*[rows.schema[k] for k in keys], rows.schema["__at"]]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", hop bigint"
+
+    def reach(ahead: dict, first: list) -> list[tuple[object, int]]:
+        hops = dict.fromkeys(first, 0)
+        layer, hop = list(hops), 0
+        while layer:
+            hop += 1
+            layer = [to for at in layer for to in ahead.get(at, ()) if to not in hops and hops.setdefault(to, hop) == hop]
+        return list(hops.items())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: list[tuple] = []
+        key, ahead, first = None, {}, []
+
+        def close():
+            if first:
+                done.extend((*key, at, hop) for at, hop in reach(ahead, first))
+
+        def flush():
+            columns = list(zip(*done)) if done else [[] for _ in range(len(keys) + 2)]
+            return pa.RecordBatch.from_arrays([*[pa.array(c, t) for c, t in zip(columns, kinds)], pa.array(columns[-1], pa.int64())], names=[*keys, "__at", "hop"])
+
+        kinds = None
+        for batch in batches:
+            kinds = kinds or [batch.schema.field(c).type for c in [*keys, "__at"]]
+            names = zip(*[batch.column(k).to_pylist() for k in keys])
+            for name, at, to, start in zip(names, *[batch.column(c).to_pylist() for c in ("__at", "__to", "__start")]):
+                if name != key:
+                    close()
+                    key, ahead, first = name, {}, []
+                    if len(done) > 10_000:
+                        yield flush()
+                        done = []
+                if start:
+                    first.append(at)
+                else:
+                    ahead.setdefault(at, []).append(to)
+        close()
+        if done:
+            yield flush()
+
+    return dealt.mapInArrow(run, schema)
+
+
+def _contracted(rows: DataFrame, begin: DataFrame, keys: list[str]) -> DataFrame:
+    """Rounds that take out about a quarter of the nodes, and put them back after the short rest is ranked.
+
+    By a coin for each node, one that shows heads before tails goes: links into it lead on to where it led. No two nodes in a row go
+    in a round, and starts stay. The table of a round is three quarters of the one before, so all of them together are in proportion
+    to the links. Putting back goes the other way: a node that was taken out is reached from those that led to it.
+    """
+    flags = begin.select(*keys, "__at").distinct().withColumn("__start", F.lit(True))
+    links = rows.join(flags, [*keys, "__at"], "left").select(*keys, "__at", "__to", F.lit(1).cast("bigint").alias("__span"), F.coalesce("__start", F.lit(False)).alias("__start"))
+    links = cut_lineage(links.where(F.col("__at") != F.col("__to")))
+    left = whole = links.count()
+    taken_out = []
+    for r in range(MAX_ROUNDS):
+        if left * SHORT <= whole:
+            break
+        heads = lambda c, r=r: F.xxhash64(*keys, c, F.lit(r)).bitwiseAND(1) == 1
+        marked = links.withColumn("__out", heads("__at") & ~heads("__to") & ~F.col("__start"))
+        out = marked.where("__out").select(*keys, F.col("__at").alias("__to"), F.col("__to").alias("__far"), F.col("__span").alias("__more"))
+        spliced = cut_lineage(marked.where("not __out").drop("__out").join(out, [*keys, "__to"], "left"))
+        taken_out.append(spliced.where("__far is not null").select(*keys, "__at", "__to", "__span"))
+        onward = F.coalesce("__far", "__to")
+        links = spliced.select(*keys, "__at", onward.alias("__to"), (F.col("__span") + F.coalesce("__more", F.lit(0))).alias("__span"), "__start")
+        # what leads to itself went round a circle
+        links = links.where(F.col("__at") != F.col("__to"))
+        left = links.count()
+    reached = _doubled(links.drop("__start"), begin, keys)
+    for out in reversed(taken_out):
+        back = reached.join(out, [*keys, "__at"]).select(*keys, F.col("__to").alias("__at"), (F.col("hop") + F.col("__span")).alias("hop"))
+        reached = cut_lineage(reached.unionByName(back).groupBy(*keys, "__at").agg(F.min("hop").alias("hop")))
+    return reached
+
+
+def _doubled(jump: DataFrame, begin: DataFrame, keys: list[str]) -> DataFrame:
+    """Round k adds the nodes 2**k to 2**(k+1) - 1 links away and doubles the jump table, which is the short rest of the links."""
+    jump = cut_lineage(jump)
+    reached = begin.distinct().select(*keys, "__at", F.lit(0).cast("bigint").alias("hop"))
     size = None
     with ThreadPoolExecutor(1) as pool:
         for _ in range(MAX_ROUNDS):
             # both tables of a round need only the round before, so they are made side by side
-            ahead = jump.select(*keys, F.col("__at").alias("__to"), F.col("__to").alias("__far"))
+            ahead = jump.select(*keys, F.col("__at").alias("__to"), F.col("__to").alias("__far"), F.col("__span").alias("__more"))
             doubled = jump.join(ahead, [*keys, "__to"]).select(
-                *keys, "__at", F.col("__far").alias("__to"), (F.col("__span") * 2).alias("__span")
+                *keys, "__at", F.col("__far").alias("__to"), (F.col("__span") + F.col("__more")).alias("__span")
             )
             longer = pool.submit(cut_lineage, doubled)
             step = reached.join(jump, [*keys, "__at"]).select(
@@ -47,4 +143,4 @@ def follow_links(
             size, jump = grown, longer.result()
         else:
             raise RuntimeError(f"links still led on after {MAX_ROUNDS} rounds")
-    return reached.select(*keys, "hop", F.col("__at").alias(node))
+    return reached

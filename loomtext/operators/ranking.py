@@ -8,10 +8,15 @@ The result equals the plain window's.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import cut_lineage
 
@@ -111,37 +116,81 @@ def successor(df: DataFrame, keys: list[str], rank: str, values: dict[str, str])
     return attach(df, nxt, keys + [rank], list(values.values()))
 
 
-def next_after(
-    probes: DataFrame, targets: DataFrame, keys: list[str], at: str, tie: str, target: str, bucket
-) -> DataFrame:
-    """For each probe the first target of its key that lies after it in (at, tie) order.
+def next_after(probes: DataFrame, targets: DataFrame, keys: list[str], at: str, tie: str, target: str, parts: int | None = None) -> DataFrame:
+    """For each probe the first target of its key that lies after it in (at, tie) order, NULL without one.
 
-    Probes and targets meet in buckets of ``at``; a probe with no later target in its bucket takes
-    the first one of the next bucket that has any, read from a small table of bucket firsts.
+    Probes and targets are cut into ranges of (key, at, tie), latest first, so a key with most of the rows is spread over as many
+    tasks as it fills; tasks pass over their range once and remember the last target. The first probes of a range may have to look
+    over its edge: they take what the range before it ended with, from a table with one row for each range.
     """
     rest = [c for c in probes.columns if c not in [*keys, at, tie]]
     carried = probes.select(F.struct(*rest).alias("p")).schema["p"].dataType
+    kind = targets.schema[target].dataType
     t = targets.select(*keys, at, tie, F.lit(1).alias("__k"), target, F.lit(None).cast(carried).alias("__p"))
-    p = probes.select(
-        *keys, at, tie, F.lit(0).alias("__k"), F.lit(None).cast(targets.schema[target].dataType).alias(target),
-        F.struct(*rest).alias("__p"),
-    )
-    place = F.struct(*keys, bucket(F.col(at)).alias("b"))
-    both = t.unionByName(p).withColumn("__kb", place)
-    back = Window.partitionBy("__kb").orderBy(F.desc(at), F.desc(tie), F.asc("__k"))
-    near = both.withColumn(
-        "__near", F.last(target, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0))
-    ).where("__k = 0")
-    # one row per bucket; a bucket may hold probes and no targets
-    table = both.groupBy("__kb").agg(F.min_by(target, F.when(F.col("__k") == 1, F.struct(at, tie))).alias("__first"))
-    later = (
-        Window.partitionBy(*[F.col("__kb")[k] for k in keys])
-        .orderBy(F.col("__kb")["b"].desc())
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    carry = table.select("__kb", F.last("__first", ignorenulls=True).over(later).alias("__carry"))
-    out = near.join(carry, "__kb")
-    return out.select(*keys, at, tie, "__p.*", F.coalesce("__near", "__carry").alias(target))
+    p = probes.select(*keys, at, tie, F.lit(0).alias("__k"), F.lit(None).cast(kind).alias(target), F.struct(*rest).alias("__p"))
+    order = [*[F.desc(c) for c in [*keys, at, tie]], F.asc("__k")]
+    both = t.unionByName(p)
+    ranges = both.repartitionByRange(parts, *order) if parts else both.repartitionByRange(*order)
+    rows = ranges.sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
+    schema = T.StructType([*rows.schema.fields, T.StructField("__open", T.BooleanType())])
+    # written once: which rows lie in which range must not change between the two readings
+    passed = cut_lineage(rows.mapInArrow(_last_target(keys, target), schema))
+    carries, known = [], None
+    for edge in sorted(passed.where("__k = 2").collect(), key=lambda r: r["__part"]):  # a row for each range
+        name = tuple(edge[k] for k in keys)
+        carries.append((edge["__part"], *(known or (*[None] * len(keys), None))))
+        if not (edge["__open"] and known and known[:-1] == name):
+            known = (*name, edge[target])
+    fields = [T.StructField("__part", T.IntegerType()), *[T.StructField(f"__c{i}", passed.schema[k].dataType) for i, k in enumerate(keys)]]
+    table = F.broadcast(probes.sparkSession.createDataFrame(carries, T.StructType([*fields, T.StructField("__carry", kind)])))
+    found = passed.where("__k = 0").join(table, "__part", "left")
+    mine = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__c{i}")) for i, k in enumerate(keys)], F.col("__open"))
+    return found.select(*keys, at, tie, "__p.*", F.when(mine, F.col("__carry")).otherwise(F.col(target)).alias(target))
+
+
+def _last_target(keys: list[str], target: str):
+    """A pass over sorted rows: a probe (0) gets the last target (1) of its key before it. ``__open`` says that none came yet and
+    the key is the range's first. After the rows comes an edge (2): the range's last key with its last target."""
+
+    def differs(column: pa.Array, before: pa.Array) -> np.ndarray:
+        same = pc.fill_null(pc.equal(column, before), False).to_numpy(zero_copy_only=False)
+        return ~(same | (column.is_null().to_numpy(zero_copy_only=False) & before.is_null().to_numpy(zero_copy_only=False)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last_row, held, first_key, seen = None, None, True, False
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            at = np.arange(n)
+            new = np.zeros(n, bool)
+            for k in keys:
+                column = batch.column(k)
+                head = column.slice(0, 1) if last_row is None else last_row.column(k)
+                new |= differs(column, pa.concat_arrays([head, column.slice(0, n - 1)]))
+            kinds = batch.column("__k").to_numpy()
+            begins = np.maximum.accumulate(np.where(new, at, -1))
+            latest = np.maximum.accumulate(np.where(kinds == 1, at, -1))
+            inside = latest >= np.maximum(begins, 0)  # a target of the same key in this batch
+            before = (begins < 0) & ~inside  # the key goes on from the batch before
+            values = batch.column(target)
+            found = values.take(pa.array(latest, mask=~inside))
+            if seen and before.any():
+                found = pc.if_else(pa.array(before), held, found)
+            open_rows = before & first_key & (not seen)
+            columns = [found if c == target else batch.column(c) for c in batch.schema.names]
+            made = pa.RecordBatch.from_arrays([*columns, pa.array(open_rows)], names=[*batch.schema.names, "__open"])
+            yield made.filter(pa.array(kinds == 0))
+            last_row = batch.slice(n - 1, 1)
+            first_key = first_key and not new.any()
+            seen = bool(inside[-1] or (before[-1] and seen))
+            held = values[int(latest[-1])] if inside[-1] else (held if seen else None)
+        if last_row is not None:
+            change = {"__k": pa.array([2], pa.int32()), target: pa.array([held.as_py() if seen else None], last_row.column(target).type)}
+            columns = [change.get(c, last_row.column(c)) for c in last_row.schema.names]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([first_key and not seen])], names=[*last_row.schema.names, "__open"])
+
+    return run
 
 
 #: pages that end by this row are a bounded top-k; deeper ones number the table in buckets

@@ -189,23 +189,19 @@ def lifecycle(events: DataFrame) -> DataFrame:
     )
 
 
-def accepted_requests(jobs: DataFrame, hours_per_bucket: int = 24) -> DataFrame:
+def accepted_requests(jobs: DataFrame, parts: int | None = None) -> DataFrame:
     """Requests that start a job: a request is dropped while an accepted one with its key is active.
 
-    An accepted job is active on [created, finished). From each request the next acceptable one
-    of its key is the first created at or after its end; the accepted ones are those reached
-    from the key's first request. Both steps are joins over buckets, so a key with a third of
-    the requests is spread out. Columns: id, key, created, finished.
+    An accepted job is active on [created, finished), one without an end for ever. From each request the next acceptable one
+    of its key is the first created at or after its end, found over ranges of time; the accepted ones are those reached
+    from the key's first request. A key with a third of the requests is spread out in both steps. Columns: id, key, created, finished.
     """
-    def bucket(at):
-        return F.floor(F.unix_seconds(at.cast("timestamp")) / (3600 * hours_per_bucket))
-
     base = jobs.select("key", "id", "created", "finished")
     # after its end; a job that ends as it starts is followed by the next id of that moment
     ends_later = F.when(F.col("finished") > F.col("created"), F.lit(-(1 << 62))).otherwise(F.col("id"))
-    probes = base.select("key", F.col("finished").alias("at"), ends_later.alias("tie"), F.col("id").alias("from_id"))
+    probes = base.where("finished is not null").select("key", F.col("finished").alias("at"), ends_later.alias("tie"), F.col("id").alias("from_id"))
     targets = base.select("key", F.col("created").alias("at"), F.col("id").alias("tie"), F.col("id").alias("next_id"))
-    links = next_after(probes, targets, ["key"], "at", "tie", "next_id", bucket)
+    links = next_after(probes, targets, ["key"], "at", "tie", "next_id", parts)
     starts = base.groupBy("key").agg(F.min_by("id", F.struct("created", "id")).alias("from_id"))
     walked = follow_links(links.select("key", "from_id", "next_id"), starts, ["key"], "from_id", "next_id")
     return walked.select("key", F.col("from_id").alias("id"))

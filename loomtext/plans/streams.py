@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..streaming import jobs as J
+from ..streaming.requests import accepted_stream, request_events
 from ..streaming.runs import event_time, read_batches, read_files, run_to_end
 from ..session import work_path
 from .registry import query
 from .segment import sql_pack
-from .telemetry import FOLD, FOLD_COLUMNS, ITEMS, _EMPTY, _OK
+from .telemetry import ACCEPTED, FOLD, FOLD_COLUMNS, ITEMS, _EMPTY, _OK
 from .text import CHARS, sql_acronyms, sql_numbers, sql_signs
 
 
@@ -39,6 +40,12 @@ def _(fx):
     return read_batches(fx.spark, out, first.schema).select("key").distinct()
 
 
+@query("STR2_accepted_requests_stream", ACCEPTED)
+def _(fx):
+    accepted = accepted_stream(request_events(streamed(fx, "V_work")))
+    return accepted.select("key", "id")
+
+
 _SPOKEN = f"regexp_replace({CHARS}, '\\s+,', ',', 'g')"
 
 
@@ -61,8 +68,8 @@ def _(fx):
 
 @query("STR6_notify_once", "select distinct cast(user_id as varchar) as job_id from events where event_type in ('purchase', 'error')")
 def _(fx):
-    ends = streamed(fx, "V_job_events").where("type in ('chapter_done', 'chapter_failed')")
-    return J.notify_once(ends)
+    ends = event_time(streamed(fx, "V_job_events")).where("type in ('chapter_done', 'chapter_failed')")
+    return J.notify_once(ends, delay="1 hour")
 
 
 def _stamp(c):
@@ -89,8 +96,8 @@ def _(fx):
     """with e as (select job_id, ts, case when ts - lag(ts) over (partition by job_id order by ts) < interval 2 hour then 0 else 1 end as fresh from V_job_events),
         s as (select job_id, ts, sum(fresh) over (partition by job_id order by ts rows unbounded preceding) as no from e),
         g as (select job_id, no, min(ts) as b, max(ts) + interval 2 hour as f, count(*) as n from s group by job_id, no)
-        select job_id, strftime(b, '%Y-%m-%d %H:%M:%S') as start, n from g where f <= (select date_trunc('milliseconds', max(ts)) - interval 10 minute from events)""",
+        select job_id, strftime(b, '%Y-%m-%d %H:%M:%S') as start, n, f > (select date_trunc('milliseconds', max(ts)) - interval 10 minute from events) as open from g""",
 )
 def _(fx):
-    sessions = J.closed_sessions(event_time(streamed(fx, "V_job_events")), "10 minutes", "2 hours")
-    return sessions.select("job_id", _stamp("start"), "n")
+    sessions = J.all_sessions(event_time(streamed(fx, "V_job_events")), "10 minutes", "2 hours")
+    return sessions.select("job_id", _stamp("start"), "n", "open")

@@ -115,23 +115,21 @@ def _(fx):
     return M.latest_event(fx.V_job_events, ["raw_path"], ["type", "seq"])
 
 
-@query(
-    "STR2_accepted_requests",
-    """with recursive j as (select id, key, created, finished from V_work), w(key, id, finished) as (
+ACCEPTED = """with recursive j as (select id, key, created, finished from V_work), w(key, id, finished) as (
           select key, arg_min(id, id), arg_min(finished, id) from j group by key
           union all select w.key, n.id, n.finished from w, lateral (select id, finished from j where j.key = w.key and j.created >= w.finished and j.id > w.id order by id limit 1) n)
-        select key, id from w""",
-)
+        select key, id from w"""
+
+
+@query("STR2_accepted_requests", ACCEPTED)
 def _(fx):
     return M.accepted_requests(fx.V_work)
 
 
-@query("STR2_accepted_requests_small_buckets", """with recursive j as (select id, key, created, finished from V_work), w(key, id, finished) as (
-          select key, arg_min(id, id), arg_min(finished, id) from j group by key
-          union all select w.key, n.id, n.finished from w, lateral (select id, finished from j where j.key = w.key and j.created >= w.finished and j.id > w.id order by id limit 1) n)
-        select key, id from w""")
+@query("STR2_accepted_requests_small_buckets", ACCEPTED)
 def _(fx):
-    return M.accepted_requests(fx.V_work, hours_per_bucket=1)
+    """Cut into many more parts than there are cores, so that most answers come over the edge of a part."""
+    return M.accepted_requests(fx.V_work, parts=97)
 
 
 LIFE = """select event_id as seq, cast(ts as timestamp) as ts, cast(user_id as string) as job_id, case event_type when 'signup' then 'job_started' when 'purchase' then 'job_finished' when 'error' then 'job_failed' when 'click' then 'job_cancelled' else 'chunk_progress' end as type,

@@ -1,6 +1,6 @@
 """Streams over job events, requests, texts and logs.
 
-Each function takes ``out`` and ``checkpoint``, two folders that belong together: called again with both, it goes on where it
+Each function that runs a stream takes ``out`` and ``checkpoint``, two folders that belong together: called again with both, it goes on where it
 stopped, reads new files only, and returns the result over all it has seen. Without them it starts anew in fresh folders.
 """
 
@@ -27,7 +27,10 @@ def progress(events: DataFrame, out: str | None = None, checkpoint: str | None =
 
 
 def first_requests(requests: DataFrame, delay: str) -> DataFrame:
-    """Requests whose key was not seen within the watermark."""
+    """Requests whose key was not seen within the watermark: a stream to go on from, which is not run yet.
+
+    Which requests start a job while others are active, ``requests.accepted_stream`` says.
+    """
     return requests.withWatermark("created", delay).dropDuplicatesWithinWatermark(["key"])
 
 
@@ -62,6 +65,20 @@ def windowed_counts(
     return newest_version(read_batches(spark, out, counted.schema), ["start", "type"])
 
 
+def all_sessions(events: DataFrame, delay: str, gap: str, out: str | None = None, checkpoint: str | None = None) -> DataFrame:
+    """Sessions per job with ``open``: those the watermark has closed, and those it has not, read from the state.
+
+    An open session grows with the next call's events, or is closed by them.
+    """
+    spark, checkpoint = events.sparkSession, checkpoint or work_path(events.sparkSession, "stream")
+    closed = closed_sessions(events, delay, gap, out, checkpoint).withColumn("open", F.lit(False))
+    state = spark.read.format("statestore").option("path", checkpoint).load()
+    span = F.col("value.session_window")
+    held = state.select(F.col("value.job_id").alias("job_id"), span["start"].alias("start"), span["end"].alias("end"), F.col("value.count").alias("n"))
+    # a later call would change the state under a plan that still reads it
+    return closed.unionByName(cut_lineage(held).withColumn("open", F.lit(True)))
+
+
 def closed_sessions(events: DataFrame, delay: str, gap: str, out: str | None = None, checkpoint: str | None = None) -> DataFrame:
     """Sessions per job that the watermark has closed; those still open stay in the state for the next call."""
     spark, out = events.sparkSession, out or work_path(events.sparkSession, "sessions")

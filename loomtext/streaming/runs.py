@@ -25,24 +25,36 @@ def event_time(events: DataFrame, name: str = "ts") -> DataFrame:
 
 
 def run_to_end(
-    stream: DataFrame, out: str, mode: str = "append", each: Callable[[DataFrame, int], DataFrame] | None = None, checkpoint: str | None = None
+    stream: DataFrame,
+    out: str,
+    mode: str = "append",
+    each: Callable[[DataFrame, int], DataFrame] | None = None,
+    checkpoint: str | None = None,
+    settings: dict[str, str] | None = None,
 ) -> None:
     """Process what is there and stop. Each micro-batch overwrites its own folder, so a batch that
-    is run again after a failure leaves the same result."""
+    is run again after a failure leaves the same result. ``settings`` hold while the stream runs."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         rows = each(batch, batch_id) if each else batch
         rows.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     spark = stream.sparkSession
-    query = (
-        stream.writeStream.outputMode(mode)
-        .foreachBatch(write)
-        .option("checkpointLocation", checkpoint or work_path(spark, "stream"))
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    before = {name: spark.conf.get(name, None) for name in settings or {}}
+    for name, value in (settings or {}).items():
+        spark.conf.set(name, value)
+    try:
+        query = (
+            stream.writeStream.outputMode(mode)
+            .foreachBatch(write)
+            .option("checkpointLocation", checkpoint or work_path(spark, "stream"))
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def read_batches(spark: SparkSession, out: str, schema: T.StructType) -> DataFrame:

@@ -6,6 +6,7 @@ import re
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -20,7 +21,7 @@ from loomtext.operators import telemetry as M
 from loomtext.operators.chains import follow_links
 from loomtext.plans.fixtures import Fixtures
 from loomtext.schemas import CHAPTERS
-from loomtext.session import collect_bounded, work_path
+from loomtext.session import collect_bounded, cut_lineage, work_path
 from loomtext.sources.tables import read_state, valid_status
 
 SF = "/root/testdata/sf0.001"
@@ -114,7 +115,7 @@ def test_next_after_equals_scan(spark):
     probes = [(rng.choice("abc"), rng.randint(-20, 520), rng.choice([-1, 30]), i) for i in range(200)]
     t = spark.createDataFrame([(k, a, i, i) for k, a, i in targets], "k string, at int, tie int, id int")
     p = spark.createDataFrame(probes, "k string, at int, tie int, pid int")
-    got = {r.pid: r.id for r in R.next_after(p, t, ["k"], "at", "tie", "id", lambda c: F.floor(c / 10)).collect()}
+    got = {r.pid: r.id for r in R.next_after(p, t, ["k"], "at", "tie", "id", 7).collect()}
     for k, a, tie, pid in probes:
         later = sorted((x, i) for kk, x, i in targets if kk == k and (x, i) > (a, tie))
         assert got[pid] == (later[0][1] if later else None)
@@ -136,6 +137,61 @@ def test_follow_links_stops_at_ends_and_loops(spark):
         assert got[s] == list(enumerate(seen))
 
 
+@pytest.mark.parametrize("hot", [0, 300])
+def test_contracted_chains_equal_a_walk(spark, hot):
+    """Long chains, circles, and nodes that several links lead to: contracted, or only those of large keys."""
+    rng = random.Random(hot)
+    nxt = {}
+    for key, n, back in (("long", 2000, None), ("circle", 700, 300), ("tree", 800, None), ("short", 5, None), (None, 6, None)):
+        for i in range(n):
+            to = rng.randint(i + 1, min(i + 4, n)) if key == "tree" else i + 1
+            nxt[key, i] = back if back is not None and i == n - 1 else to
+    df = spark.createDataFrame([(k, i, to) for (k, i), to in nxt.items() if k is not None], "s string, url bigint, next_url bigint")
+    begin = [("long", 0), ("circle", 5), ("tree", 0), ("tree", 1), ("short", 3)]
+    got = {(r.s, r.url): r.hop for r in follow_links(df, spark.createDataFrame(begin, "s string, url bigint"), ["s"], hot_links=hot).collect()}
+    want = {}
+    for key, at in begin:
+        hop = 0
+        while at is not None and want.get((key, at), hop + 1) > hop:
+            want[key, at] = hop
+            at, hop = nxt.get((key, at)), hop + 1
+    assert got == want
+
+
+def test_contraction_writes_in_proportion_to_the_links(spark, tmp_path, monkeypatch):
+    """Rows written for one key of 4,000 and of 16,000 links: four times as many, not four times and two rounds more of each."""
+    from loomtext.operators import chains
+
+    written = {}
+    for n in (4_000, 16_000):
+        total = []
+
+        def cut(df):
+            out = cut_lineage(df)
+            total.append(out.count())
+            return out
+
+        monkeypatch.setattr(chains, "cut_lineage", cut)
+        links = spark.range(n).select(F.lit("k").alias("s"), F.col("id").alias("url"), (F.col("id") + 1).alias("next_url"))
+        got = chains.follow_links(links, spark.createDataFrame([("k", 0)], "s string, url bigint"), ["s"], hot_links=10)
+        assert got.count() == n + 1 and got.where("hop != url").isEmpty()
+        written[n] = sum(total)
+    # contraction: a sum of falling tables; putting back: of rising ones; the short rest is a sixteenth
+    assert written[16_000] < 4.6 * written[4_000]
+    assert written[16_000] < 16 * 16_000
+
+
+def test_ranges_share_the_rows(spark):
+    """50 keys of which one has a third of the rows: no range holds above twice the median."""
+    rows = spark.range(60_000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50).alias("k"), F.col("id").alias("at"), F.col("id").alias("tie"))
+    probes, targets = rows.withColumn("pid", F.col("tie")), rows.withColumn("t", F.col("tie"))
+    seen = R.next_after(probes, targets, ["k"], "at", "tie", "t", 24)
+    sizes = sorted(r.n for r in seen.groupBy(F.input_file_name()).agg(F.count(F.lit(1)).alias("n")).collect())
+    assert len(sizes) >= 20 and sizes[-1] <= 2 * sizes[len(sizes) // 2]
+    want = rows.selectExpr("k", "at", "lead(tie) over (partition by k order by at) as t")
+    assert seen.select("k", "at", "t").exceptAll(want.select("k", "at", "t")).isEmpty()
+
+
 def test_requests_equal_a_plain_loop(spark):
     rng = random.Random(11)
     rows, t = [], 0
@@ -149,8 +205,8 @@ def test_requests_equal_a_plain_loop(spark):
         if c >= busy.get(k, -1):
             want.add(i)
             busy[k] = f
-    for hours in (1, 24):
-        assert {r.id for r in M.accepted_requests(df, hours).collect()} == want
+    for parts in (None, 1, 40):
+        assert {r.id for r in M.accepted_requests(df, parts).collect()} == want
 
 
 def test_log_marks_equal_a_plain_loop(spark):
