@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import xxhash
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -266,15 +267,15 @@ def normal_line(line: Column, collapse_spaces: bool = True) -> Column:
     return tighten_punctuation(collapse(line)) if collapse_spaces else strip(line)
 
 
-def clean_paragraphs(lines: Column, messages: Column, collapse_spaces: bool = True, dedupe: bool = True) -> Column:
-    """Boilerplate and repeats out of a document's lines: array<struct<pos, line>>.
+def clean_paragraphs(lines: Column, messages: Column, collapse_spaces: bool = True, dedupe: bool = True, normal: bool = False) -> Column:
+    """Boilerplate and repeats out of a document's lines: array<struct<pos, line>>. ``normal`` says that the lines are normalised.
 
     A line that equals a message goes, messages inside a line are cut, empty lines go. With
     ``dedupe`` a line seen before goes, but a line that had a message cut out stays.
     Repeats are found by sorting (line, pos) inside the row: n log n, and no shuffle.
     """
     entries = F.filter(
-        F.transform(lines, lambda x, i: F.struct(normal_line(x, collapse_spaces).alias("raw"), i.alias("pos"))),
+        F.transform(lines, lambda x, i: F.struct((x if normal else normal_line(x, collapse_spaces)).alias("raw"), i.alias("pos"))),
         lambda e: (e["raw"] != "") & ~F.array_contains(messages, e["raw"]),
     )
     cut = F.filter(
@@ -304,9 +305,30 @@ def clean_paragraphs(lines: Column, messages: Column, collapse_spaces: bool = Tr
     )
 
 
-def anchor_word(message: str) -> str | None:
-    """The longest inner word of a message: a text that holds the message holds it as a word."""
-    return max(re.split(r"\s+", message, flags=re.ASCII)[1:-1], key=len, default=None) or None
+def inner_words(message: str) -> list[str]:
+    """Words with a word on both sides: a text that holds the message holds them as words, in a row."""
+    return re.split(r"\s+", message, flags=re.ASCII)[1:-1]
+
+
+def run_hash(*words: str) -> int:
+    """Hash of a run of words, as ``word_runs`` makes it."""
+    seed = 42
+    for word in words:
+        seed = xxhash.xxh64_intdigest(word.encode(), seed)
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def anchor_run(message: str) -> int | None:
+    """The longest run of two inner words by its hash; of a message with one inner word, that word; else none."""
+    inner = inner_words(message)
+    runs = list(zip(inner, inner[1:])) or [(w,) for w in inner if w]
+    return run_hash(*max(runs, key=lambda r: sum(map(len, r)))) if runs else None
+
+
+def word_runs(words: Column, singles: bool) -> Column:
+    """Hashes of every two words in a row, and of single words when asked for."""
+    pairs = F.zip_with(words, F.slice(words, F.lit(2), F.size(words)), lambda a, b: F.xxhash64(a, b))
+    return F.concat(pairs, F.transform(words, lambda w: F.xxhash64(w))) if singles else pairs
 
 
 def constant_list(values: list[str]) -> Column:
@@ -321,23 +343,57 @@ def constant_list(values: list[str]) -> Column:
 def occurring(messages: list[str], text: Column) -> Column:
     """The messages of a bounded list that occur in a text, in list order.
 
-    One pass cuts the text into words and meets them with the anchor words by hash; only messages
-    whose anchor is there are looked for. Messages without an inner word are always looked for.
+    One pass hashes the text's runs of two words and meets them with the messages' anchor runs; a run that is there leads to the
+    messages filed under it, and only those are looked for. Messages without an inner word are always looked for.
     """
     if not messages:
         return F.array().cast("array<string>")
-    anchors = [anchor_word(m) or "" for m in messages]
-    entries = F.arrays_zip(constant_list(messages).alias("m"), constant_list(anchors).alias("a"))
-    words = constant_list(list(dict.fromkeys(filter(None, anchors))))
-
-    def look(there):
-        hits = F.filter(
-            entries, lambda e: ((e["a"] == "") | F.array_contains(there, e["a"])) & F.contains(text, e["m"])
+    filed: dict[int | None, list[int]] = {}
+    for i, m in enumerate(messages):
+        filed.setdefault(anchor_run(m), []).append(i)
+    loose = filed.pop(None, [])
+    # messages by anchor: the k-th anchor's are ``many[k]`` entries from ``first[k]``
+    order = [i for group in filed.values() for i in group]
+    numbers = lambda values: constant_list([str(v) for v in values]).cast("array<bigint>")
+    listed = lambda at: F.arrays_zip(numbers(at).alias("i"), constant_list([messages[i] for i in at]).alias("m"))
+    many = [len(group) for group in filed.values()]
+    first = [1 + sum(many[:k]) for k in range(len(many))]
+    anchors, entries = numbers(filed), listed(order)
+    singles = any(len(inner_words(m)) == 1 for m in messages)
+
+    def under(anchor):
+        return let(
+            F.array_position(anchors, anchor).cast("int"),
+            lambda k: F.slice(entries, F.get(numbers(first).cast("array<int>"), k - 1), F.get(numbers(many).cast("array<int>"), k - 1)),
         )
-        return F.transform(hits, lambda e: e["m"])
 
-    loose = constant_list([m for m, a in zip(messages, anchors) if not a])
-    return let(
-        F.array_intersect(F.split(text, r"\s+"), words),
-        lambda there: F.when(F.size(there) > 0, look(there)).otherwise(F.filter(loose, lambda m: F.contains(text, m))),
-    )
+    def present(candidates):
+        return F.filter(candidates, lambda e: F.contains(text, e["m"]))
+
+    found = []
+    if filed:
+        hits = let(F.split(text, r"\s+"), lambda words: F.array_intersect(word_runs(words, singles), anchors))
+        found.append(F.flatten(F.transform(hits, lambda a: present(under(a)))))
+    if loose:
+        found.append(present(listed(loose)))
+    both = found[0] if len(found) == 1 else F.concat(*found)
+    return F.transform(F.array_sort(both), lambda e: e["m"])
+
+
+def closed_messages(messages: list[str], lines: Column, collapse_spaces: bool = True) -> Column:
+    """The messages that occur in the lines or in what cutting them leaves, in list order: cutting these is cutting all.
+
+    The states between the cuts are searched too. Where they bring in another message, which a cut has joined from two ends,
+    the whole list is given.
+    """
+    none = F.array().cast("array<string>")
+    if not messages:
+        return none
+    joined = lambda texts: F.array_join(texts, "\n")
+
+    def close(now):
+        states = F.array_distinct(F.flatten(F.transform(lines, lambda x: cut_states(x, now, collapse_spaces))))
+        more = let(joined(states), lambda after: F.size(F.array_except(occurring(messages, after), now)) > 0)
+        return F.when(F.size(now) == 0, none).when(more, constant_list(messages)).otherwise(now)
+
+    return let(let(joined(lines), lambda text: occurring(messages, text)), close)

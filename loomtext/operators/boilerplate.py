@@ -6,21 +6,23 @@ since a cut can bring the ends of another message together.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.base import col, explode_rows
-from ..functions.text import clean_paragraphs, constant_list, cut_states, normal_line, occurring
-from ..session import collect_bounded, cut_lineage
+from ..functions.base import col, explode_rows, let
+from ..functions.text import clean_paragraphs, closed_messages, cut_states, normal_line, word_runs
+from ..session import broadcast_if_small, collect_bounded, cut_lineage
 from ..sources.pages import FIRST_SITE, Profile, extract_pages, finish_pages
 
 _GRAM = 8
 MAX_ROUNDS = 50
 
 
-def prepared_text(lines: Column, collapse_spaces: bool = True) -> Column:
-    """The lines as removal compares them, in one text; no message spans a line end."""
-    return F.array_join(F.transform(lines, lambda x: normal_line(x, collapse_spaces)), "\n")
+def normal_lines(lines: Column, collapse_spaces: bool = True) -> Column:
+    """The lines as removal compares them."""
+    return F.transform(lines, lambda x: normal_line(x, collapse_spaces))
 
 
 def attach_messages(
@@ -37,22 +39,21 @@ def attach_messages(
 ) -> DataFrame:
     """Add ``messages``: the messages to cut out of each document, in list order.
 
-    With ``lines`` (an array of raw lines) they are matched in the normalised lines, else in the text itself.
-    A list within the stated size is a literal: a document that holds any of it gets the whole list, the others none. Of
-    a longer one a document gets those that occur in it or in what earlier cuts leave. Both lead to the same cuts.
+    With ``lines`` (an array of lines as ``normal_lines`` gives them; no message spans a line end) they are matched in the lines,
+    else in the text itself. A document gets the messages that occur in it or in what earlier cuts leave. A list within the stated
+    size is a literal and is met in the document's own row; a longer one is joined. Both lead to the same cuts.
     """
     messages = messages.where(F.col(message).rlike(r"\S"))
-    seen = col(text) if lines is None else prepared_text(lines, collapse_spaces)
+    seen = F.array(col(text)) if lines is None else lines
     small = collect_bounded(messages.orderBy(order), message, max_rows, max_bytes)
-    none = F.array().cast("array<string>")
     if small is not None:
-        some = F.size(occurring(small, seen)) > 0
-        return docs.withColumn("messages", F.when(some, constant_list(small) if small else none).otherwise(none))
-    per_doc = _closed_matches(docs.select(doc_id, seen.alias("text")), messages, doc_id, message, order, collapse_spaces)
-    return docs.join(per_doc, doc_id, "left").withColumn("messages", F.coalesce("messages", none))
+        return docs.withColumn("messages", closed_messages(small, seen, collapse_spaces))
+    body = docs.select(doc_id, F.array_join(seen, "\n").alias("text"))
+    per_doc = _closed_matches(body, messages, doc_id, message, order, collapse_spaces, lines is not None)
+    return docs.join(per_doc, doc_id, "left").withColumn("messages", F.coalesce("messages", F.array().cast("array<string>")))
 
 
-def _closed_matches(body: DataFrame, messages: DataFrame, doc_id: str, message: str, order: str, collapse_spaces: bool) -> DataFrame:
+def _closed_matches(body: DataFrame, messages: DataFrame, doc_id: str, message: str, order: str, collapse_spaces: bool, by_line: bool) -> DataFrame:
     """(doc_id, messages): what occurs in the texts and in every state that cutting it leaves, round after round.
 
     Only documents that got new messages go into the next round, as the states between their cuts.
@@ -63,7 +64,7 @@ def _closed_matches(body: DataFrame, messages: DataFrame, doc_id: str, message:
         if new.isEmpty():
             break
         lists = _listed(found, doc_id, message, order).join(new.select(doc_id).distinct(), doc_id, "left_semi")
-        states = F.flatten(F.transform(F.split("text", "\n", -1), lambda x: cut_states(x, F.col("messages"), collapse_spaces)))
+        states = F.flatten(F.transform(F.split("text", "\n", -1) if by_line else F.array("text"), lambda x: cut_states(x, F.col("messages"), collapse_spaces)))
         after = body.join(lists, doc_id).select(doc_id, F.array_join(F.array_distinct(states), "\n").alias("text"))
         more = anchored_matches(after, messages, "text", doc_id, message, order)
         new = cut_lineage(more.join(found.select(doc_id, order), [doc_id, order], "left_anti"))
@@ -83,32 +84,44 @@ def anchored_matches(
 ) -> DataFrame:
     """(doc_id, order, message) for every message a document holds.
 
-    Everything meets on whole words. A text that holds a message holds the message's inner words as
-    words, so a message is filed under its inner word that the fewest documents hold. A message of one or two words lies
+    A text that holds a message holds the message's inner words as words in a row, so texts and messages meet on hashes of two
+    words (of a message with one inner word, on that word). A message is filed under its run that the fewest documents hold, and
+    only the documents that hold it are checked against the text, which comes in last. One pass hashes the texts; what it keeps,
+    the runs that are in the list at all, is written once. A message of one or two words lies
     with its longest word inside some word of the texts: it is filed under every word of the
-    vocabulary that contains it, found by runs of its first characters. Documents join this
-    table by their distinct words, which carry no text, and only the candidates are checked
-    against the text. The array built per document afterwards is bounded by the document itself.
+    vocabulary that contains it, found by runs of its first characters. The array built per document afterwards is bounded by
+    the document itself.
     """
     words = F.split(col(message), r"\s+")
     longest = lambda ws: F.element_at(F.array_sort(F.transform(ws, lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))), -1)["w"]
     inner = F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(1)))
-    filed = messages.select(order, message, (F.size(words) >= 3).alias("exact"), inner.alias("inner"), longest(words).alias("word"))
+    # the last of the pairs is a word alone
+    runs = let(inner, lambda ws: F.when(F.size(ws) == 1, F.array(F.xxhash64(ws[0]))).otherwise(F.slice(word_runs(ws, False), F.lit(1), F.greatest(F.size(ws) - 1, F.lit(0)))))
+    filed = cut_lineage(messages.select(order, message, F.size(words).alias("n"), runs.alias("runs"), longest(words).alias("word")))
+    sizes = {r.n for r in filed.select(F.least("n", F.lit(4)).alias("n")).distinct().collect()}  # at most four values
     body = docs.select(doc_id, text)
-    doc_words = explode_rows(body, F.array_distinct(F.split(text, r"\s+")), "word", doc_id)
-    parts = filed.where("exact").select(order, message, F.explode(F.array_distinct("inner")).alias("word"))
-    # documents that hold each inner word; one that none holds rules its message out
-    held = doc_words.join(parts.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    rarest = parts.join(held, "word", "left").groupBy(order, message)
-    table = rarest.agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")).alias("m")).where("m.n > 0").select("m.word", order, message)
-    short = filed.where("not exact").select(order, message, F.col("word").alias("part"), F.substring("word", 1, _GRAM).alias("run"))
-    sizes = sorted(n for (n,) in short.select(F.length("run")).distinct().collect())  # at most _GRAM values
-    if sizes:
-        all_runs = [F.regexp_extract_all("word", F.lit(rf"(?=(\S{{{n}}}))"), F.lit(1)) for n in sizes]
-        vocabulary = doc_words.select("word").distinct()
-        holds = explode_rows(vocabulary, F.array_distinct(F.concat(*all_runs)), "run", "word").join(short, "run")
-        table = table.unionByName(holds.where(F.contains(F.col("word"), F.col("part"))).select("word", order, message))
-    pairs = doc_words.join(table, "word").select(doc_id, order, message).distinct()
+    found = []
+    if sizes & {3, 4}:
+        parts = filed.where("n >= 3").select(order, message, F.explode(F.array_distinct("runs")).alias("run"))
+        in_text = let(F.split(text, r"\s+"), lambda ws: F.array_distinct(word_runs(ws, 3 in sizes)))
+        listed = broadcast_if_small(parts.select("run").distinct(), max_rows=1_000_000)
+        held = cut_lineage(explode_rows(body, in_text, "run", doc_id).join(listed, "run", "left_semi"))
+        # documents that hold each run; one that none holds rules its message out
+        counts = held.groupBy("run").agg(F.count(F.lit(1)).alias("n"))
+        rarest = parts.join(counts, "run", "left").groupBy(order, message)
+        table = rarest.agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "run")).alias("m")).where("m.n > 0").select("m.run", order, message)
+        found.append(held.join(table, "run").select(doc_id, order, message))
+    if sizes & {1, 2}:
+        doc_words = cut_lineage(explode_rows(body, F.array_distinct(F.split(text, r"\s+")), "word", doc_id))
+        short = filed.where("n < 3").select(order, message, F.col("word").alias("part"), F.substring("word", 1, _GRAM).alias("run"))
+        lengths = sorted(n for (n,) in short.select(F.length("run")).distinct().collect())  # at most _GRAM values
+        all_runs = [F.regexp_extract_all("word", F.lit(rf"(?=(\S{{{n}}}))"), F.lit(1)) for n in lengths]
+        holds = explode_rows(doc_words.select("word").distinct(), F.array_distinct(F.concat(*all_runs)), "run", "word").join(short, "run")
+        table = holds.where(F.contains(F.col("word"), F.col("part"))).select("word", order, message)
+        found.append(doc_words.join(table, "word").select(doc_id, order, message))
+    if not found:
+        return body.join(messages.select(order, message), F.lit(False)).select(doc_id, order, message)
+    pairs = reduce(DataFrame.unionByName, found).distinct()
     return pairs.join(body, doc_id).where(F.contains(F.col(text), F.col(message))).select(doc_id, order, message)
 
 
@@ -116,12 +129,10 @@ def clean_documents(
     docs: DataFrame, messages: DataFrame, collapse_spaces: bool = True, dedupe: bool = True, **kw
 ) -> DataFrame:
     """Add ``paragraphs`` (array<struct<pos, line>>) and ``clean_text``."""
-    lines = F.split("text", "\n", -1)
-    return (
-        attach_messages(docs, messages, lines=lines, collapse_spaces=collapse_spaces, **kw)
-        .withColumn("paragraphs", clean_paragraphs(lines, F.col("messages"), collapse_spaces, dedupe))
-        .withColumn("clean_text", F.array_join(F.transform("paragraphs", lambda p: p["line"]), "\n"))
-    )
+    lined = docs.withColumn("__lines", normal_lines(F.split("text", "\n", -1), collapse_spaces))
+    held = attach_messages(lined, messages, lines=F.col("__lines"), collapse_spaces=collapse_spaces, **kw)
+    cleaned = held.withColumn("paragraphs", clean_paragraphs(F.col("__lines"), F.col("messages"), collapse_spaces, dedupe, normal=True))
+    return cleaned.drop("__lines").withColumn("clean_text", F.array_join(F.transform("paragraphs", lambda p: p["line"]), "\n"))
 
 
 def clean_pages(
@@ -132,7 +143,7 @@ def clean_pages(
     ``series``, ``kinds`` and ``status`` name columns of ``pages``. Pages are told apart by page_id.
     """
     parsed = extract_pages(pages, site, kinds, status)
-    held = attach_messages(parsed, messages, doc_id="page_id", lines=F.col("lines"), collapse_spaces=site.by_paragraph, **kw)
+    held = attach_messages(parsed, messages, doc_id="page_id", lines=normal_lines(F.col("lines"), site.by_paragraph), collapse_spaces=site.by_paragraph, **kw)
     if series is None:
         return finish_pages(held, F.col("messages"), site)
     named = held.join(pages.select("page_id", F.col(series).alias("__series")), "page_id", "left")

@@ -228,7 +228,7 @@ def _paragraph_sql(collapse: bool, dedupe: bool) -> str:
 
 
 def _paragraphs(fx, collapse, dedupe, **kw):
-    docs = clean_documents(fx.sql(MESSY), fx.sql(MESSAGES), collapse, dedupe, **kw)
+    docs = clean_documents(fx.dealt.sql(MESSY), fx.sql(MESSAGES), collapse, dedupe, **kw)
     rows = explode_rows(docs, F.col("paragraphs"), "p", "doc_id")
     return rows.select("doc_id", F.col("p.pos").cast("bigint").alias("pos"), "p.line")
 

@@ -241,6 +241,7 @@ def test_long_message_lists_give_the_same_matches(spark):
     docs = fx.documents.select("doc_id", "text").unionByName(odd)
     cut = F.array_join(F.transform(B.clean_paragraphs(F.split("text", "\n", -1), F.col("messages")), lambda p: p["line"]), "\n")
     lines = F.split("text", "\n", -1)
+    lines = B.normal_lines(lines)
     short = B.attach_messages(docs, msgs, lines=lines, collapse_spaces=True)
     long = B.attach_messages(docs, msgs, lines=lines, collapse_spaces=True, max_rows=0)
     want = {r.doc_id: r.cut for r in short.select("doc_id", cut.alias("cut")).collect()}
