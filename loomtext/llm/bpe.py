@@ -4,15 +4,17 @@ A long text is cut into chunks that overlap. Chunks are pre-tokenised on their o
 chunk starts at an arbitrary place, but once it has a pre-token boundary in common with the chunk before,
 all later ones agree, because what the pattern matches depends on the text that follows only. Chunks are
 stitched at the first common boundary of their overlap that follows a visible character, each piece between
-two stitches is encoded, and the pieces are joined in order. If two chunks share no boundary (a single word
-longer than the overlap), what follows of that text is one piece: exact, if less parallel.
+two stitches is cut into its pre-tokens, each distinct pre-token is encoded, and ids are joined in order. If two chunks share no
+boundary (a word or white space longer than the overlap), what follows of that text is one piece: exact, if less parallel.
 
-Short texts take one pass without a shuffle.
+A text of one chunk has nothing to stitch and goes the same way without a shuffle. Texts never reach the vocabulary library's own
+pattern engine, whose stack a long run of white space exceeds; it merges the bytes of one pre-token at a time.
 """
 
 from __future__ import annotations
 
 import base64
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -22,13 +24,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import map_batches
+from .common import fresh, map_batches
 
 #: characters of a chunk, and how many of them the next chunk repeats
 CHUNK = 1 << 16
 OVERLAP = 1 << 10
 #: a match that ends this close to a chunk's end may have been cut short
 MARGIN = 8
+#: pre-tokens whose ids a worker remembers, and the longest of them in characters
+KNOWN, KNOWN_LENGTH = 400_000, 64
 
 _LOADED: dict[tuple[str, str], "Codec"] = {}
 
@@ -39,12 +43,24 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.pattern = regex.compile(pattern)
         self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.known: dict[str, bytes] = {}
         self.pieces = [b""] * (max(ranks.values()) + 1)
         for piece, rank in ranks.items():
             self.pieces[rank] = piece
 
     def encode(self, text: str) -> np.ndarray:
-        return self.encoding.encode_to_numpy(text, disallowed_special=())
+        """Ids of a text that starts and ends at pre-token boundaries."""
+        tokens = [m.group() for m in self.pattern.finditer(text)] if self.pattern.groups else self.pattern.findall(text)
+        new = set(tokens).difference(self.known)
+        if len(self.known) + len(new) > KNOWN:
+            self.known, new = {}, set(tokens)
+        long = {}
+        for token in new:
+            ids = self.encoding._encode_single_piece(token)
+            (self.known if len(token) <= KNOWN_LENGTH else long)[token] = struct.pack(f"<{len(ids)}I", *ids)
+        if long:
+            return np.frombuffer(b"".join([long[t] if t in long else self.known[t] for t in tokens]), "<u4")
+        return np.frombuffer(b"".join(map(self.known.__getitem__, tokens)), "<u4")
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.pieces.__getitem__, ids))
@@ -157,22 +173,25 @@ def encode_long(texts: DataFrame, path: str, pattern: str, chunk: int, overlap:
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """The columns of ``docs`` but the text, with ``ids``: what the vocabulary's own library gives for the whole text.
 
-    Fixed results: null and empty texts have no ids; repeated rows stay; an empty table gives no rows. A column
-    ``ids`` must not be there yet. Texts longer than ``chunk`` are met again by a hash of the text, so that ids may
-    repeat or be null.
+    Fixed results: null and empty texts have no ids; repeated rows stay; an empty table gives no rows; a column ``ids`` of the
+    table is replaced. Texts longer than ``chunk`` are met again by a hash of the text, so that ids may repeat or be null.
     """
-    kept = [c for c in docs.columns if c != text]
+    kept = [c for c in docs.columns if c.lower() not in (text.lower(), "ids")]
+    key = fresh(docs.columns, "text_key")
     schema = docs.select(*kept).withColumn("ids", F.lit(None).cast("array<int>")).schema
     is_long = F.coalesce(F.length(text) > chunk, F.lit(False))
-    short = map_batches(docs.where(~is_long), _encode_batch(path, pattern, text, kept), schema)
-    far = docs.where(is_long).withColumn("__key", F.sha2(text, 256))
-    found = encode_long(far.select(F.col("__key").alias("key"), F.col(text).alias("text")), path, pattern, chunk, overlap)
-    met = far.select(*kept, "__key").join(found, F.col("__key") == F.col("key")).select(*kept, "ids")
-    return short.unionByName(met)
+    one_chunk = map_batches(docs.where(~is_long).select(*kept, text), _encode_batch(path, pattern, text, kept), schema)
+    far = docs.where(is_long).withColumn(key, F.sha2(text, 256))
+    found = encode_long(far.select(F.col(key).alias("key"), F.col(text).alias("text")), path, pattern, chunk, overlap)
+    found = found.select(F.col("key").alias(key), F.col("ids").alias("__ids"))
+    met = far.select(*kept, key).join(found, key).select(*kept, F.col("__ids").alias("ids"))
+    return one_chunk.unionByName(met)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFrame:
-    """The columns of ``encoded`` with ``decoded``: the bytes of the ids in order. Null ids give no bytes."""
+    """The columns of ``encoded`` with ``decoded``: the bytes of the ids in order. Null ids give no bytes. A column
+    ``decoded`` of the table is replaced."""
+    encoded = encoded.select(*[c for c in encoded.columns if c.lower() != "decoded"])
     names = encoded.columns
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -33,6 +33,20 @@ def test_bpe_is_the_library_s(spark, codec_args, chunk, overlap):
     assert sorted((str(r.doc_id), r.ids, bytes(r.decoded)) for r in back.collect()) == want
 
 
+def test_bpe_of_long_runs(spark, codec_args):
+    """White space and words far longer than a chunk, which the library's own pattern engine can't take."""
+    whole = bpe.codec(*codec_args).encoding
+    n = 2_000_000
+    # each text with its pre-tokens, known by hand
+    cases = [["a", " " * (n - 1), " b"], ["\n" * (n - 1), "\n", "x"], ["\t \n" * (n // 3)], ["ab" * (3 * n // 4)], ["it", "'s", " short"]]
+    rows = [(i, "".join(c), "x", "y") for i, c in enumerate(cases)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, IDS string, text_key string")
+    back = {r.doc_id: r for r in bpe.decode(bpe.encode(docs, *codec_args), *codec_args).collect()}
+    for i, case in enumerate(cases):
+        assert back[i].ids == [t for token in case for t in whole._encode_single_piece(token)], i
+        assert bytes(back[i].decoded) == "".join(case).encode() and back[i].text_key == "y"
+
+
 def test_bpe_ranks_and_empty(spark, codec_args):
     assert bpe.encode(spark.createDataFrame([], "doc_id bigint, text string"), *codec_args).collect() == []
     assert bpe.parse_ranks(b"YQ== 0\nYg== 1\n") == {b"a": 0, b"b": 1}
