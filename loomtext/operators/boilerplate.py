@@ -18,6 +18,8 @@ from ..sources.pages import FIRST_SITE, Profile, extract_pages, finish_pages
 
 _GRAM = 8
 MAX_ROUNDS = 50
+#: messages of one or two words up to this many are literals
+FEW_SHORT = 200
 
 
 def normal_lines(lines: Column, collapse_spaces: bool = True) -> Column:
@@ -87,7 +89,7 @@ def anchored_matches(
     A text that holds a message holds the message's inner words as words in a row, so texts and messages meet on hashes of two
     words (of a message with one inner word, on that word). A message is filed under its run that the fewest documents hold, and
     only the documents that hold it are checked against the text, which comes in last. One pass hashes the texts; what it keeps,
-    the runs that are in the list at all, is written once. A message of one or two words lies
+    the runs that are in the list at all, is written once. Of messages of one or two words a few are literals. Else such a message lies
     with its longest word inside some word of the texts: it is filed under every word of the
     vocabulary that contains it, found by runs of its first characters. The array built per document afterwards is bounded by
     the document itself.
@@ -111,18 +113,28 @@ def anchored_matches(
         rarest = parts.join(counts, "run", "left").groupBy(order, message)
         table = rarest.agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "run")).alias("m")).where("m.n > 0").select("m.run", order, message)
         found.append(held.join(table, "run").select(doc_id, order, message))
-    if sizes & {1, 2}:
+    short = filed.where("n < 3")
+    few = short.select(order, message).limit(FEW_SHORT + 1).collect() if sizes & {1, 2} else []
+    direct = None
+    if 0 < len(few) <= FEW_SHORT:
+        # a few short messages are looked for in each text as they are
+        listed = F.array(*[F.struct(F.lit(r[order]).alias(order), F.lit(r[message]).alias(message)) for r in few])
+        direct = explode_rows(body, F.filter(listed, lambda m: F.contains(col(text), m[message])), "m", doc_id).select(doc_id, "m.*")
+    elif few:
         doc_words = cut_lineage(explode_rows(body, F.array_distinct(F.split(text, r"\s+")), "word", doc_id))
-        short = filed.where("n < 3").select(order, message, F.col("word").alias("part"), F.substring("word", 1, _GRAM).alias("run"))
-        lengths = sorted(n for (n,) in short.select(F.length("run")).distinct().collect())  # at most _GRAM values
+        filed_short = short.select(order, message, F.col("word").alias("part"), F.substring("word", 1, _GRAM).alias("run"))
+        lengths = sorted(n for (n,) in filed_short.select(F.length("run")).distinct().collect())  # at most _GRAM values
         all_runs = [F.regexp_extract_all("word", F.lit(rf"(?=(\S{{{n}}}))"), F.lit(1)) for n in lengths]
-        holds = explode_rows(doc_words.select("word").distinct(), F.array_distinct(F.concat(*all_runs)), "run", "word").join(short, "run")
+        holds = explode_rows(doc_words.select("word").distinct(), F.array_distinct(F.concat(*all_runs)), "run", "word").join(filed_short, "run")
         table = holds.where(F.contains(F.col("word"), F.col("part"))).select("word", order, message)
         found.append(doc_words.join(table, "word").select(doc_id, order, message))
-    if not found:
+    sure = [direct] if direct is not None else []
+    if found:
+        pairs = reduce(DataFrame.unionByName, found).distinct()
+        sure.append(pairs.join(body, doc_id).where(F.contains(F.col(text), F.col(message))).select(doc_id, order, message))
+    if not sure:
         return body.join(messages.select(order, message), F.lit(False)).select(doc_id, order, message)
-    pairs = reduce(DataFrame.unionByName, found).distinct()
-    return pairs.join(body, doc_id).where(F.contains(F.col(text), F.col(message))).select(doc_id, order, message)
+    return reduce(DataFrame.unionByName, sure).distinct()
 
 
 def clean_documents(

@@ -273,7 +273,7 @@ def _(fx):
 @query("JN12_blocklist_long_list", "select d.doc_id, count(*) as hits from documents d join V_block b on contains(d.text, b.message) group by d.doc_id")
 def _(fx):
     """The same list treated as too long to broadcast: matched by a join on anchor words."""
-    found = anchored_matches(fx.documents, fx.V_block, "text", "doc_id", "message", "item_id")
+    found = anchored_matches(fx.dealt.documents, fx.V_block, "text", "doc_id", "message", "item_id")
     return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("hits"))
 
 

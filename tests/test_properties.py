@@ -233,7 +233,35 @@ def test_log_marks_equal_a_plain_loop(spark):
         assert {r.pos for r in M.mark_empty(df, block).collect()} == empty
 
 
-def test_long_message_lists_give_the_same_matches(spark):
+def test_cuts_are_those_of_the_whole_list(spark):
+    """Messages inside others, joined by cuts, of few words and many, with odd spaces: row by row the fold over the whole list."""
+    rng = random.Random(17)
+    words = ["a", "bb", "c,", "SPAM", "d", "report", "it."]
+    messages = list(dict.fromkeys(" ".join(rng.choice(words) for _ in range(rng.choice([1, 2, 3, 4, 5, 8]))) for _ in range(60)))
+    texts = []
+    for _ in range(150):
+        lines = []
+        for _ in range(rng.randint(0, 5)):
+            m, n = rng.choice(messages), rng.choice(messages)
+            at = rng.randrange(len(m) + 1)
+            lines.append(rng.choice(["", "x ", " x  "]) + rng.choice([m, m[:at] + n + m[at:], " ".join(rng.choice(words) for _ in range(9))]) + rng.choice(["", "\ty", "  "]))
+        texts.append("\n".join(lines))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    listed = spark.createDataFrame(list(enumerate(messages)), "item_id long, message string")
+    for spaces in (True, False):
+        lines = B.normal_lines(F.split("text", "\n", -1), spaces)
+        cut_all = lambda held, spaces=spaces, lines=lines: F.transform(lines, lambda x: T.cut_messages(x, held, spaces))
+        whole = cut_all(T.constant_list(messages))
+        want = {r.doc_id: r.l for r in docs.select("doc_id", whole.alias("l")).collect()}
+        for most in (2_000, 0):
+            held = B.attach_messages(docs, listed, lines=lines, collapse_spaces=spaces, max_rows=most)
+            got = held.select("doc_id", cut_all(F.col("messages")).alias("l"))
+            assert {r.doc_id: r.l for r in got.collect()} == want
+
+
+@pytest.mark.parametrize("few", [200, 0])
+def test_long_message_lists_give_the_same_matches(spark, few, monkeypatch):
+    monkeypatch.setattr(B, "FEW_SHORT", few)
     fx = Fixtures(spark, SF)
     extra = [(10**9 + i, m) for i, m in enumerate(["the", "and th", "  ", "e", " of the ", "zzz none", "."])]
     msgs = fx.V_block.unionByName(spark.createDataFrame(extra, "item_id long, message string"))
