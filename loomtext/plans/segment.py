@@ -8,8 +8,9 @@ from .. import fixed
 from ..functions import text as T
 from ..functions.base import explode_rows, posexplode_rows
 from ..operators import segment as S
+from ..operators import sentences as Y
 from ..operators.boilerplate import clean_documents
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, cut_lineage
 from .registry import query
 from .text import SQL_STRIP, speech_sql, with_config
 
@@ -118,6 +119,63 @@ def _(fx):
     return rows.select("doc_id", F.col("pos").cast("bigint").alias("pos"), "sentence")
 
 
+# texts with titles, initials, inner full stops, numbers and quotes at their ends
+SPOKEN = """select doc_id, concat(text, chr(10), case doc_id % 4
+    when 0 then 'Dr. Ash met Mr. Elm, e.g. at St. Ives. The J. R. Oak tree fell... and lay there. He left.'
+    when 1 then concat('They saw Dr. Ash at No. ', cast(doc_id as string), ' on p. 3. it said "Stop!" He went to Mr. Elm. Then Dr. The end came.')
+    when 2 then 'It was (see e.g. Mr. Elm) late... The bell rang at 5 p.m. He slept. Mr. Elm ate 12. Five came.'
+    else 'No sir. She and St. Paul, i.e. he, left? Yes. They met Dr. Ash (at 10 a.m.) by St. Ives.' end) as text from documents"""
+
+_TYPE = """lower(regexp_replace(regexp_replace(regexp_replace({0}, '^["''(\[{{“‘]+', ''), '["'')\]}}”’,;:!?]+$', ''), '\.$', ''))"""
+_END = """regexp_replace(regexp_replace({0}, '^["''(\[{{“‘]+', ''), '["'')\]}}”’]+$', '')"""
+_LNP = "case when {1} > 0 then {1} * ln({0}) else 0 end"
+LEARNT = f"""sp as ({SPOKEN}),
+    tk as (select doc_id, unnest(range(len(l))) as pos, unnest(l) as t from (select doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') as l from sp)),
+    ty as (select *, {_TYPE.format('t')} as ty, ends_with(regexp_replace(regexp_replace(t, '^["''(\[{{“‘]+', ''), '["'')\]}}”’,;:!?]+$', ''), '.') as dot, {_END.format('t')} as e from tk),
+    co as (select ty, count(*) as n, count(*) filter (where dot) as k from ty group by ty), su as (select sum(n)::double as n, sum(k)::double as k from co),
+    sc as (select ty, co.n, co.k, length(replace(ty, '.', ''))::double as l, least(1.0, 1000.0 / co.n) * co.k as y, least(1.0, 1000.0 / co.n) * (co.n - co.k) as o, su.k / su.n as p from co, su
+           where co.k > 0 and regexp_matches(ty, '^\p{{L}}[\p{{L}}\p{{M}}]*(\.\p{{L}}[\p{{L}}\p{{M}}]*)*$')),
+    ab as (select ty, n, k, 2 * (y * ln(0.99) + o * ln(1 - 0.99) - y * ln(p) - o * ln(1 - p)) * exp(-l) * (length(ty) - l + 1) * pow(l, -o) as score from sc),
+    al as (select list(ty) as l from ab where score >= 0.3),
+    ki as (select ty.*, case when regexp_matches(e, '[!?]$') then 'end' when ends_with(e, '..') then 'dots' when not ends_with(e, '.') then ''
+             when list_contains(al.l, ty) or regexp_matches(ty, '^\p{{L}}$') then 'short' when regexp_matches(ty, '^[-+]?[0-9]+([.,][0-9]+)*$') then 'number' else 'end' end as kind from ty, al),
+    nx as (select *, lead(ty) over w as nty, lead(t) over w as nt from ki window w as (partition by doc_id order by pos)),
+    af as (select nty as ty, count(*) as a from nx where kind = 'end' and nt is not null group by nty), br as (select sum(a)::double as b, least(1.0, 1000000 / any_value(su.n)) as f from af, su),
+    st as (select af.ty, co.n, af.a, a * f as ab, co.n * f as cb, b * f as ca, su.n * f as nn from af join co on co.ty = af.ty, br, su where regexp_matches(af.ty, '^\p{{L}}+$') and a * su.n > co.n * b),
+    ss as (select ty, n, a, 2 * ({_LNP.format('ab / ca', 'ab')} + {_LNP.format('1 - ab / ca', '(ca - ab)')} + {_LNP.format('(cb - ab) / (nn - ca)', '(cb - ab)')} + {_LNP.format('1 - (cb - ab) / (nn - ca)', '(nn - ca - cb + ab)')}
+             - {_LNP.format('cb / nn', 'ab')} - {_LNP.format('1 - cb / nn', '(ca - ab)')} - {_LNP.format('cb / nn', '(cb - ab)')} - {_LNP.format('1 - cb / nn', '(nn - ca - cb + ab)')}) as score from st),
+    sl as (select list(ty) as l from ss where score >= 30)"""
+
+
+@query("SEG3_abbreviations", f"with {LEARNT} select ty as type, n::bigint as n, k::bigint as stopped, round(score, 6) as score from ab where score >= 0.3")
+def _(fx):
+    found = Y.abbreviation_scores(cut_lineage(Y.count_types(fx.dealt.sql(SPOKEN)))).where(F.col("score") >= Y.LEAST_SCORE)
+    return found.select("type", "n", "stopped", F.round("score", 6).alias("score"))
+
+
+@query("SEG3_starters", f"with {LEARNT} select ty as type, n::bigint as n, a::bigint as after, round(score, 4) as score from ss where score >= 30")
+def _(fx):
+    texts = fx.dealt.sql(SPOKEN)
+    types = cut_lineage(Y.count_types(texts))
+    short = [r.type for r in Y.abbreviation_scores(types).where(F.col("score") >= Y.LEAST_SCORE).select("type").collect()]
+    found = Y.starter_scores(texts, types, short).where(F.col("score") >= Y.LEAST_RATIO)
+    return found.select("type", "n", "after", F.round("score", 4).alias("score"))
+
+
+@query(
+    "SEG3_learnt_sentences",
+    f"""with {LEARNT}, hd as (select *, regexp_replace(coalesce(nt, ''), '^["''(\[{{“‘]+', '') as h from nx, sl),
+        fl as (select doc_id, pos, t, kind = 'end' or (kind = 'short' and regexp_matches(h, '^\p{{Lu}}') and list_contains(l, nty)) or (kind = 'number' and not regexp_matches(h, '^\p{{Ll}}')) or (kind = 'dots' and regexp_matches(h, '^\p{{Lu}}')) as brk from hd),
+        gr as (select doc_id, pos, t, coalesce(sum(brk::int) over (partition by doc_id order by pos rows between unbounded preceding and 1 preceding), 0) as no from fl)
+        select doc_id, no::bigint as pos, string_agg(t, ' ' order by pos) as sentence from gr group by doc_id, no""",
+)
+def _(fx):
+    texts = fx.dealt.sql(SPOKEN)
+    model = Y.learn_sentences(texts)
+    rows = posexplode_rows(texts, Y.split_sentences("text", model), "pos", "sentence", "doc_id")
+    return rows.select("doc_id", F.col("pos").cast("bigint").alias("pos"), F.regexp_replace("sentence", r"\s+", " ").alias("sentence"))
+
+
 def _packed(fx, limit):
     rows = posexplode_rows(fx.dealt.documents, S.pack("text", limit), "idx", "chunk", "doc_id")
     return rows.select("doc_id", F.col("idx").cast("bigint").alias("idx"), "chunk")
