@@ -126,10 +126,10 @@ SPOKEN = """select doc_id, concat(text, chr(10), case doc_id % 4
     when 2 then 'It was (see e.g. Mr. Elm) late... The bell rang at 5 p.m. He slept. Mr. Elm ate 12. Five came.'
     else 'No sir. She and St. Paul, i.e. he, left? Yes. They met Dr. Ash (at 10 a.m.) by St. Ives.' end) as text from documents"""
 
-_TYPE = """lower(regexp_replace(regexp_replace(regexp_replace({0}, '^["''(\[{{“‘]+', ''), '["'')\]}}”’,;:!?]+$', ''), '\.$', ''))"""
-_END = """regexp_replace(regexp_replace({0}, '^["''(\[{{“‘]+', ''), '["'')\]}}”’]+$', '')"""
+_TYPE = r"""lower(regexp_replace(regexp_replace(regexp_replace({0}, '^["''(\[{{“‘]+', ''), '["'')\]}}”’,;:!?]+$', ''), '\.$', ''))"""
+_END = r"""regexp_replace(regexp_replace({0}, '^["''(\[{{“‘]+', ''), '["'')\]}}”’]+$', '')"""
 _LNP = "case when {1} > 0 then {1} * ln({0}) else 0 end"
-LEARNT = f"""sp as ({SPOKEN}),
+LEARNT = rf"""sp as ({SPOKEN}),
     tk as (select doc_id, unnest(range(len(l))) as pos, unnest(l) as t from (select doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') as l from sp)),
     ty as (select *, {_TYPE.format('t')} as ty, ends_with(regexp_replace(regexp_replace(t, '^["''(\[{{“‘]+', ''), '["'')\]}}”’,;:!?]+$', ''), '.') as dot, {_END.format('t')} as e from tk),
     co as (select ty, count(*) as n, count(*) filter (where dot) as k from ty group by ty), su as (select sum(n)::double as n, sum(k)::double as k from co),
@@ -164,7 +164,7 @@ def _(fx):
 
 @query(
     "SEG3_learnt_sentences",
-    f"""with {LEARNT}, hd as (select *, regexp_replace(coalesce(nt, ''), '^["''(\[{{“‘]+', '') as h from nx, sl),
+    rf"""with {LEARNT}, hd as (select *, regexp_replace(coalesce(nt, ''), '^["''(\[{{“‘]+', '') as h from nx, sl),
         fl as (select doc_id, pos, t, kind = 'end' or (kind = 'short' and regexp_matches(h, '^\p{{Lu}}') and list_contains(l, nty)) or (kind = 'number' and not regexp_matches(h, '^\p{{Ll}}')) or (kind = 'dots' and regexp_matches(h, '^\p{{Lu}}')) as brk from hd),
         gr as (select doc_id, pos, t, coalesce(sum(brk::int) over (partition by doc_id order by pos rows between unbounded preceding and 1 preceding), 0) as no from fl)
         select doc_id, no::bigint as pos, string_agg(t, ' ' order by pos) as sentence from gr group by doc_id, no""",
