@@ -356,3 +356,25 @@ def _(fx):
 
     raw = fx.documents.select("doc_id", F.encode("text", "ISO-8859-1").alias("content"))
     return audit_encoding(raw).select("doc_id", "invalid", F.col("bad_bytes").cast("bigint").alias("bad_bytes"))
+
+
+@query(
+    "FN16_undecodable_bytes",
+    r"""with d as (select doc_id, coalesce(text, '') as t, octet_length(encode(coalesce(text, ''))) as n from documents),
+        e as (select doc_id, t, n, case doc_id % 4
+            when 0 then [{'o': n, 'b': 255}, {'o': n + 3, 'b': 195}]
+            when 1 then list_transform(list_filter(range(1, length(t) + 1), lambda i: unicode(t[i]) > 127), lambda i: {'o': i - 1, 'b': unicode(t[i])})
+            when 2 then []
+            else list_concat([{'o': 0, 'b': 237}, {'o': 1, 'b': 160}, {'o': 2, 'b': 128}], [{'o': n + 3, 'b': 244}, {'o': n + 4, 'b': 144}, {'o': n + 5, 'b': 128}, {'o': n + 6, 'b': 128}]) end as l from d)
+        select doc_id, u.o::bigint as "offset", u.b::int as byte from (select doc_id, unnest(l) as u from e)""",
+)
+def _(fx):
+    """A lone byte and a cut character behind the text, one-byte characters, nothing, a surrogate and a value beyond the last character."""
+    from ..sources.files import undecodable
+
+    plain = "encode(coalesce(text, ''), 'UTF-8')"
+    content = F.expr(f"""case doc_id % 4 when 0 then concat({plain}, X'FF', encode('é', 'UTF-8'), X'C3')
+        when 1 then encode(coalesce(text, ''), 'ISO-8859-1') when 2 then {plain}
+        else concat(X'EDA080', {plain}, X'F4908080') end""")
+    rows = explode_rows(fx.dealt.documents.select("doc_id", content.alias("content")), undecodable("content"), "u", "doc_id")
+    return rows.select("doc_id", "u.offset", "u.byte")

@@ -1,5 +1,8 @@
 """Documented examples and traps, row by row."""
 
+import codecs
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,7 +11,9 @@ from loomtext.functions import text as T
 from loomtext.functions import titles as N
 from loomtext.functions.numbers import numbers_to_words
 from loomtext.operators import segment as S
+from loomtext.operators import sentences as Y
 from loomtext.operators import telemetry as M
+from loomtext.sources.files import audit_encoding
 
 
 def one(spark, value, fn, kind="string"):
@@ -248,3 +253,52 @@ def test_log_spaces_and_queued_jobs(spark):
     assert [(r.p.kind, r.p.text) for r in lines.collect()] == [("series", "X"), ("queue", "later")]
     events = spark.createDataFrame([(1, "j", "chunk_progress", None), (2, "k", "job_started", None)], "seq int, job_id string, type string, error string").withColumn("ts", F.expr("timestamp '2024-01-01'"))
     assert {r.job_id: r.status for r in M.lifecycle(events).collect()} == {"j": "queued", "k": "running"}
+
+
+def test_sentences_by_learnt_words(spark):
+    model = Y.SentenceModel(("dr", "e.g", "mr", "p.m", "st"), ("he", "the"))
+    many(
+        spark,
+        [
+            (
+                "Dr. Ash met Mr. Elm, e.g. at St. Ives. The J. R. Oak tree fell... and lay there. He left.",
+                ["Dr. Ash met Mr. Elm, e.g. at St. Ives.", "The J. R. Oak tree fell... and lay there.", "He left."],
+            ),
+            ('She said "Stop!" He went (to Mr. Elm). They saw.', ['She said "Stop!"', "He went (to Mr. Elm).", "They saw."]),
+            ("It rang at 5 p.m. He slept.", ["It rang at 5 p.m.", "He slept."]),
+            ("It rang at 5 p.m. Elm slept.", ["It rang at 5 p.m. Elm slept."]),
+            ("It cost 3. then 4. Five came.\nLate... The end", ["It cost 3. then 4.", "Five came.", "Late...", "The end"]),
+            ("", []),
+            (" \n ", []),
+            (None, None),
+        ],
+        lambda c: Y.split_sentences(c, model),
+    )
+
+
+def test_words_learnt_from_texts(spark):
+    text = "Dr. Ash met Mr. Elm here. He saw a cat. The cat ran home. He was here at noon. The noon home was dark. He met a dark cat."
+    rows = spark.createDataFrame([(text,)] * 100 + [(None,), ("",)], "text string")
+    assert Y.learn_sentences(rows) == Y.SentenceModel(("dr", "mr"), ("he", "the"))
+    assert Y.learn_sentences(spark.createDataFrame([("no stop here",), (None,)], "text string")) == Y.SentenceModel((), ())
+    assert Y.learn_sentences(rows.limit(0)) == Y.SentenceModel((), ())
+
+
+def test_undecodable_bytes(spark):
+    """Python's decoder names the same bytes, over blocks as well."""
+    rng = random.Random(5)
+    seen = []
+    codecs.register_error("note", lambda e: (seen.extend(range(e.start, e.end)), ("", e.end))[1])
+    good = ["a", "é", "\u0800", "\uffff", "\ufffd", "\U00010000", "\U0010ffff"]
+    pieces = [*(g.encode() for g in good), b"\xff", b"\xc0\xaf", b"\xed\xa0\x80", b"\xe2\x82", b"\xf0\x9f\x98", b"\x80", b"\xf4\x90\x80\x80", b"\xe0\x9f\xbf"]
+    cases = [b"", b"plain", "\ufffd".encode(), b"x" * 65535 + "é".encode() + b"\xff" + b"x" * 65534 + b"\xc3"]
+    cases += [b"".join(rng.choices(pieces, k=rng.randrange(12))) for _ in range(200)]
+    rows = [(i, bytearray(c)) for i, c in enumerate(cases)] + [(-1, None)]
+    found = audit_encoding(spark.createDataFrame(rows, "i int, content binary"))
+    got = {r.i: r for r in found.collect()}
+    assert got[-1].undecodable is None
+    for i, data in enumerate(cases):
+        seen.clear()
+        data.decode("utf-8", "note")
+        assert [(u.offset, u.byte) for u in got[i].undecodable] == [(at, data[at]) for at in seen], data
+        assert got[i].invalid == bool(seen) and got[i].bad_bytes == len(seen)
