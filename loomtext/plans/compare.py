@@ -37,6 +37,38 @@ def _(fx):
     return C.fill_urls(fx.sql(_STORED), fx.V_toc, strip_names=False).select("id", "source_url")
 
 
+# the same with the series' name, the site's and a tag about the titles
+_DRESSED = f"""select id, series, case id % 4 when 0 then concat(title, ' - ', upper(series), ' | {fixed.TITLE_SITE_SUFFIX}') when 1 then concat(series, ' ', title)
+    when 2 then concat(title, ' [Book 2]') else title end as title, source_url from ({_STORED}) s"""
+
+
+def _bare(rel, title, out):
+    """``rel`` with the title without them as ``bare``: a chain of tables that ends in ``out``."""
+    site = fixed.TITLE_SITE_SUFFIX
+    return f"""{out}1 as (select *, case when contains({title}, ' | {site}') then trim(split_part({title}, ' | {site}', 1)) when ends_with({title}, ' {site}') then trim({title}[:-{len(site) + 2}]) else {title} end as t1 from {rel}),
+        {out}2 as (select *, string_split(trim(regexp_replace(t1, '\\s*\\[[^\\]]*\\]\\s*$', '')), ' - ') as w from {out}1),
+        {out}3 as (select *, list_max(list_filter(range(1, len(w)), lambda k: contains(lower(array_to_string(w[k + 1:], ' - ')), series))) as last from {out}2),
+        {out}4 as (select *, trim(array_to_string(w[:coalesce(last, len(w))], ' - ')) as t3 from {out}3),
+        {out} as (select *, case when starts_with(lower(t3), series) and trim(substr(t3, length(series) + 1)) <> '' then trim(substr(t3, length(series) + 1)) else t3 end as bare from {out}4)"""
+
+
+_LISTED = f"""with s as ({_DRESSED}), {_bare('s', 'title', 'c')}, {_bare('V_toc', 'link_text', 'l')},
+        t as (select series, {_KEY('bare')} as key, arg_min(url, pos) as resolved from l group by 1, 2)"""
+
+
+@query("JN3_match_dressed_titles", f"{_LISTED} select c.id, t.resolved from c left join t on t.series = c.series and t.key = {_KEY('c.bare')}")
+def _(fx):
+    return C.resolve_urls(fx.sql(_DRESSED), fx.V_toc).select("id", "resolved")
+
+
+@query(
+    "JN5_fill_dressed_urls",
+    f"{_LISTED} select c.id, coalesce(nullif(c.source_url, ''), t.resolved, c.source_url) as source_url from c left join t on t.series = c.series and t.key = {_KEY('c.bare')}",
+)
+def _(fx):
+    return C.fill_urls(fx.sql(_DRESSED), fx.V_toc).select("id", "source_url")
+
+
 @query(
     "JN4_listed_dates",
     f"""with c as (select id, published_date, case when id % 6 = 0 then 'x' else url end as source_url from ({_STORED}) s), d as (select url, arg_max(pub_date, pos) as day from V_toc where pub_date is not null group by url)

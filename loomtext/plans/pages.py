@@ -11,7 +11,7 @@ from ..session import spread, work_path
 from ..sources.files import read_chapters, write_cleaned
 from ..sources.pages import SECOND_SITE, Profile, extract_pages, finish_pages, savable
 from .registry import query
-from .text import nested
+from .text import CLEANED, nested
 from .. import fixed
 
 SITE = Profile(content=("article", None, None), list_box=("nav", None, None), next_box=("nav", None, None), next_link=("a", None, None), next_word="")
@@ -121,3 +121,20 @@ def _(fx):
     path = work_path(fx.spark, "cleaned")
     write_cleaned(fx.dealt.documents.select("doc_id", "source", clean_for_speech("text").alias("text")), path)
     return fx.spark.read.parquet(path).groupBy("source").agg(F.count("text").alias("docs"))
+
+
+@query("SRC1_chapter_lines", "select source, line, count(*) as n from (select source, unnest(string_split(coalesce(text, ''), chr(10))) as line from documents) group by source, line")
+def _(fx):
+    """Every line of the files, told apart by content."""
+    path = work_path(fx.spark, "raws")
+    fx.documents.select("source", "text").write.partitionBy("source").text(path)
+    files = read_chapters(fx.spark, path).withColumn("source", F.regexp_extract("raw_path", r"source=([^/]+)/", 1))
+    lines = explode_rows(files, F.split(F.regexp_replace("text", r"\n\z", ""), "\n", -1), "line", "source")
+    return lines.groupBy("source", "line").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SNK1_cleaned_texts", f"with {CLEANED} select doc_id, source, text from d")
+def _(fx):
+    path = work_path(fx.spark, "cleaned")
+    write_cleaned(fx.dealt.documents.select("doc_id", "source", clean_for_speech("text").alias("text")), path)
+    return fx.spark.read.parquet(path).select("doc_id", "source", "text")

@@ -12,7 +12,7 @@ from ..session import work_path
 from .registry import query
 from .segment import sql_pack
 from .telemetry import ACCEPTED, FOLD, FOLD_COLUMNS, ITEMS, _EMPTY, _OK
-from .text import CHARS, sql_acronyms, sql_numbers, sql_signs
+from .text import CLEANED
 
 
 def streamed(fx, name):
@@ -46,14 +46,9 @@ def _(fx):
     return accepted.select("key", "id")
 
 
-_SPOKEN = f"regexp_replace({CHARS}, '\\s+,', ',', 'g')"
-
-
 @query(
     "STR3_ingest_texts",
-    f"""with a as (select doc_id, source, {_SPOKEN} as text from documents), b as (select doc_id, source, regexp_replace({sql_acronyms('text')}, '\\[([^\\]\\n]*)\\]', '\\1', 'g') as text from a),
-        c as (select doc_id, source, {sql_signs("regexp_replace(text, '([0-9]+)\\s*/\\s*([0-9]+)', '\\1 out of \\2', 'g')")} as text from b),
-        d as (select doc_id, source, {sql_numbers('text')} as text from c), e as (select doc_id, source, {sql_pack('text', fixed.CHUNK_CHARS_LARGE)} as cs from d)
+    f"""with {CLEANED}, e as (select doc_id, source, {sql_pack('text', fixed.CHUNK_CHARS_LARGE)} as cs from d)
         select doc_id, source, unnest(range(len(cs))) as chunk_idx, unnest(cs) as chunk from e""",
 )
 def _(fx):

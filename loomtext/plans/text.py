@@ -162,6 +162,12 @@ def _(fx):
     return with_config(fx, fx.dealt.V_marked).select("doc_id", T.clean_for_speech("text", "words").alias("text"))
 
 
+#: documents cleaned without a series' own words, as a chain that ends in ``d``
+_SPOKEN = f"regexp_replace({CHARS}, '\\s+,', ',', 'g')"
+CLEANED = f"""a as (select doc_id, source, {_SPOKEN} as text from documents), b as (select doc_id, source, regexp_replace({sql_acronyms('text')}, '\\[([^\\]\\n]*)\\]', '\\1', 'g') as text from a),
+        c as (select doc_id, source, {sql_signs("regexp_replace(text, '([0-9]+)\\s*/\\s*([0-9]+)', '\\1 out of \\2', 'g')")} as text from b),
+        d as (select doc_id, source, {sql_numbers('text')} as text from c)"""
+
 _TITLE = nested("title", fixed.TITLE_CHARACTERS)
 
 
