@@ -183,11 +183,14 @@ def search(
 
     ``is_query`` is a condition on vec_id. Without ``window`` it is ``SHARE`` of the ranks. Fixed results: vectors that are null, empty, zero or hold a null or non-finite
     component take no part, nor do rows without an id; a row never finds its own id; equal rows count once; ties go to
-    the smaller id; vectors of another length than the first by id are an error; an empty table gives no rows; other
+    the smaller id; vectors of different lengths are an error; an empty table gives no rows; other
     columns are not read.
     """
     spark = vectors.sparkSession
     rows = cut_lineage(_usable(vectors, column))
+    low, high = rows.agg(F.min(F.octet_length("v")), F.max(F.octet_length("v"))).first()
+    if low != high:
+        raise ValueError(f"vectors have from {low // 8} to {high // 8} components")
     classes = cut_lineage(_classes(rows, k + 1))
     schema = "query_id bigint, rank int, vec_id bigint, score double"
     sample = [r[0] for r in classes.select("v").orderBy(F.xxhash64("cid")).limit(FIT_ROWS).collect()]

@@ -202,6 +202,9 @@ def test_search_of_few_rows_is_exact(spark):
     assert {q: [i for i, _ in v] for q, v in got.items()} == {q: [i for i, _ in v] for q, v in want.items()}
     assert all(abs(a[1] - b[1]) < 1e-9 for q in want for a, b in zip(got[q], want[q]))
     assert curve_search.search(frame.where("false"), F.lit(True)).collect() == []
+    uneven = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, 2.0, 3.0, 4.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError, match="from 2 to 4"):
+        curve_search.search(uneven, F.lit(True))
     assert curve_search.search(frame.where("vec_id = 20"), F.lit(True)).collect() == []
 
 
