@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from ..functions.base import explode_rows
 from ..functions.text import clean_for_speech
 from ..functions.titles import plain_title
+from ..operators.boilerplate import clean_pages
 from ..session import spread, work_path
 from ..sources.files import read_chapters, write_cleaned
 from ..sources.pages import SECOND_SITE, Profile, extract_pages, finish_pages, savable
 from .registry import query
-from .text import CLEANED, nested
+from .text import CLEANED, MESSAGES, MESSY, nested, paragraph_sql
 from .. import fixed
 
 SITE = Profile(content=("article", None, None), list_box=("nav", None, None), next_box=("nav", None, None), next_link=("a", None, None), next_word="")
@@ -39,6 +40,35 @@ def _(fx):
     return parsed(fx).select("page_id", plain_title("title").alias("title"))
 
 
+# documents as pages of the first site: titles with series, site and tag about them, a paragraph for each line
+_PAGED = f"""select doc_id as page_id, concat('https://a.example/', cast(doc_id as string)) as url, source as series,
+    concat('<html><head><title>', case doc_id % 3 when 0 then concat('Part ', cast(doc_id as string), ' - ', upper(source), ' | {fixed.TITLE_SITE_SUFFIX}')
+        when 1 then concat(source, ' Part ', cast(doc_id as string), ' [Book 2]') else concat('Part ', cast(doc_id as string)) end,
+        '</title></head><body><time datetime="2024-03-05T01:02:03Z"></time><div class="chapter-content"><p>',
+        replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(10), '</p><p>'), '</p></div></body></html>') as html
+    from (select m.doc_id, m.text, d.source from ({MESSY}) m join documents d on d.doc_id = m.doc_id) t"""
+
+
+def _whole_pages(fx, **kw):
+    pages = clean_pages(fx.dealt.sql(_PAGED), fx.sql(MESSAGES), series="series", **kw)
+    return pages.select("page_id", "title", "published_date", "text", "unavailable")
+
+
+_WHOLE_SQL = f"""select d.doc_id as page_id, concat('Part ', d.doc_id) as title, '2024-03-05' as published_date, coalesce(x.text, '') as text, false as unavailable
+    from documents d left join (select doc_id, string_agg(line, chr(10) order by pos) as text from ({paragraph_sql(True, True)}) p group by doc_id) x on x.doc_id = d.doc_id"""
+
+
+@query("EXT1_whole_pages", _WHOLE_SQL)
+def _(fx):
+    return _whole_pages(fx)
+
+
+@query("EXT1_whole_pages_long_list", _WHOLE_SQL)
+def _(fx):
+    """The same with the list treated as too long for a literal."""
+    return _whole_pages(fx, max_rows=0)
+
+
 # an open <b> takes in the rest of the article, so its top level holds the h1 and what follows it
 @query("EXT2_content_lines")
 def _(fx):

@@ -219,7 +219,7 @@ MESSY = """select doc_id, concat(text,
 MESSAGES = "select item_id, message from V_block union all select -3, 'SPAM' union all select -2, 'Stolen from its author, report it.' union all select -1, 'AM b'"
 
 
-def _paragraph_sql(collapse: bool, dedupe: bool) -> str:
+def paragraph_sql(collapse: bool, dedupe: bool) -> str:
     tidy = "trim(regexp_replace({}, '\\s+', ' ', 'g'))" if collapse else SQL_STRIP
     norm = f"regexp_replace({tidy.format('line')}, ' ([,.!?;:\'\'\"])', '\\1', 'g')" if collapse else tidy.format("line")
     keep = "where changed or rn = 1" if dedupe else ""
@@ -239,22 +239,22 @@ def _paragraphs(fx, collapse, dedupe, **kw):
     return rows.select("doc_id", F.col("p.pos").cast("bigint").alias("pos"), "p.line")
 
 
-@query("FN13_boilerplate", _paragraph_sql(True, False))
+@query("FN13_boilerplate", paragraph_sql(True, False))
 def _(fx):
     return _paragraphs(fx, True, False)
 
 
-@query("FN13_boilerplate_second_site", _paragraph_sql(False, False))
+@query("FN13_boilerplate_second_site", paragraph_sql(False, False))
 def _(fx):
     return _paragraphs(fx, False, False)
 
 
-@query("WN2_repeated_paragraphs", _paragraph_sql(True, True))
+@query("WN2_repeated_paragraphs", paragraph_sql(True, True))
 def _(fx):
     return _paragraphs(fx, True, True)
 
 
-@query("JN12_paragraphs_long_list", _paragraph_sql(True, True))
+@query("JN12_paragraphs_long_list", paragraph_sql(True, True))
 def _(fx):
     """The same with the list treated as too long for a literal."""
     return _paragraphs(fx, True, True, max_rows=0)
