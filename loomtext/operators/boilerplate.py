@@ -50,7 +50,8 @@ def attach_messages(
     small = collect_bounded(messages.orderBy(order), message, max_rows, max_bytes)
     if small is not None:
         return docs.withColumn("messages", closed_messages(small, seen, collapse_spaces))
-    body = docs.select(doc_id, F.array_join(seen, "\n").alias("text"))
+    # read in every round
+    body = cut_lineage(docs.select(doc_id, F.array_join(seen, "\n").alias("text")))
     per_doc = _closed_matches(body, messages, doc_id, message, order, collapse_spaces, lines is not None)
     return docs.join(per_doc, doc_id, "left").withColumn("messages", F.coalesce("messages", F.array().cast("array<string>")))
 
