@@ -15,7 +15,7 @@ from checks import compare, connect
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loomtext.llm import bpe, chat_parts, curve_search, decontaminate, language_mix, link_trust, queries, shard_tree, simhash, warc
+from loomtext.llm import bpe, chat_parts, curve_search, decontaminate, language_mix, link_trust, queries, shard_tree, warc
 from loomtext.session import work_path
 
 SF = "/root/testdata/sf0.001"
@@ -275,7 +275,8 @@ def test_pipeline_by_hand(spark):
     """The pipeline over the test tables against its stages' rules, each by brute force on what the one before kept."""
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     kept = {i: t for i, t in docs.items() if language_mix.has_letter(t)}
-    prints = {i: simhash.fingerprint(t.encode()) for i, t in kept.items()}
+    words = {i: t.encode().lower().split() for i, t in kept.items()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in words.items()}
     order, root = sorted(kept), {i: i for i in kept}
 
     def find(i):
@@ -285,7 +286,8 @@ def test_pipeline_by_hand(spark):
 
     for n, a in enumerate(order):
         for b in order[:n]:
-            if bin((prints[a] ^ prints[b]) % (1 << 64)).count("1") <= 4:
+            shared = len(sets[a] & sets[b])
+            if 10 * shared >= 8 * (len(sets[a]) + len(sets[b]) - shared):
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
     kept = {i: t for i, t in kept.items() if find(i) == i}
