@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import fixed
 from ..functions.base import posexplode_rows
@@ -129,7 +130,7 @@ def annotate_log(log: DataFrame, block: int = 65536, out: str | None = None, che
         return annotate(both, block).select("seq", "kind", "text", "ok", "empty")
 
     run_to_end(log, out, each=each, checkpoint=checkpoint)
-    rows = spark.read.schema("seq bigint, kind string, text string, ok boolean, empty boolean").parquet(out)
+    rows = read_batches(spark, out, T.StructType.fromDDL("seq bigint, kind string, text string, ok boolean, empty boolean"))
     # an item of the tail is written again with the marks the next batch gave it
     return rows.groupBy("seq").agg(
         F.first("kind").alias("kind"), F.first("text").alias("text"), F.bool_or("ok").alias("ok"), F.bool_or("empty").alias("empty")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,11 +13,24 @@ from ..session import work_path
 
 
 def read_files(spark: SparkSession, folder: str, name: str, schema: T.StructType, files_per_batch: int | None = None) -> DataFrame:
-    """New Parquet files of a folder as a stream."""
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", name)
+    """New Parquet files of a folder as a stream. ``name`` is a pattern of file names, or that of a table that is a folder of files."""
+    reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(folder)
+    table = f"{folder.rstrip('/')}/{name}"
+    # the filter looks at the names of files only
+    return reader.parquet(table) if _exists(spark, f"{table}/*") else reader.option("pathGlobFilter", name).parquet(folder)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path or pattern leads anywhere; no file is opened."""
+    try:
+        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+    return True
 
 
 def event_time(events: DataFrame, name: str = "ts") -> DataFrame:
@@ -58,8 +72,9 @@ def run_to_end(
 
 
 def read_batches(spark: SparkSession, out: str, schema: T.StructType) -> DataFrame:
-    """All micro-batches with their number in ``batch``."""
-    return spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(out)
+    """All micro-batches with their number in ``batch``; no rows before the first."""
+    numbered = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
+    return spark.read.schema(numbered).parquet(out) if _exists(spark, out) else spark.createDataFrame([], numbered)
 
 
 def newest_version(rows: DataFrame, keys: list[str]) -> DataFrame:

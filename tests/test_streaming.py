@@ -175,6 +175,17 @@ def test_ingest_reads_only_new_files(spark):
     assert total == [docs.where("doc_id < 100 and length(trim(text)) > 0").count(), n]
 
 
+def test_a_table_may_be_a_folder_of_files(spark):
+    path = work_path(spark, "in")
+    docs = spark.createDataFrame([(1, "a", "One. Two."), (2, "b", "Three."), (3, "b", None)], "doc_id bigint, source string, text string")
+    docs.repartition(2).write.parquet(f"{path}/documents.parquet")
+    docs.coalesce(1).write.parquet(f"{path}/others.parquet")
+    got = J.ingest_texts(read_files(spark, path, "documents.parquet", docs.schema))
+    assert rows(got.select("doc_id", "chunk_idx", "chunk")) == ["(1, 0, 'One.\\n\\nTwo.')", "(2, 0, 'Three.')"]
+    # no files yet: no batch, no rows
+    assert J.ingest_texts(read_files(spark, path, "missing.parquet", docs.schema)).collect() == []
+
+
 def test_streams_go_on(spark):
     """Two calls with the same folders equal one over all files, and the second reads new files only."""
     events, path = Fixtures(spark, SF).events, work_path(spark, "events")
