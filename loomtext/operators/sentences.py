@@ -11,6 +11,7 @@ size gives the same lists.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -20,7 +21,7 @@ from ..functions.base import col, explode_rows, let, pick, strip
 from ..functions.text import constant_list
 from ..session import cut_lineage
 
-OPENING, CLOSING = r"""["'(\[{“‘]+""", r"""["')\]}”’]"""
+OPENING, CLOSING = "\"'([{“‘", "\"')]}”’"
 #: least score of an abbreviation, least ratio of a starter, and the share of full stops that the ratio tests a word for
 LEAST_SCORE, LEAST_RATIO, SURE = 0.3, 30.0, 0.99
 #: a word with more occurrences counts as one with so many at the same rate; a larger corpus as one of so many tokens
@@ -38,30 +39,55 @@ class SentenceModel:
 
 def bare(token: Column) -> Column:
     """A token without quotes, brackets and marks around it, its full stop left on."""
-    return F.regexp_replace(F.regexp_replace(token, rf"(?U)^{OPENING}", ""), r"""(?U)["')\]}”’,;:!?]+$""", "")
+    return F.rtrim(F.ltrim(token, F.lit(OPENING)), F.lit(CLOSING + ",;:!?"))
 
 
 def word_type(token: Column) -> Column:
     """The word of a token in lower case, without one full stop behind it."""
-    return F.lower(F.regexp_replace(bare(token), r"\.$", ""))
+    word = bare(token)
+    return F.lower(F.when(F.endswith(word, F.lit(".")), F.left(word, F.length(word) - 1)).otherwise(word))
 
 
 def _ends(token: Column) -> Column:
     """A token's end without what closes quotes and brackets."""
-    return F.regexp_replace(F.regexp_replace(token, rf"(?U)^{OPENING}", ""), rf"(?U){CLOSING}+$", "")
+    return F.rtrim(F.ltrim(token, F.lit(OPENING)), F.lit(CLOSING))
 
 
 def _kind(token: Column, abbreviations: Column) -> Column:
     """What the end of a token says: 'end', 'short' (abbreviation or initial), 'number', 'dots' or nothing."""
-    end, word = _ends(token), word_type(token)
-    return (
-        F.when(end.rlike(r"[!?]$"), "end")
-        .when(end.rlike(r"\.\.$"), "dots")
-        .when(~F.endswith(end, F.lit(".")), "")
-        .when(F.array_contains(abbreviations, word) | word.rlike(r"(?U)^\p{L}$"), "short")
-        .when(word.rlike(r"^[-+]?[0-9]+([.,][0-9]+)*$"), "number")
-        .otherwise("end")
-    )
+
+    def stopped(word):
+        return (
+            F.when(F.array_contains(abbreviations, word) | word.rlike(r"(?U)^\p{L}$"), "short")
+            .when(word.rlike(r"^[-+]?[0-9]+([.,][0-9]+)*$"), "number")
+            .otherwise("end")
+        )
+
+    def told(end):
+        last = F.right(end, F.lit(1))
+        return (
+            F.when(last.isin("!", "?"), "end")
+            .when(F.endswith(end, F.lit("..")), "dots")
+            .when(last != ".", "")
+            .otherwise(let(word_type(token), stopped))
+        )
+
+    return let(_ends(token), told)
+
+
+def _last_token(text: Column) -> Column:
+    """The last token of a text that does not end in white space; only what follows the last plain space is searched."""
+    return F.regexp_extract(F.substring_index(text, " ", -1), r"(?U)(\S++)$", 1)
+
+
+def _first_token(text: Column) -> Column:
+    return F.regexp_extract(text, r"(?U)^\s*+(\S++)", 1)
+
+
+def _marked(text: Column, ends: str) -> Column:
+    """Parts of a text, cut behind what matches ``ends``. The noncharacter U+FDD0 reads as U+FFFD."""
+    plain = F.replace(text, F.lit(_MARK), F.lit(_UNKNOWN))
+    return F.split(F.regexp_replace(plain, rf"(?U)({ends})", f"$1{_MARK}"), _MARK, -1)
 
 
 def _log(p: Column, n: Column) -> Column:
@@ -97,8 +123,12 @@ def abbreviation_scores(types: DataFrame) -> DataFrame:
 
 def starter_scores(texts: DataFrame, types: DataFrame, abbreviations: list[str], text: str = "text") -> DataFrame:
     """(type, n, after, score): how often a word stands behind a sentence end, and the ratio that speaks for more than chance."""
-    pairs = let(F.split(text, r"(?U)\s+"), lambda ts: F.zip_with(F.slice(ts, F.lit(1), F.greatest(F.size(ts) - 1, F.lit(0))), F.slice(ts, F.lit(2), F.size(ts)), lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
-    rows = explode_rows(texts, F.filter(pairs, lambda p: p["a"].rlike(r"(?U)[.!?]\p{Punct}*$|[.!?][”’]*$") & (p["b"] != "")), "p")
+
+    def pairs(parts):
+        # neither character stands in a word of letters, so reading one for the other changes no count
+        return F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda p, i: F.struct(_last_token(pick(parts, i)).alias("a"), _first_token(p).alias("b")))
+
+    rows = explode_rows(texts, let(_marked(col(text), r"[.!?](?<![.!?]{2})\p{Punct}*+(?=\s++\S)"), pairs), "p")
     counted = rows.groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("k"))
     ends = cut_lineage(counted.where(_kind(F.col("a"), constant_list(abbreviations)) == "end").groupBy(word_type(F.col("b")).alias("type")).agg(F.sum("k").alias("after")))
     (breaks,) = ends.agg(F.coalesce(F.sum("after"), F.lit(0))).first()
@@ -143,26 +173,24 @@ def split_sentences(text: Column | str, model: SentenceModel) -> Column:
     single letter, unless a starter with a capital follows; nor behind a number before a small letter, nor behind dots unless a
     capital follows. The noncharacter U+FDD0 reads as U+FFFD.
     """
-    plain = F.replace(col(text), F.lit(_MARK), F.lit(_UNKNOWN))
-    marked = F.regexp_replace(plain, rf"(?U)(?<=[.!?]{CLOSING}{{0,4}})(\s+)", f"{_MARK}$1")
     abbreviations, starters = constant_list(list(model.abbreviations)), constant_list(list(model.starters))
 
     def ends(before, after):
-        last = F.regexp_extract(before, r"(?U)(\S+)$", 1)
-        first = F.regexp_extract(after, r"(?U)^\s*(\S+)", 1)
-        head = F.regexp_replace(first, rf"(?U)^{OPENING}", "")
-        capital, small = head.rlike(r"(?U)^\p{Lu}"), head.rlike(r"(?U)^\p{Ll}")
-        return let(
-            _kind(last, abbreviations),
-            lambda kind: (kind == "end")
-            | ((kind == "short") & capital & F.array_contains(starters, word_type(first)))
-            | ((kind == "number") & ~small)
-            | ((kind == "dots") & capital),
-        )
+        def told(kind, first):
+            head = F.ltrim(first, F.lit(OPENING))
+            capital, small = head.rlike(r"(?U)^\p{Lu}"), head.rlike(r"(?U)^\p{Ll}")
+            return (
+                ((kind == "short") & capital & F.array_contains(starters, word_type(first)))
+                | ((kind == "number") & ~small)
+                | ((kind == "dots") & capital)
+            )
+
+        kind = let(_last_token(before), lambda last: _kind(last, abbreviations))
+        return let(kind, lambda k: (k == "end") | let(_first_token(after), lambda first: told(k, first)))
 
     def weave(parts):
         cut = F.transform(parts, lambda p, i: F.when((i == 0) | ~ends(pick(parts, i - 1), p), p).otherwise(F.concat(F.lit(_MARK), p)))
         return F.split(F.array_join(cut, ""), _MARK, -1)
 
-    whole = let(F.split(marked, _MARK, -1), weave)
+    whole = let(_marked(col(text), rf"[.!?][{re.escape(CLOSING)}]{{0,4}}+(?=\s)"), weave)
     return F.filter(F.transform(whole, strip), lambda s: s != "")

@@ -2,6 +2,7 @@
 
 import codecs
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -284,6 +285,17 @@ def test_words_learnt_from_texts(spark):
     assert Y.learn_sentences(rows.limit(0)) == Y.SentenceModel((), ())
 
 
+def test_learning_takes_long_rows_of_marks(spark):
+    dots = "." * 200_000
+    texts = spark.createDataFrame([(f"He met Dr. Ash {dots}x and left. She came ?!) then",)], "text string")
+    types = Y.count_types(texts)
+    at = time.perf_counter()
+    found = Y.starter_scores(texts, types, ["dr"]).select("type", "n", "after").collect()
+    # a search from every mark to the end of the row takes a minute
+    assert time.perf_counter() - at < 15
+    assert sorted(map(tuple, found)) == [("she", 1, 1), ("then", 1, 1)]
+
+
 def test_undecodable_bytes(spark):
     """Python's decoder names the same bytes, over blocks as well."""
     rng = random.Random(5)
