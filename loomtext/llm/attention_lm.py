@@ -9,18 +9,19 @@ so each token is scored once; windows of many texts form batches with one causal
 
 Corpus counts are Spark aggregates over all training texts. The words above a count threshold that leaves at most
 ``HEAVY`` of them are broadcast, with their counts; the others, of which there may be any number, are joined. So no
-frequent word is ever a join key. Attention weights start from a fit on a sample of windows (``SAMPLE_WINDOWS``); then each task
-trains on all windows of its share of the texts, and the weights of all tasks are averaged. Shares go by the hash of id and text, so
-how files are cut changes nothing. The classes of subwords come from their neighbours in the whole corpus.
+frequent word is ever a join key. Training texts are encoded once, for the neighbours, the sample and the training. Attention
+weights start from a fit on a sample of windows (``SAMPLE_WINDOWS``); then each task trains on all windows of its share of the texts,
+and the weights of all tasks are averaged. Shares go by the hash of id and text, so how files are cut changes nothing. The classes of
+subwords come from their neighbours in the whole corpus.
 """
 
 from __future__ import annotations
 
 import copy
 import uuid
+from array import array
 from collections import Counter
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .bpe import codec
-from .common import map_batches, texts_of
+from .common import SLICE, texts_of
 
 #: the model: positions of a window, those it scores, width, classes, of which one for each of the most frequent subwords
 KEYS, STRIDE, WIDTH, CLASSES, SINGLE = 32, 24, 24, 256, 200
@@ -41,6 +42,8 @@ SAMPLE_TEXTS = 4_000
 EPOCHS, BATCH, RATE = 3, 64, 0.015
 #: training on all windows: characters of a task, windows shuffled together and of a batch, rates of embeddings and of other weights
 SHARE_CHARS, POOL, STEP, RATES = 32 << 20, 4_096, 128, (0.02, 0.003)
+#: positions whose class probabilities are held at a time, as many as a core's cache has room for
+ROWS = 32 * STRIDE
 #: embedding rows that are averaged together, and tasks whose weights one row sums
 CHUNK, FAN = 1_024, 64
 #: what counts inside classes tell apart: begins of words, the most frequent subwords before, all others before
@@ -97,14 +100,26 @@ class Subwords:
         self.begin = len(self.codec.pieces)
         self.end = self.begin + 1
         self.size = self.begin + 2
-        self.known: dict[bytes, list[int]] = {}
+        #: of ids that are written
+        self.kind = np.uint16 if self.size <= 1 << 16 else np.int32
+        self.known = _Known(self.of)
 
     def of(self, word: bytes) -> list[int]:
-        found = self.known.get(word)
-        if found is None:
-            if len(self.known) > FLUSH:
-                self.known.clear()
-            found = self.known[word] = self.codec.encoding._encode_single_piece(b" " + word)
+        return self.codec.encoding._encode_single_piece(b" " + word)
+
+    def all(self, words: Iterable[bytes]) -> np.ndarray:
+        """Ids of many words in order; words met before are remembered, their ids as bytes that are joined."""
+        return np.frombuffer(b"".join(map(self.known.__getitem__, words)), np.int32)
+
+
+class _Known(dict):
+    def __init__(self, of: Callable[[bytes], list[int]]):
+        self.of = of
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) > FLUSH:
+            self.clear()
+        found = self[word] = array("i", self.of(word)).tobytes()
         return found
 
 
@@ -153,7 +168,28 @@ def framed(ids: np.ndarray, sub: Subwords) -> np.ndarray:
 
 
 def ids_of(text: bytes, sub: Subwords) -> np.ndarray:
-    return framed(np.array([i for part in segments(text) for w in part.lower().split() for i in sub.of(w)], np.int32), sub)
+    return framed(np.concatenate([sub.all(part.lower().split()) for part in segments(text)]), sub)
+
+
+def encoded(texts: DataFrame, path: str, pattern: str, seed: int) -> DataFrame:
+    """(chosen, near, chars, ids) of texts (id, text): hashes of the text and of id and text, characters, framed ids as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sub, kept = Subwords(path, pattern), ["chosen", "near", "chars"]
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(at, SLICE)
+                ids = pa.array([ids_of(text, sub).astype(sub.kind).tobytes() for text in texts_of(batch, "text")], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), ids], [*kept, "ids"])
+
+    hashes = F.xxhash64("text", F.lit(seed)).alias("chosen"), F.xxhash64("id", "text", F.lit(seed)).alias("near")
+    return texts.select(*hashes, F.length("text").alias("chars"), "text").mapInArrow(run, "chosen bigint, near bigint, chars int, ids binary")
+
+
+def decoded(batch: pa.RecordBatch, kind: type) -> Iterator[np.ndarray]:
+    """The framed ids of each row of ``encoded``."""
+    for ids in batch.column("ids"):
+        yield np.frombuffer(ids.as_buffer(), kind).astype(np.int32)
 
 
 def windows_of(seq: np.ndarray) -> np.ndarray:
@@ -163,42 +199,41 @@ def windows_of(seq: np.ndarray) -> np.ndarray:
     return long[starts[:, None] + np.arange(KEYS + 1)]
 
 
-def neighbours(texts: DataFrame, path: str, pattern: str, known: np.ndarray) -> np.ndarray:
+def neighbours(coded: DataFrame, kind: type, known: np.ndarray) -> np.ndarray:
     """(size, 2 * CLASSES): how often each subword stands before and after the subwords of each ``known`` class, over all texts."""
     wide = 2 * CLASSES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sub, totals = Subwords(path, pattern), np.zeros(len(known) * wide, np.int32)
+        totals = np.zeros(len(known) * wide, np.int32)
         for batch in batches:
-            for text in texts_of(batch, "text"):
-                seq = ids_of(text, sub)[KEYS - STRIDE :].astype(np.int64)
-                a, b = seq[:-1], seq[1:]
-                np.add.at(totals, a * wide + known[b], 1)
-                np.add.at(totals, b * wide + CLASSES + known[a], 1)
+            for ids in decoded(batch, kind):
+                seq = ids[KEYS - STRIDE :].astype(np.int64)
+                a, b, ones = seq[:-1], seq[1:], np.ones(len(seq) - 1, np.int32)  # add.at is slow where types differ
+                np.add.at(totals, a * wide + known[b], ones)
+                np.add.at(totals, b * wide + CLASSES + known[a], ones)
         some = np.flatnonzero(totals)
         if len(some):
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(totals[some].astype(np.int64))], ["k", "n"])
 
     out = np.zeros(len(known) * wide, np.float32)
-    found = texts.select("text").mapInArrow(run, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    found = coded.select("ids").mapInArrow(run, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
     out[np.asarray(found.column("k"))] = np.asarray(found.column("n"))  # at most the vocabulary times 2 * CLASSES
     return out.reshape(len(known), wide)
 
 
-def _sample(texts: DataFrame, path: str, pattern: str, seed: int) -> np.ndarray:
+def _sample(coded: DataFrame, kind: type, seed: int) -> np.ndarray:
     """Windows of KEYS + 1 ids (short ones filled with -1) of texts chosen by hash; all of them if there are few."""
-    total = texts.count()
-    share = min(1.0, SAMPLE_TEXTS / max(total, 1))
-    chosen = texts.where(F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1_000_000)) < F.lit(int(np.ceil(share * 1_000_000))))
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sub, out = Subwords(path, pattern), []
-        for text in texts_of(batch, "text"):
-            out += list(windows_of(ids_of(text, sub)))
-        flat = pa.array(np.concatenate(out) if out else np.zeros(0, np.int32))
-        return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1, dtype=np.int32) * (KEYS + 1)), flat)], ["w"])
-
-    rows = map_batches(chosen, run, "w array<int>").orderBy(F.xxhash64("w", F.lit(seed)), "w").limit(SAMPLE_WINDOWS).collect()
+    share = min(1.0, SAMPLE_TEXTS / max(coded.count(), 1))
+    chosen = coded.where(F.pmod("chosen", F.lit(1_000_000)) < F.lit(int(np.ceil(share * 1_000_000))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids in decoded(batch, kind):
+                made = windows_of(ids)
+                ends = pa.array(np.arange(len(made) + 1, dtype=np.int32) * (KEYS + 1))
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, pa.array(made.ravel()))], ["w"])
+
+    rows = chosen.select("ids").mapInArrow(run, "w array<int>").orderBy(F.xxhash64("w", F.lit(seed)), "w").limit(SAMPLE_WINDOWS).collect()
     return np.array([r[0] for r in rows], np.int64).reshape(-1, KEYS + 1)
 
 
@@ -235,6 +270,16 @@ def _classes(counts: np.ndarray, near: np.ndarray, end: int, seed: int) -> np.nd
     return out
 
 
+def row_sums(at: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
+    """(size, width): for each number in ``at``, the sum of its rows."""
+    out = np.zeros((size, rows.shape[1]), rows.dtype)
+    order = np.argsort(at.astype(np.uint16) if size <= 1 << 16 else at, kind="stable")
+    numbers = at[order]
+    first = np.flatnonzero(np.diff(numbers, prepend=-1))
+    out[numbers[first]] = np.add.reduceat(rows[order], first, axis=0)
+    return out
+
+
 class Attention:
     """One layer of causal self-attention with a direct path from the current subword, over classes."""
 
@@ -253,35 +298,61 @@ class Attention:
         return np.tril(np.ones((KEYS, KEYS), np.float32))
 
     def gradients(self, ids: np.ndarray, targets: np.ndarray, valid: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean cross-entropy of the valid positions, and its gradients."""
-        root = np.float32(WIDTH**-0.5)
+        """Mean cross-entropy of the valid positions, and its gradients.
+
+        Positions before the first valid column give keys and values only. Class probabilities are made for ``ROWS`` positions at
+        a time and never divided by their sums: the far smaller sides of the products are.
+        """
+        kind, root = self.E.dtype, self.E.dtype.type(WIDTH**-0.5)
+        lo = int(valid.any(0).argmax())
+        n, ok = max(1, int(valid.sum())), valid[:, lo:].ravel()
+        heads, outs = np.concatenate([self.Wq * root, self.Wk, self.Wv], 1), np.concatenate([self.Wo, self.Wb, self.b[None]])
         e = self.E[ids]
         x = e + self.P
-        q, k, v = x @ self.Wq, x @ self.Wk, x @ self.Wv
-        s = np.where(self.causal() > 0, np.clip(q @ k.swapaxes(1, 2) * root, -50, 50), -np.inf)
-        a = np.exp(s - s.max(-1, keepdims=True))
+        flat = x.reshape(-1, WIDTH)
+        qkv = (flat @ heads).reshape(*ids.shape, 3 * WIDTH)
+        q, k, v = qkv[:, lo:, :WIDTH], qkv[..., WIDTH : 2 * WIDTH], qkv[..., 2 * WIDTH :]
+        a = q @ k.swapaxes(1, 2)
+        np.exp(np.clip(a, -50, 50, out=a), out=a)
+        a *= self.causal()[lo:]
         a /= a.sum(-1, keepdims=True)
-        o = a @ v
-        logits = o @ self.Wo + e @ self.Wb + self.b
-        p = np.exp(logits - logits.max(-1, keepdims=True))
-        p /= p.sum(-1, keepdims=True)
-        n = max(1, int(valid.sum()))
-        at = np.take_along_axis(p, targets[..., None], -1)[..., 0]
-        loss = float(-(np.log(at + 1e-30) * valid).sum() / n)
-        dl = p
-        np.put_along_axis(dl, targets[..., None], at[..., None] - 1, -1)
-        dl = (dl * (valid[..., None] / n)).astype(np.float32)
-        flat = lambda t: t.reshape(-1, t.shape[-1])
-        g = {"Wo": flat(o).T @ flat(dl), "Wb": flat(e).T @ flat(dl), "b": flat(dl).sum(0)}
-        do = dl @ self.Wo.T
-        da, dv = do @ v.swapaxes(1, 2), a.swapaxes(1, 2) @ do
-        ds = a * (da - (da * a).sum(-1, keepdims=True)) * root
-        dq, dk = ds @ k, ds.swapaxes(1, 2) @ q
-        dx = dq @ self.Wq.T + dk @ self.Wk.T + dv @ self.Wv.T
-        g |= {w: flat(x).T @ flat(d) for w, d in (("Wq", dq), ("Wk", dk), ("Wv", dv))}
+        z = np.ones((*a.shape[:2], 2 * WIDTH + 1), kind)
+        z[..., :WIDTH], z[..., WIDTH:-1] = a @ v, e[:, lo:]
+        z = z.reshape(-1, 2 * WIDTH + 1)
+        dz, gouts, at_aim = np.empty((len(z), 2 * WIDTH), kind), np.zeros_like(outs), np.empty(len(z), kind)
+        aim, back, ones = targets[:, lo:].ravel(), np.ascontiguousarray(outs[:-1].T), np.ones(CLASSES, kind)
+        room = np.empty((min(ROWS, len(z)), CLASSES), kind)
+        # no exponent can overflow within these bounds
+        tame = np.einsum("ij,ij->i", z, z).max() * np.einsum("ij,ij->j", outs, outs).max() < 80**2
+        for at in range(0, len(z), ROWS):
+            part, t, here = z[at : at + ROWS], aim[at : at + ROWS], ok[at : at + ROWS]
+            p, each = room[: len(part)], np.arange(len(part))
+            np.matmul(part, outs, out=p)
+            if not tame:
+                p -= p.max(-1, keepdims=True)
+            np.exp(p, out=p)
+            sums = p @ ones
+            at_aim[at : at + ROWS] = p[each, t] / sums
+            p[each, t] -= sums
+            share = (here / (n * sums)).astype(kind)[:, None]
+            np.multiply(p @ back, share, out=dz[at : at + ROWS])
+            gouts += (p.T @ (part * share)).T
+        loss = float(-np.log(at_aim[ok] + 1e-30).sum() / n)
+        g = {"Wo": gouts[:WIDTH], "Wb": gouts[WIDTH:-1], "b": gouts[-1]}
+        dz = dz.reshape(len(ids), -1, 2 * WIDTH)
+        do = dz[..., :WIDTH]
+        da = do @ v.swapaxes(1, 2)
+        ds = a * (da - np.einsum("...i,...i", da, a)[..., None])
+        dqkv = np.zeros_like(qkv)
+        np.matmul(ds, k, out=dqkv[:, lo:, :WIDTH])
+        np.matmul(ds.swapaxes(1, 2), q, out=dqkv[..., WIDTH : 2 * WIDTH])
+        np.matmul(a.swapaxes(1, 2), do, out=dqkv[..., 2 * WIDTH :])
+        dheads = flat.T @ dqkv.reshape(-1, 3 * WIDTH)
+        g |= {"Wq": dheads[:, :WIDTH] * root, "Wk": dheads[:, WIDTH : 2 * WIDTH], "Wv": dheads[:, 2 * WIDTH :]}
+        dx = (dqkv.reshape(-1, 3 * WIDTH) @ heads.T).reshape(x.shape)
         g["P"] = dx.sum(0)
-        g["E"] = np.zeros_like(self.E)
-        np.add.at(g["E"], ids.ravel(), flat(dx + dl @ self.Wb.T))
+        dx[:, lo:] += dz[..., WIDTH:]
+        g["E"] = row_sums(ids.ravel(), dx.reshape(-1, WIDTH), len(self.E))
         return loss, g
 
     def fit(self, ids: np.ndarray, targets: np.ndarray, valid: np.ndarray, epochs: int, seed: int) -> list[float]:
@@ -315,6 +386,7 @@ class Local:
         self.E, self.net = model.E.copy(), copy.copy(model)
         self.squares = {n: np.zeros_like(getattr(model, n)) for n in model.NAMES}
         self.uses, self.windows = np.zeros(len(self.E), np.float32), 0
+        self.seen, self.place = np.zeros(len(self.E), bool), np.zeros(len(self.E), np.int64)
 
     def learn(self, windows: np.ndarray) -> None:
         """Adagrad over shuffled batches; each window once."""
@@ -322,18 +394,22 @@ class Local:
         for at in range(0, len(order), STEP):
             w = windows[order[at : at + STEP]]
             there = w >= 0
-            used, ids = np.unique(self.row[np.where(there, w, -1)], return_inverse=True)
-            ids = ids.reshape(w.shape)
+            # what stands at -1, the fill of short windows, comes after all valid positions
+            rows = self.row[w[:, :-1]]
+            self.seen[rows] = True
+            used = np.flatnonzero(self.seen)
+            self.seen[used], self.place[used] = False, np.arange(len(used))
+            ids = self.place[rows]
             valid = there[:, 1:] & (np.arange(KEYS) >= KEYS - STRIDE)
             self.net.E = self.E[used]
-            _, g = self.net.gradients(ids[:, :-1], self.classes[np.where(there, w, 0)[:, 1:]], valid)
+            _, g = self.net.gradients(ids, self.classes[w[:, 1:]], valid)
             e = g.pop("E")
             self.squares["E"][used] += e * e
             self.E[used] -= RATES[0] * e / (np.sqrt(self.squares["E"][used]) + 1e-6)
             for n, d in g.items():
                 self.squares[n] += d * d
                 setattr(self.net, n, (getattr(self.net, n) - RATES[1] * d / (np.sqrt(self.squares[n]) + 1e-6)).astype(np.float32))
-            self.uses[used] += np.bincount(ids[:, :-1][there[:, :-1]], minlength=len(used))
+            self.uses[used] += np.bincount(ids[there[:, :-1]], minlength=len(used))
             self.windows += len(w)
 
     def sums(self) -> Iterator[tuple[int, bytes, bytes]]:
@@ -346,22 +422,21 @@ class Local:
                 yield c // CHUNK, (self.E[c : c + CHUNK] * uses[:, None]).tobytes(), uses.tobytes()
 
 
-def train_all(texts: DataFrame, model: Attention, row: np.ndarray, classes: np.ndarray, path: str, pattern: str, seed: int) -> int:
-    """Trains ``model`` on all windows of all texts (id, text): each task on its share, then weights are averaged by their uses.
+def train_all(coded: DataFrame, model: Attention, row: np.ndarray, classes: np.ndarray, kind: type, seed: int) -> int:
+    """Trains ``model`` on all windows of all ``encoded`` texts: each task on its share, then weights are averaged by their uses.
 
     ``row`` gives the embedding of a subword. Returns the number of windows.
     """
-    chars = texts.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    near = F.xxhash64("id", "text", F.lit(seed))
-    shares = texts.withColumn("h", near).repartition(max(1, -(-chars // SHARE_CHARS)), "h").sortWithinPartitions("h", "text").select("text")
-    shared = texts.sparkSession.sparkContext.broadcast((model, row, classes))
+    chars = coded.agg(F.coalesce(F.sum("chars"), F.lit(0))).first()[0]
+    shares = coded.select("near", "ids").repartition(max(1, -(-chars // SHARE_CHARS)), "near").sortWithinPartitions("near", "ids").select("ids")
+    shared = coded.sparkSession.sparkContext.broadcast((model, row, classes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sub, part = Subwords(path, pattern), TaskContext.get().partitionId()
+        part = TaskContext.get().partitionId()
         local, pool, held = Local(*shared.value, seed + part), [], 0
         for batch in batches:
-            for text in texts_of(batch, "text"):
-                made = windows_of(ids_of(text, sub))
+            for ids in decoded(batch, kind):
+                made = windows_of(ids)
                 pool.append(made)
                 held += len(made)
                 if held >= POOL:
@@ -484,8 +559,9 @@ def train(texts: DataFrame, words: DataFrame, path: str, pattern: str, epochs: i
     rank = context_ranks(plain.sum(0))
     counts = subword_counts(words, path, pattern, sub.size, rank)
     total = counts.sum(0)
-    classes = _classes(total, neighbours(texts, path, pattern, _known(total, sub.end)[0]), sub.end, seed)
-    windows = _sample(texts, path, pattern, seed)
+    coded = cut_lineage(encoded(texts, path, pattern, seed))
+    classes = _classes(total, neighbours(coded, sub.kind, _known(total, sub.end)[0]), sub.end, seed)
+    windows = _sample(coded, sub.kind, seed)
     some = np.unique(np.concatenate([windows[windows >= 0].ravel(), [sub.begin, sub.end]]))
     dense = np.searchsorted(some, np.where(windows >= 0, windows, sub.end))
     ids, nexts = dense[:, :-1], classes[some][dense[:, 1:]]
@@ -499,7 +575,7 @@ def train(texts: DataFrame, words: DataFrame, path: str, pattern: str, epochs: i
     row = np.zeros(sub.size, np.int32)
     row[used] = np.arange(len(used))
     if epochs and len(ids):
-        train_all(texts, model, row, classes, path, pattern, seed)
+        train_all(coded, model, row, classes, sub.kind, seed)
     return Scorer(model, used, sub, classes, counts, rank), losses
 
 
@@ -518,9 +594,9 @@ class _Lookup:
 
     def _others(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, float]:
         """Subwords of words that are not broadcast, how many each has, and their score inside classes."""
-        pieces = list(map(self.sub.of, words))
-        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        flat = np.fromiter(chain.from_iterable(pieces), np.int64, int(lengths.sum()))
+        pieces = list(map(self.sub.known.__getitem__, words))
+        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces)) // np.int32().itemsize
+        flat = np.frombuffer(b"".join(pieces), np.int32)
         context = np.zeros(len(flat), np.int64)
         context[1:] = self.scorer.rank[flat[:-1]]
         context[np.cumsum(lengths) - lengths] = 0

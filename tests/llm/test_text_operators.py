@@ -1,8 +1,10 @@
 """BPE, decontamination, language mixture and language model against brute force."""
 
+import copy
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -156,6 +158,54 @@ def test_gradients_of_attention(monkeypatch):
         assert abs((up - down) / 2e-4 - g[n][at]) < 1e-4 + 0.02 * abs(g[n][at]), n
 
 
+def attention_batch(windows, seed):
+    """A batch as training has it: the positions before STRIDE are context only, the last window is short."""
+    rng = np.random.default_rng(seed)
+    ids, targets = rng.integers(0, 500, (windows, attention_lm.KEYS)), rng.integers(0, attention_lm.CLASSES, (windows, attention_lm.KEYS))
+    valid = np.tile(np.arange(attention_lm.KEYS) >= attention_lm.KEYS - attention_lm.STRIDE, (windows, 1))
+    valid[-1, -5:] = False
+    return ids, targets, valid
+
+
+def test_gradients_of_large_weights():
+    """float32 gives what float64 gives, where exponents would overflow too."""
+    for scale in (1, 60):
+        model, batch = attention_lm.Attention(500, 1), attention_batch(40, 3)
+        model.Wo, model.Wb, model.b = model.Wo * scale, model.Wb * scale, model.b + np.float32(scale)
+        wide = copy.copy(model)
+        for n in model.NAMES:
+            setattr(wide, n, getattr(model, n).astype(np.float64))
+        loss, g = model.gradients(*batch)
+        true_loss, true = wide.gradients(*batch)
+        assert np.isfinite(loss) and abs(loss - true_loss) < 1e-3 * true_loss
+        for n in model.NAMES:
+            assert g[n].dtype == np.float32 and abs(g[n] - true[n]).max() < 1e-3 * abs(true[n]).max(), (scale, n)
+
+
+def test_gradients_hold_few_probabilities():
+    """Class probabilities are held for ROWS positions at a time, in one place."""
+    model, batch = attention_lm.Attention(500, 1), attention_batch(512, 4)
+    model.gradients(*batch)
+    tracemalloc.start()
+    model.gradients(*batch)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # twice what all probabilities of the batch take in float32
+    assert peak < 2 * batch[0].size * attention_lm.CLASSES * 4
+
+
+def test_training_texts_are_encoded_once(spark, codec_args):
+    """What is written gives back the ids of each text, with its hashes and characters."""
+    sub = attention_lm.Subwords(*codec_args)
+    rows = [(i, t) for i, t in enumerate(["", "One two  THREE", "x" * 300, "naïve 日本 \x0b a\tb", "one two"] * 300)]
+    texts = spark.createDataFrame(rows, "id bigint, text string").repartition(3)
+    coded = attention_lm.encoded(texts, *codec_args, 7)
+    found = sorted((r.near, r.chars, np.frombuffer(r.ids, sub.kind).tolist()) for r in coded.collect())
+    near = {r.id: r.h for r in texts.select("id", F.xxhash64("id", "text", F.lit(7)).alias("h")).collect()}
+    plain = lambda t: attention_lm.framed(np.array([i for w in t.encode().lower().split() for i in sub.of(w)], np.int32), sub).tolist()
+    assert found == sorted((near[i], len(t), plain(t)) for i, t in rows)
+
+
 def small_scorer(codec_args):
     sub = attention_lm.Subwords(*codec_args)
     rng = np.random.default_rng(0)
