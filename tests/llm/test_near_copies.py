@@ -4,6 +4,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from loomtext.llm import near_copies
@@ -149,3 +150,66 @@ def test_the_ring_proposes_all_within_its_distance(spark):
     for k in range(0, len(prints), 4):
         assert {(k, k + 1), (k, k + 2), (k + 2, k + 3)} <= pairs
     assert len(pairs) == 600
+
+
+def change(words, places, tag):
+    """The words with some places changed; places five apart change five shingles each."""
+    return [f"{tag}{i}" if i in places else w for i, w in enumerate(words)]
+
+
+def test_every_group_is_found(spark):
+    """Pairs just above the similarity, links that only a close copy has, and a passage that most texts have."""
+    rng = random.Random(5)
+    rows = []
+    for k in range(400):  # 90 of 110 shingles
+        base = [f"p{k}a{i}" for i in range(104)]
+        rows += [base, change(base, {20, 60}, f"p{k}b")]
+    for k in range(100):  # 395 of 405, 360 of 440, and 355 of 445 between the first and the last
+        base = [f"t{k}a{i}" for i in range(404)]
+        close = change(base, {200}, f"t{k}b")
+        rows += [base, close, change(close, set(range(10, 170, 20)), f"t{k}c")]
+    passage = [f"c{i}" for i in range(100)]
+    for k in range(150):
+        own = [f"o{rng.randrange(40)}" for _ in range(rng.randrange(4, 40))]
+        rows.append(own + passage if k % 2 else passage + own)
+    rows = [" ".join(r) for r in rows]
+    root, pairs = groups([shingles(t) for t in rows])
+    assert len(pairs) > 600 and len({root[i] for i in range(1100, len(rows))}) > 10
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string").repartition(4)
+    assert {r.doc_id for r in near_copies.keep_one(docs).collect()} == {i for i, r in enumerate(root) if i == r}
+
+
+@pytest.mark.parametrize("step", [1, 7, 1000])
+def test_all_pairs_of_other_groups_meet(step):
+    rng = random.Random(6)
+    rows = []
+    for key, size in enumerate([1, 2, 2, 3, 5, 31, 32, 33, 200, 1, 40, 2]):
+        for _ in range(size):
+            n = rng.randrange(80, 120)
+            rows.append((key, len(rows), rng.choice([1, 1, 1, 1, 2, 3]) if size > 5 else len(rows), n, rng.randrange(n // 5 + 1)))
+    most = lambda r: min(r[0][3] - r[0][4], r[1][3] - r[1][4])
+    need = lambda r: 0.8 / 1.8 * (r[0][3] + r[1][3]) - 1e-6
+    both = [(a, b) for i, a in enumerate(rows) for b in rows[i + 1 :] if a[0] == b[0] and a[2] != b[2]]
+    fit = sorted((a[1], b[1]) for a, b in both if 0.8 * max(a[3], b[3]) <= min(a[3], b[3]) + 1e-6 and most((a, b)) >= need((a, b)))
+    names = ["key", "node", "component", "n", "place"]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[i : i + step])], names) for i in range(0, len(rows), step)]
+    got = [p for out in near_copies._meeting(0.8)(iter(batches)) for p in zip(out.column("a").to_pylist(), out.column("b").to_pylist())]
+    assert 1000 < len(fit) < len(both) and sorted(got) == fit
+
+
+def test_first_shingles_and_parities_hold_what_is_similar():
+    rng = np.random.default_rng(7)
+    pool = np.unique(rng.integers(0, 2**64, 3000, np.uint64))
+    ranked = rng.permutation(pool)[:700]
+    rank = np.argsort(ranked)
+    for _ in range(400):
+        base = rng.permutation(pool)[: rng.integers(2, 900)]
+        cut = rng.integers(0, len(base) // 5 + 2)
+        a, b = np.sort(base[cut:]), np.sort(base[: len(base) - rng.integers(0, 3)])
+        shared = len(np.intersect1d(a, b))
+        assert near_copies.least_difference(near_copies.parity(a), near_copies.parity(b)) <= len(a) + len(b) - 2 * shared
+        if len(a) and len(b) and shared >= 0.8 * (len(a) + len(b) - shared):
+            for common, places in ((ranked[rank], rank), (pool[:0], rank[:0])):
+                first = [near_copies.first_shingles(s, 0.8, common, places) for s in (a, b)]
+                assert len(np.intersect1d(*first))
+    assert near_copies.least_difference(near_copies.parity(pool[:1000]), near_copies.parity(pool[1000:2000])) > 600
