@@ -101,7 +101,7 @@ class Encoder:
         return b"".join([self.parts.get(p) or self._part(p) for p in self.pattern.findall(text)])
 
     def _part(self, part: str) -> bytes:
-        shown = part if part.isascii() else part.encode().decode("latin-1").translate(self.shown)
+        shown = part if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(self.shown)
         ids = little([t.id for t in self.tokenizer.model.tokenize(shown)])
         if len(part) <= WORD_BYTES:
             self.parts[part] = ids
